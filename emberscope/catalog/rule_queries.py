@@ -406,7 +406,23 @@ def _issue_query(name, kind):
 _issue_query("issues_data_skew", "DATA_SKEW")
 _issue_query("issues_gc", "HIGH_GC_TIME")
 _issue_query("issues_spill", "MEMORY_SPILL")
-_issue_query("issues_small_tasks", "TOO_MANY_SMALL_TASKS")
+@query(
+    "issues_small_tasks",
+    """with j as (select s_nationkey as cluster_id, l_suppkey as application_id, cast(l_linenumber % 2 as bigint) as stage_id, count(*) as num_tasks,
+  cast(sum(cast(l_quantity as bigint) * case when l_suppkey % 2 = 0 then 100 else 1 end) as bigint) as records from lineitem join supplier on l_suppkey = s_suppkey group by 1, 2, 3)
+select cluster_id, application_id, stage_id, 'TOO_MANY_SMALL_TASKS' as issue_type, 'LOW' as severity,
+ num_tasks || ' tasks with ~' || printf('%.0f', records / num_tasks) || ' records each' as details from j where num_tasks > 200 and records / num_tasks < 1000""",
+)
+def issues_small_tasks(data):
+    tasks = data("lineitem").join(data("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    weight = F.when(F.col("l_suppkey") % 2 == 0, 100).otherwise(1)
+    wide = tasks.groupBy(
+        F.col("s_nationkey").alias("cluster_id"), F.col("l_suppkey").alias("application_id"), (F.col("l_linenumber") % 2).cast("bigint").alias("stage_id")
+    ).agg(F.count(F.lit(1)).alias("num_tasks"), F.sum(F.col("l_quantity").cast("bigint") * weight).alias("input_records"))
+    stages = wide.withColumn("output_records", F.lit(0)).withColumn("status", F.lit("COMPLETE"))
+    flat = F.array(*[F.lit(1.0)] * 5)
+    quiet = wide.select(*STAGE, flat.alias("run_time"), *[F.lit(None).cast("array<double>").alias(c) for c in ("gc_time", "memory_spill", "disk_spill")])
+    return issues.stage_issues(stages, quiet).select(*ISSUE)
 
 
 @query(
