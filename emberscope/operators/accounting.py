@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.operators import events as ev
-from emberscope.operators.keyed import running_totals, salted_join
+from emberscope.operators.keyed import counts_before, running_totals
 from emberscope.operators.quantiles import HOT_ROWS, LOG_PROBES, group_quantiles
+from emberscope.runtime import reliable_checkpoint
 from emberscope.schemas import TASK_METRICS
 from emberscope.sources.eventlog import order_chunk
 
@@ -20,17 +21,19 @@ ATTEMPT = ["application_id", "stage_id", "attempt_id"]
 def stages(events: DataFrame) -> DataFrame:
     """Stage attempts with the tasks that had ended when the attempt completed.
 
-    Task rows are matched to their attempt over slices of the key, because one
-    stage may hold most of the tasks of a log.
+    Attempts are few next to tasks and are needed three times: they are checkpointed.
     """
-    attempts = ev.stage_attempts(events)
-    ends = attempts.where(F.col("completed_order").isNotNull()).select(*ATTEMPT, "completed_order")
-    counted = salted_join(ev.task_outcomes(events), ends, ATTEMPT, ["task_order"], "inner")
-    counts = counted.where(F.col("task_order") < F.col("completed_order")).groupBy(*ATTEMPT).agg(
-        F.count_if(F.col("outcome") == "completed").cast("double").alias("num_completed_tasks"),
-        F.count_if(F.col("outcome") == "failed").cast("double").alias("num_failed_tasks"),
+    attempts = reliable_checkpoint(ev.stage_attempts(events))
+    ends = attempts.where(F.col("completed_order").isNotNull())
+    outcome = F.col("outcome")
+    counts = counts_before(
+        ev.task_outcomes(events), ATTEMPT, "task_order", ends, "completed_order",
+        {"num_completed_tasks": outcome == "completed", "num_failed_tasks": outcome == "failed"},
+    )
+    joined = attempts.join(counts, ATTEMPT, "left")
+    return joined.withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("num_completed_tasks", "num_failed_tasks")}
     )
-    return attempts.join(counts, ATTEMPT, "left").fillna(0.0, ["num_completed_tasks", "num_failed_tasks"])
 
 
 def outcome_counts(events: DataFrame) -> DataFrame:
@@ -54,75 +57,82 @@ def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:
     return ev.job_stages(starts).join(closing, ["application_id", "job_id"], "left")
 
 
-def references_at_end(references: DataFrame, submissions: DataFrame) -> DataFrame:
+#: What the first attempt of a stage adds to the timeline of the stage.
+_FIRST = ("first_tasks", "first_done", "first_failed", "first_completed_tasks", "first_failed_tasks")
+
+
+def references_at_end(references: DataFrame, submissions: DataFrame, stage_table: DataFrame) -> DataFrame:
     """For every ended job and stage: what was known about the stage when the job ended.
 
     ``started`` and ``closed`` count jobs that refer to the stage, ``last_submit`` is
-    the latest submission so far.  All three are running values over the stage's own
-    timeline, so jobs that share a stage are never paired with each other.
+    the latest submission so far, the ``first_*`` columns describe the stage's first
+    attempt once it exists.  All are running values over the stage's own timeline,
+    so jobs that share a stage are never paired and nothing is joined to them.
     """
-    nothing = F.lit(None)
-    order_type = dict(submissions.dtypes)["event_order"]
+    first = stage_table.groupBy(*STAGE).agg(
+        F.min("created_order").alias("position"),
+        F.min_by(
+            F.struct("completed_order", "status", "num_tasks", "num_completed_tasks", "num_failed_tasks"), "created_order"
+        ).alias("a"),
+    )
+    columns = {
+        "opens": "bigint", "closes": "bigint", "submit": "bigint", "job_id": "bigint", "start_order": "bigint", "job_stage_tasks": "bigint",
+        "first_tasks": "double", "first_done": "bigint", "first_failed": "int", "first_completed_tasks": "double", "first_failed_tasks": "double",
+    }
 
-    def moment(frame, position, started, closed, submit, job):
+    def moment(frame, position, **known):
+        values = {n: known.get(n, F.lit(None)) for n in columns}
         return frame.select(
-            *STAGE,
-            F.col(position).alias("position"),
-            F.lit(started).cast("bigint").alias("opens"),
-            F.lit(closed).cast("bigint").alias("closes"),
-            (F.col(position) if submit else nothing.cast(order_type)).alias("submit"),
-            (F.col("job_id") if job else nothing.cast("bigint")).alias("job_id"),
-            (F.col("start_order") if job else nothing.cast(order_type)).alias("start_order"),
-            (F.col("num_tasks") if job else nothing.cast("bigint")).alias("job_stage_tasks"),
+            *STAGE, F.col(position).alias("position"), *[v.cast(columns[n]).alias(n) for n, v in values.items()]
         )
 
     ended = references.where(F.col("end_order").isNotNull())
     timeline = (
-        moment(references, "start_order", 1, 0, False, False)
-        .unionByName(moment(ended, "end_order", 0, 1, False, True))
-        .unionByName(moment(submissions, "event_order", 0, 0, True, False))
+        moment(references, "start_order", opens=F.lit(1))
+        .unionByName(moment(ended, "end_order", closes=F.lit(1), job_id=F.col("job_id"), start_order=F.col("start_order"), job_stage_tasks=F.col("num_tasks")))
+        .unionByName(moment(submissions, "event_order", submit=F.col("event_order")))
+        .unionByName(
+            moment(
+                first, "position", first_tasks=F.col("a.num_tasks"), first_done=F.col("a.completed_order"),
+                first_failed=(F.col("a.status") == "FAILED").cast("int"),
+                first_completed_tasks=F.col("a.num_completed_tasks"), first_failed_tasks=F.col("a.num_failed_tasks"),
+            )
+        )
         .withColumn("chunk", order_chunk(F.col("position")))
     )
     running = running_totals(
         timeline, STAGE, "chunk", "position",
-        sums={"started": "opens", "closed": "closes"}, maxes={"last_submit": "submit"},
+        sums={"started": "opens", "closed": "closes"},
+        maxes={"last_submit": "submit", **{f"known_{c}": c for c in _FIRST}},
     )
-    return running.where(F.col("job_id").isNotNull()).drop("opens", "closes", "submit", "chunk")
+    return running.where(F.col("job_id").isNotNull()).drop("opens", "closes", "submit", "chunk", *_FIRST)
 
 
-def job_accounting(at_end: DataFrame, stage_table: DataFrame) -> DataFrame:
+def job_accounting(at_end: DataFrame) -> DataFrame:
     """Completed, failed and skipped stages and tasks per ended job.
 
     A stage that was submitted while the job was open counts by its first attempt.
     One that was never submitted is skipped if no other job refers to it or another
     referring job is still open.
     """
-    first = stage_table.groupBy(*STAGE).agg(
-        F.min_by(
-            F.struct("created_order", "completed_order", "status", "num_tasks", "num_completed_tasks", "num_failed_tasks"),
-            "created_order",
-        ).alias("first")
-    )
-    rows = salted_join(at_end, first, STAGE, ["job_id"], "left")
-    position = F.col("position")
-    known = F.col("first.created_order") < position
-    done = known & (F.col("first.completed_order") < position)
-    ran = F.coalesce(F.col("last_submit") > F.col("start_order"), F.lit(False))
+    done = F.col("known_first_done") < F.col("position")
+    ran = F.coalesce((F.col("last_submit") > F.col("start_order")) & done, F.lit(False))
     never = F.col("last_submit").isNull()
     # the job itself has just been closed, what remains open are others
     skipped = never & ((F.col("started") <= 1) | (F.col("started") > F.col("closed")))
-    completed, failed = ran & done & (F.col("first.status") == "COMPLETE"), ran & done & (F.col("first.status") == "FAILED")
-    announced = F.coalesce(F.when(known, F.col("first.num_tasks")), F.col("job_stage_tasks").cast("double"))
+    failed = ran & (F.col("known_first_failed") == 1)
+    completed = ran & (F.col("known_first_failed") == 0)
+    announced = F.coalesce("known_first_tasks", F.col("job_stage_tasks").cast("double"))
 
     def total(condition, value):
         return F.sum(F.when(condition, value).otherwise(0.0))
 
-    return rows.groupBy("application_id", "job_id").agg(
+    return at_end.groupBy("application_id", "job_id").agg(
         total(completed, 1.0).alias("num_completed_stages"),
         total(failed, 1.0).alias("num_failed_stages"),
         total(skipped, 1.0).alias("num_skipped_stages"),
-        total(completed | failed, F.col("first.num_completed_tasks")).alias("num_completed_tasks"),
-        total(completed | failed, F.col("first.num_failed_tasks")).alias("num_failed_tasks"),
+        total(ran, F.col("known_first_completed_tasks")).alias("num_completed_tasks"),
+        total(ran, F.col("known_first_failed_tasks")).alias("num_failed_tasks"),
         F.greatest(F.lit(0.0), total(skipped, announced)).alias("num_skipped_tasks"),
     )
 
@@ -137,9 +147,9 @@ def jobs(events: DataFrame, stage_table: DataFrame | None = None) -> DataFrame:
     """Job table with stage and task accounting; open jobs have an empty status."""
     stage_table = stages(events) if stage_table is None else stage_table
     starts, ends = ev.job_starts(events), ev.job_ends(events)
-    at_end = references_at_end(stage_references(starts, ends), ev.stage_submissions(events))
+    at_end = references_at_end(stage_references(starts, ends), ev.stage_submissions(events), stage_table)
     keys = ["application_id", "job_id"]
-    joined = starts.join(ends, keys, "left").join(job_accounting(at_end, stage_table), keys, "left")
+    joined = starts.join(ends, keys, "left").join(job_accounting(at_end), keys, "left")
     return (
         joined.withColumn("status", F.coalesce("status", F.lit("")))
         .withColumn("completion_ms", F.coalesce("completion_ms", F.lit(0)))

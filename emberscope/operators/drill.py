@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import SLICES
 
 
 def slowest(df: DataFrame, by: str = "runtimesec", ties: Sequence[str] = (), limit: int | None = None) -> DataFrame:
@@ -72,22 +72,30 @@ RANK_STEP = 65_536
 def rank_by_size(df: DataFrame, keys: Sequence[str], size: Column, spread_by: Sequence[str]) -> DataFrame:
     """``rank()`` by descending size within ``keys`` without a window over the rows.
 
-    Sizes are counted, ranked in two steps (coarse steps of 65,536 bytes, then the
-    sizes inside a step), and joined back, so a key with most of the rows is
-    neither sorted nor counted in one task.
+    Sizes are counted, ranked in two steps (coarse steps of 65,536, then the sizes
+    inside a step), and joined back over slices, so a key or a size with most of
+    the rows is neither sorted nor joined in one task.
     """
-    sized = df.withColumn("stringlength", size).withColumn("_step", F.floor(F.col("stringlength") / RANK_STEP))
-    per_size = sized.groupBy(*keys, "_step", "stringlength").agg(F.count(F.lit(1)).alias("_rows"))
-    per_step = per_size.groupBy(*keys, "_step").agg(F.sum("_rows").alias("_rows"))
+    sized = df.withColumn("stringlength", size).withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)))
+    size_key = [*keys, "stringlength"]
+    per_slice = sized.groupBy(*size_key, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    per_size = per_slice.groupBy(*size_key).agg(F.sum("_rows").alias("_rows")).withColumn(
+        "_step", F.floor(F.col("stringlength") / RANK_STEP)
+    )
     larger = Window.unboundedPreceding, -1
     above_step = Window.partitionBy(*keys).orderBy(F.desc("_step")).rowsBetween(*larger)
     above_size = Window.partitionBy(*keys, "_step").orderBy(F.desc("stringlength")).rowsBetween(*larger)
-    steps = per_step.select(*keys, "_step", F.coalesce(F.sum("_rows").over(above_step), F.lit(0)).alias("_before"))
-    sizes = per_size.withColumn("_inside", F.coalesce(F.sum("_rows").over(above_size), F.lit(0))).drop("_rows")
-    ranks = sizes.join(steps, [*keys, "_step"]).select(
-        *keys, "stringlength", (F.col("_before") + F.col("_inside") + 1).alias("rank")
+    steps = per_size.groupBy(*keys, "_step").agg(F.sum("_rows").alias("_rows")).select(
+        *keys, "_step", F.coalesce(F.sum("_rows").over(above_step), F.lit(0)).alias("_before")
+    )
+    ranks = (
+        per_size.withColumn("_inside", F.coalesce(F.sum("_rows").over(above_size), F.lit(0)))
+        .join(steps, [*keys, "_step"])
+        .select(*size_key, (F.col("_before") + F.col("_inside") + 1).alias("rank"))
     )
-    return salted_join(sized.drop("_step"), ranks, [*keys, "stringlength"], spread_by, "inner")
+    # a rank is copied only to the slices its size occurs in
+    copies = per_slice.drop("_rows").join(ranks, size_key)
+    return sized.join(copies, [*size_key, "_slice"]).drop("_slice")
 
 
 def sql_snippets(executions: DataFrame, keys: Sequence[str], limit: float = 20000, ranking: int = 0) -> DataFrame:

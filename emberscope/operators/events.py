@@ -27,7 +27,7 @@ _SHAPES = {
     "stage_submitted": f"`Stage Info` STRUCT<{_STAGE_INFO}>",
     "stage_completed": f"`Stage Info` STRUCT<{_STAGE_INFO}>",
     "task_end": "`Stage ID` BIGINT, `Stage Attempt ID` BIGINT, `Task End Reason` STRUCT<Reason: STRING>, "
-    f"`Task Info` STRUCT<`Launch Time`: BIGINT, `Finish Time`: BIGINT, `Getting Result Time`: BIGINT, Failed: BOOLEAN, Killed: BOOLEAN, Accumulables: {_ACCUMULABLES}>, "
+    "`Task Info` STRUCT<`Launch Time`: BIGINT, `Finish Time`: BIGINT, `Getting Result Time`: BIGINT>, "
     "`Task Metrics` STRUCT<`Executor Deserialize Time`: BIGINT, `Executor Deserialize CPU Time`: BIGINT, `Executor Run Time`: BIGINT, "
     "`Executor CPU Time`: BIGINT, `Result Size`: BIGINT, `JVM GC Time`: BIGINT, `Result Serialization Time`: BIGINT, "
     "`Peak Execution Memory`: BIGINT, `Memory Bytes Spilled`: BIGINT, `Disk Bytes Spilled`: BIGINT, "
@@ -47,6 +47,12 @@ _SHAPES = {
     "sql_metric_updates": "executionId BIGINT, sqlPlanMetrics ARRAY<STRUCT<name: STRING, accumulatorId: BIGINT>>",
 }
 
+# Narrower shapes of task ends: most fields are only wanted for summaries.
+_TASK_OUTCOME = (
+    "`Stage ID` BIGINT, `Stage Attempt ID` BIGINT, `Task End Reason` STRUCT<Reason: STRING>, `Task Info` STRUCT<Failed: BOOLEAN, Killed: BOOLEAN>"
+)
+TASK_ACCUMULABLES = f"`Task Info` STRUCT<Accumulables: {_ACCUMULABLES}>"
+
 # Stage accumulators behind each stage metric.
 _STAGE_ACCUMULATORS = {
     "memory_bytes_spilled": ("internal.metrics.memoryBytesSpilled",),
@@ -63,10 +69,10 @@ _STAGE_ACCUMULATORS = {
 STAGE_METRICS = tuple(_STAGE_ACCUMULATORS)
 
 
-def parsed(events: DataFrame, kind: str) -> DataFrame:
+def parsed(events: DataFrame, kind: str, shape: str | None = None) -> DataFrame:
     """Events of one kind with their parsed body ``e``."""
     return events.where(F.col("event") == EVENTS[kind]).select(
-        KEY, "event_order", F.from_json("body", _SHAPES[kind]).alias("e")
+        KEY, "event_order", F.from_json("body", shape or _SHAPES[kind]).alias("e")
     )
 
 
@@ -190,7 +196,7 @@ def task_outcomes(events: DataFrame) -> DataFrame:
         .when(info["Failed"], "failed")
         .when(info["Killed"], "killed")
     )
-    return parsed(events, "task_end").select(
+    return parsed(events, "task_end", _TASK_OUTCOME).select(
         KEY,
         F.col("e.`Stage ID`").alias("stage_id"),
         F.coalesce("e.`Stage Attempt ID`", F.lit(0)).alias("attempt_id"),
@@ -254,9 +260,11 @@ def task_metrics(events: DataFrame) -> DataFrame:
         "shuffle_write_time": zero(written["Shuffle Write Time"]),
     }
     assert tuple(columns) == tuple(TASK_METRICS)
-    return parsed(events, "task_end").where(F.col("e.`Task End Reason`.Reason") == "Success").select(
-        KEY,
+    row = F.struct(
         F.col("e.`Stage ID`").alias("stage_id"),
         F.coalesce("e.`Stage Attempt ID`", F.lit(0)).alias("attempt_id"),
         *[column.alias(name) for name, column in columns.items()],
     )
+    # inline drops the other tasks without a second parse (a filter would be pushed below it)
+    successful = F.when(F.col("e.`Task End Reason`.Reason") == "Success", F.array(row))
+    return parsed(events, "task_end").select(KEY, F.inline(successful))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberscope.runtime import reliable_checkpoint
+
 #: Number of slices a possibly hot key is spread over.
 SLICES = 16
 
@@ -23,7 +25,8 @@ def salted_join(
 
     The rows of one key are spread over ``slices`` partitions by a hash of
     ``spread_by`` and the unique side is copied once per slice, so a key that
-    holds a third of all rows is still worked on by many tasks.
+    holds a third of all rows is still worked on by many tasks.  Meant for a unique
+    side that is much smaller than the rows.
     """
     if how not in ("left", "inner"):
         raise ValueError("the copied side must not decide which rows survive")
@@ -44,8 +47,10 @@ def running_totals(
 
     ``chunk`` must grow with ``order`` and hold a bounded number of rows.  Totals
     run inside each chunk, the totals of earlier chunks are added afterwards, so
-    no task ever holds a whole group.
+    no task ever holds a whole group.  The input is read twice, so it is
+    checkpointed instead of being computed twice.
     """
+    df = reliable_checkpoint(df)
     sums, maxes = dict(sums or {}), dict(maxes or {})
     whole = [F.sum(src).alias(f"_c_{out}") for out, src in sums.items()]
     whole += [F.max(src).alias(f"_c_{out}") for out, src in maxes.items()]
@@ -76,3 +81,23 @@ def running_totals(
         *[(F.coalesce(f"_i_{o}", zero) + F.coalesce(f"_b_{o}", zero)).alias(o) for o in sums],
         *[F.greatest(f"_i_{o}", f"_b_{o}").alias(o) for o in maxes],
     )
+
+
+def counts_before(
+    df: DataFrame, group: Sequence[str], order: str, cutoffs: DataFrame, cutoff: str, counts: Mapping[str, Column], bits: int = 16
+) -> DataFrame:
+    """Conditional counts of the rows that come before a cut-off of their group.
+
+    Rows are counted per stretch of ``2 ** bits`` positions, which also keys the join
+    with the cut-offs, so no task sees more than one stretch of a group.  Stretches
+    before the one with the cut-off then count whole.
+    """
+    stretch = F.shiftright(F.col(order), bits)
+    ends = cutoffs.select(*group, F.col(cutoff).alias("_cut"), F.shiftright(F.col(cutoff), bits).alias("_last"))
+    placed = df.withColumn("_stretch", stretch).join(
+        ends.withColumnRenamed("_last", "_stretch"), [*group, "_stretch"], "left"
+    )
+    kept = F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))
+    per_stretch = placed.groupBy(*group, "_stretch").agg(*[F.count_if(c & kept).alias(n) for n, c in counts.items()])
+    counted = per_stretch.join(ends, list(group)).where(F.col("_stretch") <= F.col("_last"))
+    return counted.groupBy(*group).agg(*[F.sum(n).alias(n) for n in counts])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.operators import events as ev
@@ -157,7 +157,7 @@ def plan_nodes(execution_rows: DataFrame, corrected: bool = False) -> DataFrame:
 def task_accumulators(events: DataFrame) -> DataFrame:
     """SQL accumulables reported by tasks: id, name, value and position."""
     items = F.posexplode("e.`Task Info`.Accumulables").alias("item_no", "item")
-    rows = ev.parsed(events, "task_end").select("application_id", "event_order", items)
+    rows = ev.parsed(events, "task_end", ev.TASK_ACCUMULABLES).select("application_id", "event_order", items)
     return rows.where((F.col("item.Metadata") == "sql") & F.col("item.ID").isNotNull()).select(
         "application_id",
         F.col("item.ID").alias("accumulator_id"),
@@ -251,19 +251,19 @@ def execution_job_lists(jobs: DataFrame) -> DataFrame:
     A list covers 65,536 job numbers; an execution that spans more gets several rows
     (``part``), so the size of a row stays bounded and no job is lost.
     """
-    lowest = jobs.groupBy(*EXECUTION).agg(F.min("job_id").alias("_first"))
-    parts = salted_join(jobs, lowest, EXECUTION, ["job_id"], "inner").withColumn(
-        "part", F.floor((F.col("job_id") - F.col("_first")) / JOBS_PER_LIST)
-    )
+    # numbers of one list differ in the low 16 bits only
+    stretches = jobs.withColumn("_stretch", F.floor(F.col("job_id") / JOBS_PER_LIST))
     ok = F.col("status") == "JobSucceeded"
 
     def listed(condition):
         ids = F.array_sort(F.collect_list(F.when(condition, F.col("job_id"))))
         return F.transform(ids, lambda j: j.cast("string"))
 
-    return parts.groupBy(*EXECUTION, "part").agg(
+    lists = stretches.groupBy(*EXECUTION, "_stretch").agg(
         listed(ok).alias("success_job_ids"), F.array_join(listed(~ok), ",").alias("failed_job_ids")
     )
+    lowest = F.min("_stretch").over(Window.partitionBy(*EXECUTION))
+    return lists.withColumn("part", F.col("_stretch") - lowest).drop("_stretch")
 
 
 def nested_nodes(nodes: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from emberscope.functions.arrays import HIGH, LOW, LOWER_QUARTILE, MEDIAN, UPPER_QUARTILE, point
 from emberscope.functions.text import fixed
 from emberscope.plans import texts
+from emberscope.runtime import reliable_checkpoint
 
 APP = ("cluster_id", "application_id")
 
@@ -313,6 +314,7 @@ def report_blocks(recommendations: DataFrame, keys: Sequence[str] = APP) -> Data
     order.  Blocks stay rows so an application with very many findings is never
     assembled inside one task; ``sinks.write_report`` writes them out in order.
     """
+    recommendations = reliable_checkpoint(recommendations)  # read three times below
     none = F.lit(None)
     config = F.when(
         F.col("config_suggestion").isNotNull(),

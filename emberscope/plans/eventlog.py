@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberscope.functions.text import iso_from_millis
 from emberscope.operators import accounting, drill, sqlplans
 from emberscope.plans import advisor, compat, overview
+from emberscope.runtime import reliable_checkpoint
 from emberscope.schemas import TASK_METRICS, nested_by_path
 from emberscope.sinks import tables as sink
 from emberscope.sources import eventlog
@@ -24,7 +25,8 @@ class EventLog:
     """Metric frames of any number of application logs, all keyed by ``application_id``.
 
     ``events`` should be landed (:func:`sources.eventlog.land_events`) when more than
-    one or two frames are wanted from a large log.
+    one or two frames are wanted from a large log.  Frames that feed several others
+    are checkpointed when first used.
     """
 
     events: DataFrame
@@ -37,7 +39,7 @@ class EventLog:
 
     @cached_property
     def stages(self) -> DataFrame:
-        return accounting.stages(self.events)
+        return reliable_checkpoint(accounting.stages(self.events))
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -49,11 +51,11 @@ class EventLog:
 
     @cached_property
     def executions(self) -> DataFrame:
-        return sqlplans.executions(self.events)
+        return reliable_checkpoint(sqlplans.executions(self.events))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return sqlplans.plan_nodes(self.executions)
+        return reliable_checkpoint(sqlplans.plan_nodes(self.executions))
 
     @cached_property
     def node_metrics(self) -> DataFrame:

@@ -26,6 +26,7 @@ def local_session(app_name: str = "emberscope", cpus: int | str = "*", **extra)
     settings = {
         **RECOMMENDED,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         **extra,
@@ -59,3 +60,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cores when it has fewer splits than cores.
+
+    Parsing JSON is the expensive step of a log; a small input in one row group
+    would otherwise be parsed by one task.  Larger inputs have enough splits and are
+    not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -52,11 +52,11 @@ TASK_METRICS = {
 }
 
 
-def _table(text: str, keys: str = "cluster_id STRING, cluster_name STRING, application_id STRING, attempt_id STRING") -> T.StructType:
-    return T.StructType.fromDDL(f"{keys}, {text}" if keys else text)
+def _table(text: str, keys: str = "cluster_id STRING, cluster_name STRING, application_id STRING, attempt_id STRING") -> str:
+    return f"{keys}, {text}" if keys else text
 
 
-# The history tables.
+# The history tables, as DDL strings.
 APPLICATIONS = _table(
     "application_name STRING, duration_ms BIGINT, duration_minutes DOUBLE, start_time STRING, end_time STRING, spark_version STRING"
 )
@@ -120,13 +120,13 @@ PAYLOADS = {
 NODE_LIST = "array<struct<nodeId: int, nodeName: string, metrics: array<struct<name: string, value: string>>>>"
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Order, cast and complete the columns to a declared table schema."""
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """Order, cast and complete the columns to a declared table schema (a DDL string)."""
     present = set(df.columns)
     return df.select(
         *[
             (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+            for f in T.StructType.fromDDL(schema).fields
         ]
     )
 

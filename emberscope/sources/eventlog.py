@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberscope.runtime import broadcast_if_small
+
 # Event names as they appear in logs.
 _UI = "org.apache.spark.sql.execution.ui."
 EVENTS = {
@@ -20,32 +22,38 @@ EVENTS = {
     "sql_metric_updates": _UI + "SparkListenerSQLAdaptiveSQLMetricUpdates",
 }
 
-#: Position of a line in the log of its application; compares in log order.
-ORDER_FIELDS = ("file_no", "file_name", "block_start", "line")
+#: A position is ``file number * 2^44 + byte offset of the split + row within the scan
+#: partition``.  Rows never outnumber bytes, so positions grow with the log and stay
+#: unique within an application, and a single number keeps first/last aggregates cheap.
+_FILE_SHIFT = 44
+_ROW_MASK = (1 << 33) - 1
 
 #: Lines that share an ``order_chunk``.
 CHUNK_BITS = 16
 
 
-def event_order(file_name: Column, block_start: Column, line: Column) -> Column:
-    """Order of a line: rolled file number, file name, split start, line within the scan."""
-    number = F.coalesce(F.regexp_extract(file_name, r"^events_(\d+)_", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
-    return F.struct(
-        number.alias("file_no"),
-        file_name.alias("file_name"),
-        block_start.cast("bigint").alias("block_start"),
-        line.cast("bigint").alias("line"),
+def event_order(file_no: Column, block_start: Column, row_id: Column) -> Column:
+    """Position of a line in the log of its application.
+
+    ``row_id`` is ``monotonically_increasing_id`` above the scan: its low bits count
+    rows of the scan partition.  A full-size split is alone in its partition, and
+    compressed files are not split, so offset plus row never reaches the next split.
+    """
+    return (
+        F.shiftleft(file_no.cast("bigint"), _FILE_SHIFT)
+        + block_start.cast("bigint")
+        + row_id.cast("bigint").bitwiseAND(F.lit(_ROW_MASK))
     )
 
 
 def order_chunk(order: Column) -> Column:
-    """Coarser position: at most 65,536 neighbouring lines share one."""
-    return F.struct(
-        order.getField("file_no").alias("file_no"),
-        order.getField("file_name").alias("file_name"),
-        order.getField("block_start").alias("block_start"),
-        F.shiftright(order.getField("line"), CHUNK_BITS).alias("line"),
-    )
+    """Coarser position: at most 65,536 neighbouring positions share one."""
+    return F.shiftright(order, CHUNK_BITS)
+
+
+def rolled_file_number(file_name: Column) -> Column:
+    """Number of a rolled log file (``events_3_...``), 0 for a log in one file."""
+    return F.coalesce(F.regexp_extract(file_name, r"^events_(\d+)_", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def application_of(file_path: Column) -> Column:
@@ -63,11 +71,15 @@ def is_log_file(file_name: Column) -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str | list[str], select_files: bool | None = None) -> DataFrame:
-    """Non-blank log lines with application and order; unreadable files are skipped.
+def read_lines(
+    spark: SparkSession, path: str | list[str], select_files: bool | None = None, application_id: str | None = None
+) -> DataFrame:
+    """Non-blank log lines with application and position; unreadable files are skipped.
 
     A path whose last segment has a dot is one file and is read as it is; a folder
     is read recursively and only its log files count, unless ``select_files`` says so.
+    Every log is its own application unless ``application_id`` names one for all
+    files, which then follow each other by name.
     """
     first = path if isinstance(path, str) else path[0]
     if select_files is None:
@@ -81,12 +93,21 @@ def read_lines(spark: SparkSession, path: str | list[str], select_files: bool |
     )
     if select_files:
         lines = lines.where(is_log_file(F.col("file_name")))
-    lines = lines.withColumn("line", F.monotonically_increasing_id())
+    lines = lines.withColumn("row_id", F.monotonically_increasing_id())
     if lines.isEmpty():
         raise FileNotFoundError(f"no event log lines found in {path}")
+    if application_id is None:
+        lines = lines.withColumn("file_no", rolled_file_number(F.col("file_name")))
+        owner = application_of(F.col("file_path"))
+    else:
+        # one row per file, so the numbering window is as small as the listing
+        place = F.row_number().over(Window.orderBy(rolled_file_number(F.col("file_name")), "file_path"))
+        files = lines.select("file_path", "file_name").distinct().select("file_path", place.alias("file_no"))
+        lines = lines.join(broadcast_if_small(files), "file_path")
+        owner = F.lit(application_id)
     return lines.where(F.trim("value") != "").select(
-        application_of(F.col("file_path")).alias("application_id"),
-        event_order(F.col("file_name"), F.col("block_start"), F.col("line")).alias("event_order"),
+        owner.alias("application_id"),
+        event_order(F.col("file_no"), F.col("block_start"), F.col("row_id")).alias("event_order"),
         F.col("value").alias("body"),
     )
 
@@ -101,8 +122,15 @@ def route(lines: DataFrame) -> DataFrame:
 
 
 def events_of(lines: DataFrame) -> DataFrame:
-    """Routed lines of the ten known events."""
-    return route(lines).where(~F.col("malformed") & F.col("event").isin(*EVENTS.values())).drop("malformed")
+    """Routed lines of the ten known events.
+
+    ``inline`` keeps a line or drops it; a plain filter on a parsed field would be
+    pushed below the parse and run it twice.
+    """
+    head = F.from_json("body", "Event STRING, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    known = F.col("_h._bad").isNull() & F.col("_h.Event").isin(*EVENTS.values())
+    kept = F.when(known, F.array(F.struct(F.col("_h.Event").alias("event"))))
+    return lines.withColumn("_h", head).select(*lines.columns, F.inline(kept))
 
 
 def malformed_counts(lines: DataFrame) -> DataFrame:
@@ -112,9 +140,11 @@ def malformed_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_event_log(spark: SparkSession, path: str | list[str], select_files: bool | None = None) -> DataFrame:
+def read_event_log(
+    spark: SparkSession, path: str | list[str], select_files: bool | None = None, application_id: str | None = None
+) -> DataFrame:
     """Events of one log or of a folder with any number of logs."""
-    return events_of(read_lines(spark, path, select_files))
+    return events_of(read_lines(spark, path, select_files, application_id))
 
 
 def land_events(events: DataFrame, folder: str) -> DataFrame:
@@ -128,5 +158,4 @@ def land_events(events: DataFrame, folder: str) -> DataFrame:
 
 
 def read_landed(spark: SparkSession, folder: str) -> DataFrame:
-    order = "event_order STRUCT<file_no: BIGINT, file_name: STRING, block_start: BIGINT, line: BIGINT>"
-    return spark.read.schema(f"application_id STRING, {order}, body STRING, event STRING").parquet(folder)
+    return spark.read.schema("application_id STRING, event_order BIGINT, body STRING, event STRING").parquet(folder)
