@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberscope.catalog.registry import query
 from emberscope.catalog.rule_queries import ATTEMPT, ISSUE, STAGE
 from emberscope.operators import clusters, drill, history, status
+from emberscope.operators.keyed import salted_join
 from emberscope.operators.quantiles import SERVER_PROBES, group_quantiles
 from emberscope.plans import compat, efficiency, issues, overview
 from emberscope.sources import history as landed
@@ -344,7 +345,8 @@ def raw_summaries(data):
     tasks = data("tel_tasks").where("status = 'SUCCESS'").withColumn("attempt_id", F.expr(ATTEMPT)).withColumnRenamed("duration_ms", "duration")
     metrics = ("duration", "input_bytes", "shuffle_read_bytes", "memory_bytes_spilled", "disk_bytes_spilled")
     summaries = group_quantiles(tasks, [*STAGE, "attempt_id"], metrics, SERVER_PROBES)
-    named = summaries.join(data("tel_clusters").select("cluster_id", "cluster_name"), "cluster_id")
+    names = data("tel_clusters").select("cluster_id", "cluster_name")
+    named = salted_join(summaries, names, ["cluster_id"], ["application_id", "stage_id"], "inner")
     return history.task_summary_payload(named, SERVER_PROBES)
 
 
@@ -429,11 +431,11 @@ def tables_by_cluster(data):
     owner = apps.select("application_id", "cluster_id")
     return {
         "applications": apps,
-        "jobs": data("tel_jobs").join(owner, "application_id"),
+        "jobs": salted_join(data("tel_jobs"), owner, ["application_id"], ["job_id"], "inner"),
         "stages": data("tel_stages"),
         "tasks": data("tel_tasks"),
-        "sql": data("tel_sql").join(owner, "application_id"),
-        "executors": data("tel_executors").join(owner, "application_id"),
+        "sql": salted_join(data("tel_sql"), owner, ["application_id"], ["sql_id"], "inner"),
+        "executors": salted_join(data("tel_executors"), owner, ["application_id"], ["executor_id"], "inner"),
         "task_summaries": data("tel_stages").where("num_complete_tasks > 0"),
     }
 
@@ -567,7 +569,7 @@ def cluster_app_score(data):
     names = data("tel_clusters").select("cluster_id", "cluster_name")
     summaries = data("tel_clusters").where("cluster_id % 2 = 0")
     scores = names.where("cluster_id <> 7").select("cluster_name", (F.col("cluster_id") / 10).alias("ratio"))
-    apps = data("tel_applications").select("application_id", "cluster_id").join(names, "cluster_id")
+    apps = salted_join(data("tel_applications").select("application_id", "cluster_id"), names, ["cluster_id"], ["application_id"], "inner")
     return clusters.scored_clusters(summaries, apps, scores).select("application_id", "cluster_name", "state", "ratio")
 
 

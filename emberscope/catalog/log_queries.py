@@ -13,7 +13,7 @@ from emberscope.plans.eventlog import EventLog
 from emberscope.sources import eventlog
 
 JOBS = """
-o as (select o_orderkey as ok, o_custkey % 10 + 1 as app, o_orderkey * 1000 as s, case when o_orderkey % 11 <> 0 then o_orderkey * 1000 + 30 + 20001 * (o_orderkey % 7) end as e,
+o as (select o_orderkey as ok, o_orderkey // 3 % 10 + 1 as app, o_orderkey * 1000 as s, case when o_orderkey % 11 <> 0 then o_orderkey * 1000 + 30 + 20001 * (o_orderkey % 7) end as e,
   o_orderstatus as st, o_orderpriority as pr from orders),
 refs as (select app, ok, s, e, 3 * ok as stage, 4 + ok % 3 as n from o union all select app, ok, s, e, 3 * ok + 1, 2 from o
   union all select app, ok, s, e, 3 * (ok // 200 * 200) + 2, 5 from o),
@@ -177,7 +177,7 @@ def log_sql(data):
 
 @query(
     "log_sql_jobs",
-    f"""with {SQL}, j as (select o_orderkey as job, o_custkey % 10 + 1 as app, o_orderkey // 64 as ex, o_orderstatus as st from orders where o_orderkey % 17 <> 0 and o_orderkey % 11 <> 0)
+    f"""with {SQL}, j as (select o_orderkey as job, o_orderkey // 3 % 10 + 1 as app, o_orderkey // 64 as ex, o_orderstatus as st from orders where o_orderkey % 17 <> 0 and o_orderkey % 11 <> 0)
 select cast(app as varchar) as application_id, ex as execution_id, 0::bigint as part, coalesce(string_agg(job, ',' order by job) filter (where st <> 'P'), '') as success_job_ids,
  coalesce(string_agg(job, ',' order by job) filter (where st = 'P'), '') as failed_job_ids from j join x using (app, ex) group by 1, 2""",
 )
@@ -215,7 +215,7 @@ def log_execution_overview(data):
 
 @query(
     "log_malformed",
-    """select cast(o_custkey % 10 + 1 as varchar) as application_id, count(*) as lines, count(*) filter (where o_orderkey % 13 = 0) as malformed_lines from orders group by 1""",
+    """select cast(o_orderkey // 3 % 10 + 1 as varchar) as application_id, count(*) as lines, count(*) filter (where o_orderkey % 13 = 0) as malformed_lines from orders group by 1""",
 )
 def log_malformed(data):
     starts = logs.job_lines(data).where(F.col("event") == eventlog.EVENTS["job_start"])
@@ -226,7 +226,7 @@ def log_malformed(data):
 
 @query(
     "log_accumulators",
-    """select cast(o_custkey % 10 + 1 as varchar) as application_id, o_orderkey as job, (case when o_orderkey % 2 = 0 then 1 else o_orderkey end) as spilled, 0::bigint as absent from orders""",
+    """select cast(o_orderkey // 3 % 10 + 1 as varchar) as application_id, o_orderkey as job, (case when o_orderkey % 2 = 0 then 1 else o_orderkey end) as spilled, 0::bigint as absent from orders""",
 )
 def log_accumulators(data):
     item = F.struct(F.lit("Internal.Metrics.Spilled").alias("Name"), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise(F.col("o_orderkey").cast("string")).alias("Value"))

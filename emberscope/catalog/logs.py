@@ -22,7 +22,7 @@ def order_key() -> Column:
 
 
 def order_application() -> Column:
-    return (F.col("o_custkey") % 10 + 1).cast("string")
+    return (F.floor(order_key() / 3) % 10 + 1).cast("string")
 
 
 def _lines(df: DataFrame, kind: str, application: Column, position: Column, fields: dict[str, Column]) -> DataFrame:
@@ -112,7 +112,7 @@ def _task_fields(stage_id: Column, attempt: Column) -> dict[str, Column]:
 
 def order_task_lines(data: Data) -> DataFrame:
     """Line items as tasks of the first stage of their order."""
-    items = spread(data("lineitem")).join(data("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == order_key())
+    items = spread(data("lineitem")).withColumn("o_orderkey", F.col("l_orderkey"))
     return _lines(items, "task_end", order_application(), order_key() * 1000 + 10 + F.col("l_linenumber"), _task_fields(3 * order_key(), F.lit(0)))
 
 

@@ -386,7 +386,7 @@ issues as (
 
 
 def stage_issue_rows(data):
-    tasks = data("lineitem").join(data("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    tasks = data("supplied_lineitem")
     records = tasks.groupBy(
         F.col("s_nationkey").alias("cluster_id"), F.col("l_suppkey").alias("application_id"), (F.col("l_partkey") % 5).alias("stage_id")
     ).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("input_records"))
@@ -414,7 +414,7 @@ select cluster_id, application_id, stage_id, 'TOO_MANY_SMALL_TASKS' as issue_typ
  num_tasks || ' tasks with ~' || printf('%.0f', records / num_tasks) || ' records each' as details from j where num_tasks > 200 and records / num_tasks < 1000""",
 )
 def issues_small_tasks(data):
-    tasks = data("lineitem").join(data("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    tasks = data("supplied_lineitem")
     weight = F.when(F.col("l_suppkey") % 2 == 0, 100).otherwise(1)
     wide = tasks.groupBy(
         F.col("s_nationkey").alias("cluster_id"), F.col("l_suppkey").alias("application_id"), (F.col("l_linenumber") % 2).cast("bigint").alias("stage_id")

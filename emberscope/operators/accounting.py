@@ -54,7 +54,8 @@ def task_summaries(
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Job to stage relation with start and end position of the job."""
     closing = ends.select("application_id", "job_id", "end_order")
-    return ev.job_stages(starts).join(closing, ["application_id", "job_id"], "left")
+    known = starts.join(closing, ["application_id", "job_id"], "left")
+    return ev.job_stages(known, "end_order")
 
 
 #: What the first attempt of a stage adds to the timeline of the stage.

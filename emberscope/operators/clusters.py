@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.operators.keyed import salted_join
+
 # Cluster states.
 DEFAULT_STATES = ("TERMINATED", "WAITING")
 ANALYSABLE_STATES = ("RUNNING", "WAITING", "TERMINATED")
@@ -45,10 +47,15 @@ def analysable(clusters: DataFrame) -> DataFrame:
 
 def not_yet_analysed(clusters: DataFrame, applications: DataFrame) -> DataFrame:
     """Clusters without any landed application."""
-    return clusters.join(applications.select("cluster_id"), "cluster_id", "left_anti")
+    return clusters.join(applications.select("cluster_id").distinct(), "cluster_id", "left_anti")
 
 
 def scored_clusters(cluster_summaries: DataFrame, applications: DataFrame, scores: DataFrame) -> DataFrame:
-    """Applications with their cluster summary (kept even without one), joined to cluster scores."""
-    all_apps = cluster_summaries.drop("cluster_name").join(applications, "cluster_id", "right")
-    return all_apps.join(scores, ["cluster_name"])
+    """Applications with their cluster summary (kept even without one), joined to scores.
+
+    Scores are per cluster name, or per cluster name and application.
+    """
+    summaries = cluster_summaries.drop("cluster_name")
+    all_apps = salted_join(applications, summaries, ["cluster_id"], ["application_id"], "left")
+    on = ["cluster_name"] + (["application_id"] if "application_id" in scores.columns else [])
+    return salted_join(all_apps, scores, on, ["application_id"], "inner")

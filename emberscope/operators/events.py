@@ -111,9 +111,9 @@ def job_starts(events: DataFrame) -> DataFrame:
     ).withColumn("num_tasks", F.aggregate("stage_infos", F.lit(0).cast("bigint"), lambda a, s: a + s.num_tasks).cast("double"))
 
 
-def job_stages(starts: DataFrame) -> DataFrame:
+def job_stages(starts: DataFrame, *keep: str) -> DataFrame:
     """Job to stage relation with the task count each job announced."""
-    return starts.select(KEY, "job_id", "start_order", F.inline("stage_infos"))
+    return starts.select(KEY, "job_id", "start_order", *keep, F.inline("stage_infos"))
 
 
 def job_ends(events: DataFrame) -> DataFrame:

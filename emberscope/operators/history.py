@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberscope import schemas
 from emberscope.functions.text import elapsed
+from emberscope.operators.keyed import salted_join
 from emberscope.schemas import RUN_KEYS, conform, nested_by_path
 
 _MIB = 1024 * 1024
@@ -176,7 +177,7 @@ def tagged(df: DataFrame, identities: DataFrame, on=("application_id",)) -> Data
     """Add the run keys from an application directory; a missing attempt becomes 0."""
     missing = [c for c in RUN_KEYS if c in identities.columns and c not in on and c not in df.columns]
     tags = identities.select(*on, *missing).dropDuplicates(list(on))
-    joined = df.join(tags, list(on), "left")
+    joined = salted_join(df, tags, list(on), [c for c, t in df.dtypes if "map<" not in t and t != "variant"], "left")
     if "attempt_id" in missing:
         joined = joined.withColumn("attempt_id", F.coalesce(F.col("attempt_id").cast("string"), F.lit("0")))
     return joined

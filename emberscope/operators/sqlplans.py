@@ -208,14 +208,19 @@ def node_metrics(nodes: DataFrame, events: DataFrame, corrected: bool = False) -
     def renamed(frame, **names):
         return frame.withColumnsRenamed(names)
 
+    # mappings are resolved on their own: few metrics have one, and NULL ids would pile up in a join
+    mappings = (
+        metric_mappings(events)
+        .join(renamed(driver, value="mapped_own", accumulator_id="mapped_id"), [*EXECUTION, "mapped_id"], "left")
+        .join(renamed(by_id, value="mapped_seen", accumulator_id="mapped_id"), ["application_id", "mapped_id"], "left")
+        .select(*EXECUTION, "metric_name", "mapped_id", F.coalesce("mapped_own", "mapped_seen").alias("mapped_value"))
+    )
     rows = (
         defined.join(renamed(driver, value="own"), [*EXECUTION, "accumulator_id"], "left")
         .join(renamed(by_id, value="seen_id"), ["application_id", "accumulator_id"], "left")
-        .join(metric_mappings(events), [*EXECUTION, "metric_name"], "left")
-        .join(renamed(driver, value="mapped_own", accumulator_id="mapped_id"), [*EXECUTION, "mapped_id"], "left")
-        .join(renamed(by_id, value="mapped_seen", accumulator_id="mapped_id"), ["application_id", "mapped_id"], "left")
+        .join(mappings, [*EXECUTION, "metric_name"], "left")
     )
-    direct, mapped = F.coalesce("own", "seen_id"), F.coalesce("mapped_own", "mapped_seen")
+    direct, mapped = F.coalesce("own", "seen_id"), F.col("mapped_value")
     if corrected:
         value = F.coalesce(direct, mapped)
     else:
@@ -237,8 +242,9 @@ def execution_jobs(events: DataFrame) -> DataFrame:
     """
     starts = ev.job_starts(events).where(F.col("execution_id").isNotNull()).select("application_id", "job_id", "execution_id")
     ends = ev.job_ends(events).where("status <> ''").select("application_id", "job_id", "status")
-    known = sql_starts(events).select(*EXECUTION)
-    return starts.join(ends, ["application_id", "job_id"]).join(known, EXECUTION, "left_semi")
+    known = sql_starts(events).select(*EXECUTION).distinct()
+    ended = starts.join(ends, ["application_id", "job_id"])
+    return salted_join(ended, known, EXECUTION, ["job_id"], "inner")
 
 
 #: Job numbers of one execution that go into one list.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.arrays import HIGH, LOW, MEDIAN, point
 from emberscope.functions.text import elapsed
+from emberscope.operators.keyed import salted_join
 
 # Thresholds of the flags (decimal bytes, ratios, percent).
 SPILL_LIMIT = 256_000_000
@@ -156,5 +157,6 @@ def inefficient_clusters(
         .agg((F.try_divide(F.sum(n * i + f * (d - i)), F.sum(n * d)) * 100).alias("ineffstageagg"))
         .where(F.col("ineffstageagg") > threshold)
     )
-    starts = applications.select(*scope, "start_time")
-    return score.join(starts, scope)
+    starts = applications.select("cluster_id", "application_id", "start_time")
+    joined = salted_join(starts, score, scope, ["application_id", "start_time"], "inner")
+    return joined if corrected else joined.drop("application_id")
