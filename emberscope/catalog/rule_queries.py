@@ -19,14 +19,14 @@ def successful_tasks(data: Data):
 
 def log_summaries(data: Data, metrics=("duration", "input_bytes", "shuffle_read_bytes")):
     """Per-stage quantile vectors of the successful tasks."""
-    return group_quantiles(successful_tasks(data), [*STAGE, "attempt_id"], metrics, LOG_PROBES)
+    return group_quantiles(successful_tasks(data), [*STAGE, "attempt_id"], metrics, LOG_PROBES, source=data("lineitem"))
 
 
 def server_summaries(data: Data):
     tasks = data("tel_tasks").where("status = 'SUCCESS'").withColumnsRenamed(
         {"duration_ms": "run_time", "gc_ms": "gc_time", "memory_bytes_spilled": "memory_spill", "disk_bytes_spilled": "disk_spill"}
     )
-    return group_quantiles(tasks, STAGE, ("run_time", "gc_time", "memory_spill", "disk_spill"), SERVER_PROBES)
+    return group_quantiles(tasks, STAGE, ("run_time", "gc_time", "memory_spill", "disk_spill"), SERVER_PROBES, source=data("lineitem"))
 
 
 RECOMMENDATION = ("rule_no", "subject", "category", "severity", "title", "description", "current_value")
@@ -80,7 +80,7 @@ from long group by cluster_id, metric""",
 def task_summary_by_metric(data):
     metrics = ("duration", "gc_ms", "input_bytes", "shuffle_read_bytes", "memory_bytes_spilled", "disk_bytes_spilled")
     # a cluster holds far more tasks than a stage: rank its values across tasks when it is hot
-    wide = group_quantiles(successful_tasks(data), ["cluster_id"], metrics, SERVER_PROBES)
+    wide = group_quantiles(successful_tasks(data), ["cluster_id"], metrics, SERVER_PROBES, source=data("lineitem"))
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])
     names = ("low", "lower_quartile", "median", "upper_quartile", "high")
     return wide.select("cluster_id", "num_tasks", F.inline(rows)).select(

@@ -12,7 +12,7 @@ from emberscope.operators.keyed import counts_before, running_totals
 from emberscope.operators.quantiles import HOT_ROWS, LOG_PROBES, group_quantiles
 from emberscope.runtime import reliable_checkpoint
 from emberscope.schemas import TASK_METRICS
-from emberscope.sources.eventlog import order_chunk
+from emberscope.sources.eventlog import EVENTS, order_chunk
 
 STAGE = ["application_id", "stage_id"]
 ATTEMPT = ["application_id", "stage_id", "attempt_id"]
@@ -48,7 +48,8 @@ def task_summaries(
     events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Quantile vectors of the successful tasks of each stage attempt."""
-    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES, hot_rows)
+    ended = events.where(F.col("event") == EVENTS["task_end"])
+    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES, hot_rows, source=ended)
 
 
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -30,12 +30,17 @@ def group_quantiles(
     metrics: Sequence[str],
     probes: Sequence[float] = LOG_PROBES,
     hot_rows: int = HOT_ROWS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key: ``num_tasks`` and an ``array<double>`` per metric.
 
-    Needs one narrow count per key beforehand to know whether any group is hot.
+    Needs one narrow count per key beforehand to know whether any group is hot.  A
+    ``source`` with at least as many rows that is cheaper to count (the table or the
+    unparsed lines) can rule that out at once.
     """
     keys, metrics = list(keys), list(metrics)
+    if source is not None and source.limit(hot_rows + 1).count() <= hot_rows:
+        return _in_one_task_per_group(df, keys, metrics, probes)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
     hot = sizes.where(F.col("num_tasks") > hot_rows)
     if hot.isEmpty():
