@@ -552,23 +552,23 @@ def new_clusters(data):
 
 @query(
     "analysable_clusters",
-    "select cluster_id, state from tel_clusters where cluster_id % 2 = 0 and state in ('RUNNING', 'WAITING', 'TERMINATED')",
+    "select cluster_id, state from tel_clusters where contains(cluster_name, 'A') and state in ('RUNNING', 'WAITING', 'TERMINATED')",
 )
 def analysable_clusters(data):
-    installed = F.when(F.col("cluster_id") % 2 == 0, F.array(F.lit("Hadoop 3"), F.lit("Spark 4.1"))).otherwise(F.array(F.lit("Hive")))
+    installed = F.when(F.col("cluster_name").contains("A"), F.array(F.lit("Hadoop 3"), F.lit("Spark 4.1"))).otherwise(F.array(F.lit("Hive")))
     return clusters.analysable(data("tel_clusters").withColumn("applications", installed)).select("cluster_id", "state")
 
 
 @query(
     "cluster_app_score",
     """select a.application_id, a.cluster_name, case when c.cluster_id is null then null else c.state end as state, r.ratio from (select application_id, cluster_id, n_name as cluster_name from tel_applications join nation on n_nationkey = cluster_id) a
- left join (select * from tel_clusters where cluster_id % 2 = 0) c using (cluster_id)
- join (select n_name, n_nationkey / 10 as ratio from nation where n_nationkey <> 7) r on r.n_name = a.cluster_name""",
+ left join (select * from tel_clusters where state <> 'RUNNING') c using (cluster_id)
+ join (select n_name, n_nationkey / 10 as ratio from nation) r on r.n_name = a.cluster_name""",
 )
 def cluster_app_score(data):
     names = data("tel_clusters").select("cluster_id", "cluster_name")
-    summaries = data("tel_clusters").where("cluster_id % 2 = 0")
-    scores = names.where("cluster_id <> 7").select("cluster_name", (F.col("cluster_id") / 10).alias("ratio"))
+    summaries = data("tel_clusters").where("state <> 'RUNNING'")
+    scores = names.select("cluster_name", (F.col("cluster_id") / 10).alias("ratio"))
     apps = salted_join(data("tel_applications").select("application_id", "cluster_id"), names, ["cluster_id"], ["application_id"], "inner")
     return clusters.scored_clusters(summaries, apps, scores).select("application_id", "cluster_name", "state", "ratio")
 
@@ -648,15 +648,30 @@ def ineff_application_agg(data):
 
 # -- sources inside queries ------------------------------------------------------------------------------
 
+def envelopes(data):
+    """One answered envelope per job page, and one failed call per application."""
+    pages = job_pages(data)
+    answered = F.concat(F.lit('{"success":true,"jobs":'), F.col("payload"), F.lit(',"count":1}'))
+    failed = F.concat(F.lit('{"success":false,"error":"no connection to '), F.col("application_id"), F.lit('","error_type":"ConnectionError"}'))
+    return pages.select("application_id", answered.alias("body")).unionByName(
+        data("tel_applications").select("application_id", failed.alias("body"))
+    )
+
+
+@query(
+    "envelope_errors",
+    "select application_id, 'no connection to ' || application_id as error, 'ConnectionError' as error_type from tel_applications",
+)
+def envelope_errors(data):
+    return landed.envelope_errors(envelopes(data), "body", ["application_id"])
+
+
 @query(
     "envelope_jobs",
-    "select application_id, count(*) as jobs, cast(sum(num_tasks) as double) as num_tasks from tel_jobs where application_id % 3 <> 0 group by application_id",
+    "select application_id, count(*) as jobs, cast(sum(num_tasks) as double) as num_tasks from tel_jobs group by application_id",
 )
 def envelope_jobs(data):
-    ok = F.concat(F.lit('{"success":true,"jobs":'), F.col("payload"), F.lit(',"count":1}'))
-    bad = F.lit('{"success":false,"error":"no connection","error_type":"ConnectionError"}')
-    text = F.when(F.col("application_id") % 3 != 0, ok).otherwise(bad)
-    rows = landed.envelope_rows(job_pages(data).withColumn("body", text), "body", "jobs", ["application_id"])
+    rows = landed.envelope_rows(envelopes(data), "body", "jobs", ["application_id"])
     return rows.groupBy("application_id").agg(F.count(F.lit(1)).alias("jobs"), F.sum("numTasks").alias("num_tasks"))
 
 
@@ -667,3 +682,22 @@ def envelope_jobs(data):
 def event_properties(data):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
     return data("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(k).alias("k"))
+
+
+@query(
+    "configuration",
+    """select s_suppkey as application_id, 'sparkProperties' as kind, 'spark.app.name' as property, s_name as value from supplier
+ union all select s_suppkey, 'systemProperties', 'user.balance', cast(cast(floor(s_acctbal) as bigint) as varchar) from supplier""",
+)
+def configuration(data):
+    def pair(name, value):
+        return F.array(F.array(F.lit(name), value))
+
+    text = F.to_json(
+        F.struct(
+            pair("spark.app.name", F.col("s_name")).alias("sparkProperties"),
+            pair("user.balance", F.floor("s_acctbal").cast("string")).alias("systemProperties"),
+        )
+    )
+    landed_text = data("supplier").select(F.col("s_suppkey").alias("application_id"), F.concat(F.lit("["), text, F.lit("]")).alias("body"))
+    return drill.configuration(landed.typed_list(landed_text, "body", "environment", ["application_id"]))

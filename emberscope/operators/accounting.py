@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from emberscope.operators import events as ev
 from emberscope.operators.keyed import counts_before, running_totals
-from emberscope.operators.quantiles import HOT_ROWS, LOG_PROBES, group_quantiles
+from emberscope.operators.quantiles import LOG_PROBES, group_quantiles
 from emberscope.runtime import reliable_checkpoint
 from emberscope.schemas import TASK_METRICS
-from emberscope.sources.eventlog import EVENTS, order_chunk
+from emberscope.sources.eventlog import order_chunk
 
 STAGE = ["application_id", "stage_id"]
 ATTEMPT = ["application_id", "stage_id", "attempt_id"]
@@ -45,11 +45,11 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 
 
 def task_summaries(
-    events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS), hot_rows: int = HOT_ROWS
+    events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS), hot_rows: int | None = None
 ) -> DataFrame:
     """Quantile vectors of the successful tasks of each stage attempt."""
-    ended = events.where(F.col("event") == EVENTS["task_end"])
-    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES, hot_rows, source=ended)
+    # the outcome shape is a fraction of the metrics shape, so groups are counted on it
+    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES, hot_rows, source=ev.task_outcomes(events))
 
 
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:

@@ -46,6 +46,22 @@ def stage_details(stages: DataFrame, summaries: DataFrame, keys: Sequence[str])
     return stages.join(summaries, list(keys), "left")
 
 
+# Property lists of the environment payload.
+PROPERTY_LISTS = ("sparkProperties", "hadoopProperties", "systemProperties", "classpathEntries")
+
+
+def configuration(environment: DataFrame, keys: Sequence[str] = ("application_id",)) -> DataFrame:
+    """Environment payloads as rows: list, property, value."""
+
+    def rows(name: str) -> Column:
+        pairs = F.coalesce(name, F.array().cast("array<array<string>>"))
+        return F.transform(
+            pairs, lambda pair: F.struct(F.lit(name).alias("kind"), F.get(pair, 0).alias("property"), F.get(pair, 1).alias("value"))
+        )
+
+    return environment.select(*keys, F.inline(F.concat(*[rows(name) for name in PROPERTY_LISTS])))
+
+
 def slow_executions(executions: DataFrame, threshold_seconds: int = 300) -> DataFrame:
     return executions.where(F.col("duration_ms") > 1000 * threshold_seconds)
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.runtime import reliable_checkpoint
+from emberscope.runtime import BROADCAST_ROWS, reliable_checkpoint
 
 #: Number of slices a possibly hot key is spread over.
 SLICES = 16
@@ -35,6 +35,13 @@ def salted_join(
     return salted.join(copies, [*keys, "_slice"], how).drop("_slice")
 
 
+def attach(rows: DataFrame, unique: DataFrame, keys: Sequence[str], spread_by: Sequence[str | Column], how: str = "inner") -> DataFrame:
+    """Join to a unique side that is usually tiny: broadcast once counted, else salted."""
+    if unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(unique), list(keys), how)
+    return salted_join(rows, unique, keys, spread_by, how)
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

@@ -2,7 +2,7 @@
 
 Normal groups go through one ``groupBy`` with ``percentile`` (linear interpolation
 at ``q * (n - 1)``): one shuffle, value counts combined on the map side.  A
-``percentile`` buffer lives in one task though, so groups above ``hot_rows`` take
+``percentile`` buffer lives in one task though, so groups above a row limit take
 a second exact route in which no task holds a group: count distinct values,
 range-partition them, and read the wanted ranks off running counts.
 """
@@ -20,8 +20,9 @@ from emberscope.runtime import broadcast_if_small, reliable_checkpoint
 LOG_PROBES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Probes requested from history servers (ends are minimum and maximum).
 SERVER_PROBES = (0.0, 0.25, 0.5, 0.75, 1.0)
-#: Rows above which a group is ranked across tasks.
-HOT_ROWS = 1_000_000
+#: Values (rows times metrics) one task may hold for a group; beyond it the group is
+#: ranked across tasks.
+HOT_VALUES = 8_000_000
 
 
 def group_quantiles(
@@ -29,19 +30,21 @@ def group_quantiles(
     keys: Sequence[str],
     metrics: Sequence[str],
     probes: Sequence[float] = LOG_PROBES,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     source: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key: ``num_tasks`` and an ``array<double>`` per metric.
 
-    Needs one narrow count per key beforehand to know whether any group is hot.  A
-    ``source`` with at least as many rows that is cheaper to count (the table or the
-    unparsed lines) can rule that out at once.
+    Needs one count per key beforehand to know whether any group is hot.  A
+    ``source`` with at least as many rows that is cheaper to count can rule that out
+    at once; if it has the key columns the groups are counted there, too.
     """
     keys, metrics = list(keys), list(metrics)
+    hot_rows = HOT_VALUES // len(metrics) if hot_rows is None else hot_rows
     if source is not None and source.limit(hot_rows + 1).count() <= hot_rows:
         return _in_one_task_per_group(df, keys, metrics, probes)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
+    counted = source if source is not None and set(keys) <= set(source.columns) else df
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
     hot = sizes.where(F.col("num_tasks") > hot_rows)
     if hot.isEmpty():
         return _in_one_task_per_group(df, keys, metrics, probes)

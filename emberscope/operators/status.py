@@ -119,14 +119,17 @@ def cluster_totals(tables: Mapping[str, DataFrame], key: str = "cluster_id") ->
     )
 
 
-def cluster_summaries(clusters: DataFrame, totals: DataFrame, details: DataFrame, statuses: DataFrame) -> DataFrame:
+def cluster_summaries(
+    clusters: DataFrame, totals: DataFrame, details: DataFrame, statuses: DataFrame, schema: str = schemas.CLUSTER_SUMMARIES
+) -> DataFrame:
+    """Summary table of the clusters; ``schema`` picks one of the two published layouts."""
     joined = (
         clusters.join(totals, "cluster_id", "left")
         .join(details, "cluster_id", "left")
         .join(statuses, "cluster_id", "left")
         .fillna(0, list(ENDPOINTS.values()))
     )
-    return conform(joined, schemas.CLUSTER_SUMMARIES)
+    return conform(joined, schema)
 
 
 def run_summary(summaries: DataFrame) -> DataFrame:

@@ -92,6 +92,8 @@ CLUSTER_SUMMARIES = _table(
     keys="",
 )
 
+CLUSTER_SUMMARIES_WITH_HOURS = CLUSTER_SUMMARIES.replace("spark_context_id STRING", "normalized_instance_hours INT")
+
 # Payloads of the history endpoints, one element of each list.
 PAYLOADS = {
     "applications": "id STRING, name STRING, sparkVersion STRING, duration BIGINT, startTime STRING, endTime STRING, "
@@ -117,6 +119,13 @@ PAYLOADS = {
     "totalDuration DOUBLE, totalGCTime DOUBLE, totalInputBytes BIGINT, totalShuffleRead BIGINT, totalShuffleWrite BIGINT, "
     "isBlacklisted BOOLEAN, maxMemory BIGINT, addTime STRING, removeTime STRING, executorLogs MAP<STRING, STRING>",
 }
+PAYLOADS["environment"] = (
+    "runtime MAP<STRING, STRING>, sparkProperties ARRAY<ARRAY<STRING>>, hadoopProperties ARRAY<ARRAY<STRING>>, "
+    "systemProperties ARRAY<ARRAY<STRING>>, classpathEntries ARRAY<ARRAY<STRING>>"
+)
+PAYLOADS["storage"] = (
+    "id BIGINT, name STRING, numPartitions BIGINT, numCachedPartitions BIGINT, storageLevel STRING, memoryUsed BIGINT, diskUsed BIGINT"
+)
 NODE_LIST = "array<struct<nodeId: int, nodeName: string, metrics: array<struct<name: string, value: string>>>>"
 
 

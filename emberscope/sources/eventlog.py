@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberscope.runtime import broadcast_if_small
+from emberscope.operators.keyed import attach
 
 # Event names as they appear in logs.
 _UI = "org.apache.spark.sql.execution.ui."
@@ -103,7 +103,7 @@ def read_lines(
         # one row per file, so the numbering window is as small as the listing
         place = F.row_number().over(Window.orderBy(rolled_file_number(F.col("file_name")), "file_path"))
         files = lines.select("file_path", "file_name").distinct().select("file_path", place.alias("file_no"))
-        lines = lines.join(broadcast_if_small(files), "file_path")
+        lines = attach(lines, files, ["file_path"], ["row_id"])
         owner = F.lit(application_id)
     return lines.where(F.trim("value") != "").select(
         owner.alias("application_id"),
