@@ -10,6 +10,8 @@ range-partition them, and read the wanted ranks off running counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +52,8 @@ def group_quantiles(
         return _in_one_task_per_group(df, keys, metrics, probes)
 
     # at most total_rows / hot_rows keys, and the hint is given only if they are few
-    hot_keys = broadcast_if_small(hot.select(*keys))
-    same_key = [df[k].eqNullSafe(hot_keys[k]) for k in keys]
-    condition = same_key[0]
-    for part in same_key[1:]:
-        condition = condition & part
+    hot_keys = broadcast_if_small(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     cold_part = _in_one_task_per_group(df.join(hot_keys, condition, "left_anti"), keys, metrics, probes)
     hot_part = _across_tasks(df.join(hot_keys, condition, "left_semi"), keys, metrics, probes)
     return cold_part.unionByName(hot_part)

@@ -149,6 +149,18 @@ def test_task_metrics(spark, tmp_path):
     assert summary.num_tasks == 3 and summary.duration == [5.0, 25.0, 50.0, 50.0, 50.0]
 
 
+def test_hot_stages_take_the_other_route_with_the_same_result(spark, tmp_path):
+    path = write(tmp_path / "log", [task(s, run=(i * 37) % 90, finish=101 + (i * 13) % 70) for s, n in ((1, 5), (2, 60), (3, 90)) for i in range(n)] + [task(2, "TaskKilled", Killed=True)])
+    events = eventlog.read_event_log(spark, path)
+    plain = {r.stage_id: r for r in accounting.task_summaries(events).collect()}
+    split = {r.stage_id: r for r in accounting.task_summaries(events, hot_rows=50).collect()}
+    assert set(plain) == set(split) == {1, 2, 3}
+    for stage, row in plain.items():
+        assert row.num_tasks == split[stage].num_tasks
+        for name in ("duration", "executor_run_time", "scheduler_delay", "shuffle_read_bytes", "result_size"):
+            assert row[name] == pytest.approx(split[stage][name])
+
+
 def plan(name, explain=None, metrics=(), children=()):
     node = {"nodeName": name, "simpleString": name, "children": list(children), "metadata": {}, "metrics": [{"name": n, "accumulatorId": a, "metricType": "sum"} for n, a in metrics]}
     if explain is not None:
