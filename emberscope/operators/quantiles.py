@@ -37,15 +37,17 @@ def group_quantiles(
 ) -> DataFrame:
     """One row per key: ``num_tasks`` and an ``array<double>`` per metric.
 
-    Needs one count per key beforehand to know whether any group is hot.  A
-    ``source`` with at least as many rows that is cheaper to count can rule that out
-    at once; if it has the key columns the groups are counted there, too.
+    Needs one count per key beforehand to know whether any group is hot.  It is taken
+    from ``source``, a cheaper frame with at least as many rows, when that has the key
+    columns; a source without them can still rule hot groups out by its size.
     """
     keys, metrics = list(keys), list(metrics)
     hot_rows = HOT_VALUES // len(metrics) if hot_rows is None else hot_rows
-    if source is not None and source.limit(hot_rows + 1).count() <= hot_rows:
+    counted = df
+    if source is not None and set(keys) <= set(source.columns):
+        counted = source
+    elif source is not None and source.limit(hot_rows + 1).count() <= hot_rows:
         return _in_one_task_per_group(df, keys, metrics, probes)
-    counted = source if source is not None and set(keys) <= set(source.columns) else df
     sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
     hot = sizes.where(F.col("num_tasks") > hot_rows)
     if hot.isEmpty():
