@@ -38,20 +38,27 @@ def local_session(app_name: str = "emberscope", cpus: int | str = "*", **extra)
     return session
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder, so a lost executor costs nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    local session that names none gets a temporary one.
+    A cluster has to name one.  Only a local session that names none, as in tests, gets a folder of its own, once.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="emberscope-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder, so a lost executor costs nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="emberscope-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
