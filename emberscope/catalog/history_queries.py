@@ -284,9 +284,9 @@ def slowest_stages(data):
     return drill.slowest(timed, ties=["application_id", "stage_id"]).select("application_id", "stage_id", "runtimesec")
 
 
-@query("slowest_sql", f"with {EXECUTIONS} select cast(application_id as varchar) as application_id, sql_id, duration_ms from e order by duration_ms desc, sql_id limit 25")
+@query("slowest_sql", f"with {EXECUTIONS} select cast(application_id as varchar) as application_id, sql_id, duration_ms from e")
 def slowest_sql(data):
-    return drill.slowest(sql_table(data), "duration_ms", ["sql_id"], 25).select("application_id", "sql_id", "duration_ms")
+    return drill.slowest(sql_table(data), "duration_ms", ["sql_id"]).select("application_id", "sql_id", "duration_ms")
 
 
 @query("slow_executions", "select application_id, sql_id, duration_ms from tel_sql where duration_ms > 300000")
@@ -344,7 +344,7 @@ def raw_summaries(data):
     """Task-summary table: min, quartiles and max of successful tasks as JSON text."""
     tasks = data("tel_tasks").where("status = 'SUCCESS'").withColumn("attempt_id", F.expr(ATTEMPT)).withColumnRenamed("duration_ms", "duration")
     metrics = ("duration", "input_bytes", "shuffle_read_bytes", "memory_bytes_spilled", "disk_bytes_spilled")
-    summaries = group_quantiles(tasks, [*STAGE, "attempt_id"], metrics, SERVER_PROBES, source=data("lineitem"))
+    summaries = group_quantiles(tasks, [*STAGE, "attempt_id"], metrics, SERVER_PROBES)
     names = data("tel_clusters").select("cluster_id", "cluster_name")
     named = salted_join(summaries, names, ["cluster_id"], ["application_id", "stage_id"], "inner")
     return history.task_summary_payload(named, SERVER_PROBES)
@@ -371,7 +371,7 @@ def task_summary_lookup(data):
 )
 def stage_details(data):
     failed = data("tel_tasks").where("status = 'FAILED'")
-    medians = group_quantiles(failed, ["application_id", "stage_id"], ["duration_ms"], (0.5,), source=data("lineitem")).drop("num_tasks")
+    medians = group_quantiles(failed, ["application_id", "stage_id"], ["duration_ms"], (0.5,)).drop("num_tasks")
     return drill.stage_details(data("tel_stages"), medians, ["application_id", "stage_id"]).select(
         "application_id", "stage_id", "num_tasks", F.get("duration_ms", 0).alias("median")
     )

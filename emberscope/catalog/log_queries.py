@@ -178,7 +178,7 @@ def log_sql(data):
 @query(
     "log_sql_jobs",
     f"""with {SQL}, j as (select o_orderkey as job, o_orderkey // 3 % 10 + 1 as app, o_orderkey // 64 as ex, o_orderstatus as st from orders where o_orderkey % 17 <> 0 and o_orderkey % 11 <> 0)
-select cast(app as varchar) as application_id, ex as execution_id, 0::bigint as part, coalesce(string_agg(job, ',' order by job) filter (where st <> 'P'), '') as success_job_ids,
+select cast(app as varchar) as application_id, ex as execution_id, coalesce(string_agg(job, ',' order by job) filter (where st <> 'P'), '') as success_job_ids,
  coalesce(string_agg(job, ',' order by job) filter (where st = 'P'), '') as failed_job_ids from j join x using (app, ex) group by 1, 2""",
 )
 def log_sql_jobs(data):

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.catalog.registry import Data
-from emberscope.runtime import spread
 from emberscope.sources.eventlog import EVENTS, event_order
 
 
@@ -49,7 +48,7 @@ def _shared() -> Column:
 
 def job_lines(data: Data) -> DataFrame:
     """Job and stage events of every order."""
-    orders, key, app = spread(data("orders")), order_key(), order_application()
+    orders, key, app = data("orders").repartition("o_orderkey"), order_key(), order_application()
     base, a_tasks = key * 1000, 4 + key % 3
 
     def info(stage, tasks, name="stage"):
@@ -112,13 +111,13 @@ def _task_fields(stage_id: Column, attempt: Column) -> dict[str, Column]:
 
 def order_task_lines(data: Data) -> DataFrame:
     """Line items as tasks of the first stage of their order."""
-    items = spread(data("lineitem")).withColumn("o_orderkey", F.col("l_orderkey"))
+    items = data("lineitem").repartition("l_orderkey", "l_linenumber").withColumn("o_orderkey", F.col("l_orderkey"))
     return _lines(items, "task_end", order_application(), order_key() * 1000 + 10 + F.col("l_linenumber"), _task_fields(3 * order_key(), F.lit(0)))
 
 
 def supplier_task_lines(data: Data) -> DataFrame:
     """Line items as tasks of five large stages per supplier."""
-    items, supplier = spread(data("lineitem")), F.col("l_suppkey")
+    items, supplier = data("lineitem").repartition("l_orderkey", "l_linenumber"), F.col("l_suppkey")
     fields = _task_fields(F.col("l_partkey") % 5, F.when(F.col("l_partkey") % 40 == 3, 1).otherwise(0))
     return _lines(items, "task_end", supplier.cast("string"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), fields)
 

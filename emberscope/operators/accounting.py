@@ -44,12 +44,9 @@ def outcome_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def task_summaries(
-    events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS), hot_rows: int | None = None
-) -> DataFrame:
+def task_summaries(events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS)) -> DataFrame:
     """Quantile vectors of the successful tasks of each stage attempt."""
-    # the outcome shape is a fraction of the metrics shape, so groups are counted on it
-    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES, hot_rows, source=ev.task_outcomes(events))
+    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES)
 
 
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:

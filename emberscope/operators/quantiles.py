@@ -1,10 +1,9 @@
-"""Exact quantiles of many metrics per group.
+"""Exact quantiles of many metrics per group, by ranks of counted values.
 
-Normal groups go through one ``groupBy`` with ``percentile`` (linear interpolation
-at ``q * (n - 1)``): one shuffle, value counts combined on the map side.  A
-``percentile`` buffer lives in one task though, so groups above a row limit take
-a second exact route in which no task holds a group: count distinct values,
-range-partition them, and read the wanted ranks off running counts.
+There is one route for groups of every size.  Rows are counted per (group, metric, value), combined on the map side.
+Counts then run over stretches of neighbouring values, at most 1/256 of an octave wide, so that a group with most of
+the rows is ranked by many tasks; the totals of the stretches below are added from a table with a row per stretch.
+Keys may be NULL.
 """
 
 from __future__ import annotations
@@ -13,118 +12,67 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.runtime import broadcast_if_small, reliable_checkpoint
-
 #: Probes used for event logs (ends are the 5th and 95th percentile).
 LOG_PROBES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Probes requested from history servers (ends are minimum and maximum).
 SERVER_PROBES = (0.0, 0.25, 0.5, 0.75, 1.0)
-#: Values (rows times metrics) one task may hold for a group; beyond it the group is
-#: ranked across tasks.
-HOT_VALUES = 8_000_000
-
-
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    metrics: Sequence[str],
-    probes: Sequence[float] = LOG_PROBES,
-    hot_rows: int | None = None,
-    source: DataFrame | None = None,
-) -> DataFrame:
+#: Stretches per octave of values.
+STRETCHES = 256
+
+
+def value_stretch(value: Column) -> Column:
+    """Number of the stretch a value lies in; it grows with the value, NaN being the largest."""
+    # doubles lie between 2^-1075 and 2^1024, so the shifted number of a positive value is positive
+    size = F.floor(F.log2(F.abs(value)) * STRETCHES) + 1100 * STRETCHES
+    stretch = F.when(value == 0, 0).when(value > 0, size).otherwise(-size)
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.signum(value) * 3000 * STRETCHES).otherwise(stretch).cast("long")
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], probes: Sequence[float] = LOG_PROBES) -> DataFrame:
     """One row per key: ``num_tasks`` and an ``array<double>`` per metric.
 
-    Needs one count per key beforehand to know whether any group is hot.  It is taken
-    from ``source``, a cheaper frame with at least as many rows, when that has the key
-    columns; a source without them can still rule hot groups out by its size.
+    Interpolates linearly at ``q * (n - 1)``; NULL values do not count, and a metric without values is NULL.
     """
     keys, metrics = list(keys), list(metrics)
-    hot_rows = HOT_VALUES // len(metrics) if hot_rows is None else hot_rows
-    counted = df
-    if source is not None and set(keys) <= set(source.columns):
-        counted = source
-    elif source is not None and source.limit(hot_rows + 1).count() <= hot_rows:
-        return _in_one_task_per_group(df, keys, metrics, probes)
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
-    hot = sizes.where(F.col("num_tasks") > hot_rows)
-    if hot.isEmpty():
-        return _in_one_task_per_group(df, keys, metrics, probes)
-
-    # at most total_rows / hot_rows keys, and the hint is given only if they are few
-    hot_keys = broadcast_if_small(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
-    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    cold_part = _in_one_task_per_group(df.join(hot_keys, condition, "left_anti"), keys, metrics, probes)
-    hot_part = _across_tasks(df.join(hot_keys, condition, "left_semi"), keys, metrics, probes)
-    return cold_part.unionByName(hot_part)
-
-
-def _in_one_task_per_group(df, keys, metrics, probes) -> DataFrame:
-    points = F.array(*[F.lit(float(q)) for q in probes])
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_tasks"),
-        *[F.percentile(F.col(m).cast("double"), points).alias(m) for m in metrics],
+    slot = [*keys, "metric"]
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    counts = df.select(*keys, F.inline(pairs)).groupBy(*slot, "value").agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.withColumn("times", F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(0))
+    counts = counts.withColumn("stretch", F.coalesce(value_stretch(F.col("value")), F.lit(-(2**40))))
+
+    inside = Window.partitionBy(*slot, "stretch").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy(*slot).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = counts.groupBy(*slot, "stretch").agg(F.sum("times").alias("held")).select(
+        *[F.col(k).alias(f"_{k}") for k in [*slot, "stretch"]],
+        F.coalesce(F.sum("held").over(below), F.lit(0)).alias("skipped"),
+        F.sum("held").over(Window.partitionBy(*slot)).alias("total"),
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*slot, "stretch"]])
+    ranked = counts.withColumn("upto", F.sum("times").over(inside)).join(stretches, same)
+    last = F.col("skipped") + F.col("upto") - 1
+    first = last - F.col("times") + 1
 
+    def position(q: float) -> Column:
+        return F.lit(float(q)) * (F.col("total") - 1)
 
-def _across_tasks(df, keys, metrics, probes) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    counts = (
-        df.select(*keys, F.inline(pairs))
-        .groupBy(*keys, "metric", "value")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    # Chunk numbers are frozen in the checkpoint before they are used twice.
-    ordered = reliable_checkpoint(
-        counts.repartitionByRange(*keys, "metric", "value").withColumn("chunk", F.spark_partition_id())
-    )
-    # percentile skips NULLs, so do the ranks
-    valued = ordered.where(F.col("value").isNotNull())
-    slot = [*keys, "metric"]
-    inside = Window.partitionBy(*slot, "chunk").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*slot).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    all_chunks = Window.partitionBy(*slot)
-    offsets = (
-        valued.groupBy(*slot, "chunk")
-        .agg(F.sum("times").alias("in_chunk"))
-        .select(
-            *slot,
-            "chunk",
-            F.coalesce(F.sum("in_chunk").over(before), F.lit(0)).alias("skipped"),
-            F.sum("in_chunk").over(all_chunks).alias("total"),
-        )
-    )
-    ranked = (
-        valued.withColumn("upto", F.sum("times").over(inside))
-        .join(offsets, [*slot, "chunk"])
-        .withColumn("last", F.col("skipped") + F.col("upto") - 1)
-        .withColumn("first", F.col("last") - F.col("times") + 1)
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("times") > 0) & (first <= rank) & (rank <= last), F.col("value")))
+
+    picked = ranked.groupBy(*slot).agg(
+        F.sum("rows").alias("rows"), F.max("total").alias("total"),
+        *[at(F.floor(position(q))).alias(f"low{i}") for i, q in enumerate(probes)],
+        *[at(F.ceil(position(q))).alias(f"high{i}") for i, q in enumerate(probes)],
     )
 
-    def rank_of(q):
-        return F.lit(float(q)) * (F.col("total") - 1)
+    def between(i: int, q: float) -> Column:
+        low, high, place = F.col(f"low{i}"), F.col(f"high{i}"), position(q)
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
-    def covers(rank):
-        return (F.col("first") <= rank) & (rank <= F.col("last"))
-
-    wanted = F.lit(False)
-    picks = [F.max("total").alias("total")]
-    for i, q in enumerate(probes):
-        low, high = F.floor(rank_of(q)), F.ceil(rank_of(q))
-        wanted = wanted | covers(low) | covers(high)
-        picks.append(F.max(F.when(covers(low), F.col("value"))).alias(f"low{i}"))
-        picks.append(F.max(F.when(covers(high), F.col("value"))).alias(f"high{i}"))
-    picked = ranked.where(wanted).groupBy(*slot).agg(*picks)
-
-    vector = []
-    for i, q in enumerate(probes):
-        share = rank_of(q) - F.floor(rank_of(q))
-        vector.append(F.col(f"low{i}") + share * (F.col(f"high{i}") - F.col(f"low{i}")))
-    vectors = picked.select(*slot, F.array(*vector).alias("vector"))
-    wide = vectors.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("vector"))).alias(m) for m in metrics]
+    vector = F.when(F.col("total") > 0, F.array(*[between(i, q) for i, q in enumerate(probes)]))
+    return picked.withColumn("vector", vector).groupBy(*keys).agg(
+        F.max(F.when(F.col("metric") == metrics[0], F.col("rows"))).alias("num_tasks"),
+        *[F.max(F.when(F.col("metric") == m, F.col("vector"))).alias(m) for m in metrics],
     )
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"))
-    return rows.join(wide, list(keys), "left").select(*keys, "num_tasks", *metrics)

@@ -247,29 +247,20 @@ def execution_jobs(events: DataFrame) -> DataFrame:
     return salted_join(ended, known, EXECUTION, ["job_id"], "inner")
 
 
-#: Job numbers of one execution that go into one list.
-JOBS_PER_LIST = 65_536
-
-
 def execution_job_lists(jobs: DataFrame) -> DataFrame:
-    """Succeeded job ids as a list, failed ones joined by commas.
+    """Succeeded job ids as a list, failed ones joined by commas; one row per execution.
 
-    A list covers 65,536 job numbers; an execution that spans more gets several rows
-    (``part``), so the size of a row stays bounded and no job is lost.
+    The list is part of the published shape of an execution; the relation itself is ``execution_jobs``.
     """
-    # numbers of one list differ in the low 16 bits only
-    stretches = jobs.withColumn("_stretch", F.floor(F.col("job_id") / JOBS_PER_LIST))
     ok = F.col("status") == "JobSucceeded"
 
     def listed(condition):
         ids = F.array_sort(F.collect_list(F.when(condition, F.col("job_id"))))
         return F.transform(ids, lambda j: j.cast("string"))
 
-    lists = stretches.groupBy(*EXECUTION, "_stretch").agg(
+    return jobs.groupBy(*EXECUTION).agg(
         listed(ok).alias("success_job_ids"), F.array_join(listed(~ok), ",").alias("failed_job_ids")
     )
-    lowest = F.min("_stretch").over(Window.partitionBy(*EXECUTION))
-    return lists.withColumn("part", F.col("_stretch") - lowest).drop("_stretch")
 
 
 def nested_nodes(nodes: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -96,8 +96,9 @@ def _incomplete(corrected: bool):
 
 def _stage_times(stages: DataFrame, keys, corrected: bool) -> DataFrame:
     started, ended = F.col("submission_time").cast("timestamp"), F.col("completion_time").cast("timestamp")
+    attempt = ["attempt_id"] if "attempt_id" in stages.columns and "attempt_id" not in keys else []
     return stages.select(
-        *keys, "stage_id", "task_completion_rate",
+        *keys, "stage_id", *attempt, "task_completion_rate",
         _flag(_incomplete(corrected)).alias("incomplete"),
         elapsed("MILLISECOND", started, ended).alias("duration"),
         F.col("completion_time"),
@@ -112,11 +113,12 @@ def inefficient_stages(
 ) -> DataFrame:
     """One row per stage: flags, number of raised flags, completion rate and duration.
 
-    The join uses the full key.  (Joining on cluster and stage number alone pairs
-    stages of unrelated applications; the two agree when a cluster runs one.)
+    The join uses the full key, with the attempt where both sides carry it.  (Joining on cluster and stage number
+    alone pairs stages of unrelated applications; the two agree when a cluster runs one.)
     """
-    flags = stage_flags(task_summaries, corrected)
-    joined = flags.join(_stage_times(stages, keys, corrected), [*keys, "stage_id"])
+    flags, times = stage_flags(task_summaries, corrected), _stage_times(stages, keys, corrected)
+    attempt = [x for x in ("attempt_id",) if x in flags.columns and x in times.columns]
+    joined = flags.join(times if attempt else times.drop("attempt_id"), [*keys, "stage_id", *attempt])
     return joined.withColumn("goldcheckfilter", (_raised(corrected) + F.col("incomplete")).cast("int")).drop("incomplete")
 
 
@@ -133,18 +135,21 @@ def inefficient_clusters(
     that number in the cluster.  The pairs are never built: for a stage number with
     ``n`` summaries, ``f`` of them flagged, and total duration ``d`` (``i`` of it
     incomplete), the pair sums are ``n * d`` and ``n * i + f * (d - i)``.
-    ``corrected`` scores each application by its own stages instead.
+    ``corrected`` scores each application by its own stages instead, a summary with its own attempt where both sides
+    carry it.
     """
+    attempt = ["attempt_id"] if corrected and "attempt_id" in task_summaries.columns and "attempt_id" in stages.columns else []
+    stage = ["stage_id", *attempt]
     scope = ["cluster_id", "application_id"] if corrected else ["cluster_id"]
     flagged = _flag(_raised(corrected) > 0)
     summaries = (
         stage_flags(task_summaries, corrected)
-        .groupBy(*scope, "cluster_name", "stage_id")
+        .groupBy(*scope, "cluster_name", *stage)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(flagged).alias("f"))
     )
     times = (
         _stage_times(stages, scope, corrected)
-        .groupBy(*scope, "stage_id")
+        .groupBy(*scope, *stage)
         .agg(
             F.sum("duration").alias("d"),
             F.sum(F.when(F.col("incomplete") == 1, F.col("duration")).otherwise(0)).alias("i"),
@@ -152,7 +157,7 @@ def inefficient_clusters(
     )
     n, f, d, i = F.col("n"), F.col("f"), F.col("d"), F.col("i")
     score = (
-        summaries.join(times, [*scope, "stage_id"])
+        summaries.join(times, [*scope, *stage])
         .groupBy(*scope, "cluster_name")
         .agg((F.try_divide(F.sum(n * i + f * (d - i)), F.sum(n * d)) * 100).alias("ineffstageagg"))
         .where(F.col("ineffstageagg") > threshold)

@@ -27,15 +27,19 @@ class EventLog:
     ``events`` should be landed (:func:`sources.eventlog.land_events`) when more than
     one or two frames are wanted from a large log.  Frames that feed several others
     are checkpointed when first used.
+
+    ``corrected`` takes plan nodes and rules in their corrected form.  Logs of open-source Spark need it: their
+    plans carry no ``explainId``, without which the published form finds no nodes with metrics.
     """
 
     events: DataFrame
+    corrected: bool = False
 
     @classmethod
-    def read(cls, spark: SparkSession, path, landed: str | None = None) -> "EventLog":
+    def read(cls, spark: SparkSession, path, landed: str | None = None, corrected: bool = False) -> "EventLog":
         """Read logs; with ``landed`` the events are written there first."""
         events = eventlog.read_event_log(spark, path)
-        return cls(events if landed is None else eventlog.land_events(events, landed))
+        return cls(events if landed is None else eventlog.land_events(events, landed), corrected)
 
     @cached_property
     def stages(self) -> DataFrame:
@@ -55,11 +59,11 @@ class EventLog:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return reliable_checkpoint(sqlplans.plan_nodes(self.executions))
+        return reliable_checkpoint(sqlplans.plan_nodes(self.executions, self.corrected))
 
     @cached_property
     def node_metrics(self) -> DataFrame:
-        return sqlplans.node_metrics(self.nodes, self.events)
+        return sqlplans.node_metrics(self.nodes, self.events, self.corrected)
 
     @cached_property
     def execution_jobs(self) -> DataFrame:
@@ -102,13 +106,13 @@ class EventLog:
         )
 
     def sql_metrics(self) -> DataFrame:
-        """Executions with nested nodes and job lists (``part`` > 0 only continues a job list)."""
+        """Executions with nested nodes and job lists, one row each."""
         nodes = sqlplans.nested_nodes(self.nodes, self.node_metrics)
         lists = sqlplans.execution_job_lists(self.execution_jobs)
         joined = self.executions.join(nodes, sqlplans.EXECUTION, "left").join(lists, sqlplans.EXECUTION, "left")
         return joined.select(
             *KEY,
-            F.col("execution_id").alias("id"), F.coalesce("part", F.lit(0)).alias("part"), "status", "description",
+            F.col("execution_id").alias("id"), "status", "description",
             F.col("plan_description").alias("planDescription"), iso_from_millis(F.col("start_ms")).alias("submissionTime"),
             F.col("duration_ms").alias("duration"),
             F.coalesce("success_job_ids", F.array().cast("array<string>")).alias("successJobIds"),
@@ -135,6 +139,7 @@ class EventLog:
             executions=self.executions.withColumnRenamed("execution_id", "sql_id"),
             node_metrics=self.node_metrics.withColumnRenamed("execution_id", "sql_id"),
             summaries=self.task_summaries,
+            corrected=self.corrected,
         )
 
     def report(self) -> DataFrame:
@@ -156,9 +161,9 @@ class EventLog:
         """Drill-down of one execution id (in every application that has it)."""
         rows = self.sql_metrics().where(F.col("id") == execution_id)
         renamed = rows.withColumnsRenamed({"id": "sql_id", "duration": "duration_ms"})
-        totals = drill.execution_overview(renamed, ["application_id", "sql_id", "part"])
-        lists = renamed.select("application_id", "sql_id", "part", "successJobIds", "failedJobIds", "nodes")
-        return totals.join(lists, ["application_id", "sql_id", "part"])
+        totals = drill.execution_overview(renamed, ["application_id", "sql_id"])
+        lists = renamed.select("application_id", "sql_id", "successJobIds", "failedJobIds", "nodes")
+        return totals.join(lists, ["application_id", "sql_id"])
 
     def execution_node_types(self, execution_id: int) -> DataFrame:
         nodes = self.nodes.where(F.col("execution_id") == execution_id)

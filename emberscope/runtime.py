@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings the operators are written for; a cluster normally has its own values
 #: for the sizing ones, so only correctness and AQE settings are listed here.
@@ -16,9 +15,6 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-#: A side of a join is broadcast by hint only when it has at most this many rows.
-BROADCAST_ROWS = 100_000
-
 
 def local_session(app_name: str = "emberscope", cpus: int | str = "*", **extra) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -60,21 +56,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; else leave it to AQE."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the cores when it has fewer splits than cores.
-
-    Parsing JSON is the expensive step of a log; a small input in one row group
-    would otherwise be parsed by one task.  Larger inputs have enough splits and are
-    not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberscope.operators.keyed import attach
-
 # Event names as they appear in logs.
 _UI = "org.apache.spark.sql.execution.ui."
 EVENTS = {
@@ -71,29 +71,34 @@ def is_log_file(file_name: Column) -> Column:
     )
 
 
+def _lines_of(spark: SparkSession, paths: list[str], select: bool) -> DataFrame:
+    raw = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(paths)
+    lines = raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+    )
+    if select:
+        lines = lines.where(is_log_file(F.col("file_name")))
+    return lines.withColumn("row_id", F.monotonically_increasing_id())
+
+
 def read_lines(
     spark: SparkSession, path: str | list[str], select_files: bool | None = None, application_id: str | None = None
 ) -> DataFrame:
     """Non-blank log lines with application and position; unreadable files are skipped.
 
-    A path whose last segment has a dot is one file and is read as it is; a folder
-    is read recursively and only its log files count, unless ``select_files`` says so.
+    Each path is looked at by itself: one whose last segment has a dot is one file and is read as it is; a folder is
+    read recursively and only its log files count.  ``select_files`` decides for all paths instead.
     Every log is its own application unless ``application_id`` names one for all
     files, which then follow each other by name.
     """
-    first = path if isinstance(path, str) else path[0]
-    if select_files is None:
-        select_files = "." not in first.rstrip("/").rsplit("/", 1)[-1]
-    raw = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
-    lines = raw.select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-    )
-    if select_files:
-        lines = lines.where(is_log_file(F.col("file_name")))
-    lines = lines.withColumn("row_id", F.monotonically_increasing_id())
+    by_kind: dict[bool, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        folder = "." not in one.rstrip("/").rsplit("/", 1)[-1] if select_files is None else select_files
+        by_kind.setdefault(folder, []).append(one)
+    lines = reduce(DataFrame.unionByName, [_lines_of(spark, some, folder) for folder, some in by_kind.items()])
     if lines.isEmpty():
         raise FileNotFoundError(f"no event log lines found in {path}")
     if application_id is None:
@@ -103,7 +108,7 @@ def read_lines(
         # one row per file, so the numbering window is as small as the listing
         place = F.row_number().over(Window.orderBy(rolled_file_number(F.col("file_name")), "file_path"))
         files = lines.select("file_path", "file_name").distinct().select("file_path", place.alias("file_no"))
-        lines = attach(lines, files, ["file_path"], ["row_id"])
+        lines = lines.join(files, "file_path")
         owner = F.lit(application_id)
     return lines.where(F.trim("value") != "").select(
         owner.alias("application_id"),

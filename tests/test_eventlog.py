@@ -149,18 +149,6 @@ def test_task_metrics(spark, tmp_path):
     assert summary.num_tasks == 3 and summary.duration == [5.0, 25.0, 50.0, 50.0, 50.0]
 
 
-def test_hot_stages_take_the_other_route_with_the_same_result(spark, tmp_path):
-    path = write(tmp_path / "log", [task(s, run=(i * 37) % 90, finish=101 + (i * 13) % 70) for s, n in ((1, 5), (2, 60), (3, 90)) for i in range(n)] + [task(2, "TaskKilled", Killed=True)])
-    events = eventlog.read_event_log(spark, path)
-    plain = {r.stage_id: r for r in accounting.task_summaries(events).collect()}
-    split = {r.stage_id: r for r in accounting.task_summaries(events, hot_rows=50).collect()}
-    assert set(plain) == set(split) == {1, 2, 3}
-    for stage, row in plain.items():
-        assert row.num_tasks == split[stage].num_tasks
-        for name in ("duration", "executor_run_time", "scheduler_delay", "shuffle_read_bytes", "result_size"):
-            assert row[name] == pytest.approx(split[stage][name])
-
-
 def plan(name, explain=None, metrics=(), children=()):
     node = {"nodeName": name, "simpleString": name, "children": list(children), "metadata": {}, "metrics": [{"name": n, "accumulatorId": a, "metricType": "sum"} for n, a in metrics]}
     if explain is not None:
@@ -226,11 +214,18 @@ def test_deep_plan_is_flattened(spark):
     assert sorted(r.n for r in df.collect()) == [0, 400]
 
 
-def test_job_lists_keep_every_job(spark):
-    far = sqlplans.JOBS_PER_LIST
-    jobs = spark.createDataFrame([("a", 1, j, "JobSucceeded") for j in (3, 5, far + 1)], "application_id STRING, execution_id BIGINT, job_id BIGINT, status STRING")
-    got = {r.part: r.success_job_ids for r in sqlplans.execution_job_lists(jobs).collect()}
-    assert got == {0: ["3", "5"], 1: [str(far + 1)]}
+def test_an_execution_keeps_one_row_whatever_its_job_numbers(spark):
+    jobs = spark.createDataFrame([("a", 1, j, "JobSucceeded") for j in (3, 65535, 65536)], "application_id STRING, execution_id BIGINT, job_id BIGINT, status STRING")
+    assert [r.success_job_ids for r in sqlplans.execution_job_lists(jobs).collect()] == [["3", "65535", "65536"]]
+
+
+def test_each_path_of_a_list_is_looked_at_by_itself(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    write(tmp_path / "folder" / "app-1", [{"Event": "SparkListenerJobEnd", "Job ID": 1}])
+    (tmp_path / "folder" / "notes.txt").write_text("no log\n")
+    single = write(tmp_path / "one.json", [{"Event": "SparkListenerJobEnd", "Job ID": 2}])
+    for paths in ([str(tmp_path / "folder"), single], [single, str(tmp_path / "folder")]):
+        assert eventlog.read_lines(spark, paths).count() == 2
 
 
 def test_accumulator_lookup(spark):
@@ -300,3 +295,6 @@ def test_real_log(spark, real_log, tmp_path):
     stages = log.stages.where("status = 'COMPLETE'")
     assert stages.where("num_completed_tasks > num_tasks").count() == 0
     assert log.task_summaries.where("duration IS NULL").count() == 0
+    # open-source plans carry no explainId: the corrected form finds their nodes
+    corrected = EventLog(log.events, corrected=True)
+    assert corrected.nodes.count() > 0
