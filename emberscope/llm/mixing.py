@@ -166,10 +166,13 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
 
 
 def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents with a rate above zero, with their columns and ``n_tokens``, posteriors and ``rate``."""
+    """The documents with a rate above zero, with their columns and ``n_tokens``, posteriors and ``rate``.
+
+    Columns of the documents with one of these names give way to them.
+    """
     rates = mixed(documents, labels, targets).where("rate > 0").dropDuplicates(["doc_id", "fp"])
     added = [x for x in rates.columns if x not in ("doc_id", "fp")]
-    rates = rates.select(F.col("doc_id").alias("_id"), "fp", *added)
+    rates = rates.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), *added)
     fp = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rest = documents.drop(*added)
-    return rest.join(rates, rest.doc_id.eqNullSafe(rates["_id"]) & (fp == rates.fp)).select(*rest.columns, *added)
+    return rest.join(rates, rest.doc_id.eqNullSafe(rates["_id"]) & (fp == rates["_fp"])).select(*rest.columns, *added)

@@ -24,10 +24,12 @@ from emberscope.llm.common import ByteHashes, mix, saved, text_slices, utf8, wor
 SAMPLE = 20_000
 FEATURES = 100
 LEAST_ROWS = 5
+#: Standard deviations by which a feature has to be more frequent in toxic rows.
+LEAST_GAP = 4.0
 BEGINNINGS = (4, 5, 6)
 #: Rejected: probability of any toxic grade above this.
 REJECT = 0.5
-_ROUNDS, _RATE, _DECAY = 400, 0.1, 3e-4
+_ROUNDS, _RATE, _PRIOR = 400, 0.1, 6.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +86,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch gradient descent (Adam) on the mean log-likelihood of ``grade`` in 0..grades.
 
-    Clean and toxic rows count half each, however rare toxic ones are.
+    Clean and toxic rows count half each, however rare toxic ones are.  The weights have a normal prior, which counts
+    the less the more rows there are.
     """
     n, d = x.shape
     toxic = (grade > 0).mean()
@@ -107,7 +110,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int) -> tuple[np.ndarr
         by_theta[np.arange(n), grade + 1] += slope[np.arange(n), grade + 1] / p
         by_theta = mass @ by_theta[:, 1:-1]
         later = np.cumsum(by_theta[::-1])[::-1]
-        gradient = -np.concatenate([x.T @ (mass * by_score) - _DECAY * raw[:d], later[:1], later[1:] * steps])
+        gradient = -np.concatenate([x.T @ (mass * by_score) - _PRIOR / n * raw[:d], later[:1], later[1:] * steps])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         raw -= _RATE * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.999**i)) + 1e-8)
@@ -130,7 +133,7 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``graded(doc_id, grade)``, grades 0, 1, ... with 0 for clean rows.
 
     Null grades are left out; of several grades of an id the highest counts; equal texts count once.  If there is only
-    one grade above 0, its rows are spread over three grades by how many of the telling features they have.  Without
+    one grade above 0, its rows are spread over three grades by how many of the most telling features they have.  Without
     rows of both kinds the model rejects nothing.
     """
     ids = graded.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
@@ -148,10 +151,12 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
     gap = a / size.toxic - b / (size.n - size.toxic)
     z = gap / F.sqrt(n * (1 - n) * (1 / size.toxic + 1 / (size.n - size.toxic)) + F.lit(1e-12))
     least = max(1, min(LEAST_ROWS, size.toxic // 4), size.toxic // 100)
-    best = counts.where(F.col("a") >= least).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    best = counts.where((F.col("a") >= least) & (z >= LEAST_GAP)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     if not best:
         return Model()
-    names = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
+    names = np.array([r.feature for r in best], np.int64).view(np.uint64)
+    telling = np.array([r.z for r in best])[np.argsort(names)] >= best[0].z / 3
+    names = np.sort(names)
     model = Model(names, np.zeros(len(names)))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
         x[i, row.place] = row.value
     grade = np.array([r.grade for r in taught])
     if len(np.unique(grade)) == 2:
-        marks = (x > 0).sum(axis=1)
+        marks = (x[:, telling] > 0).sum(axis=1)
         cuts = np.quantile(marks[grade > 0], [1 / 3, 2 / 3])
         grade = np.where(grade > 0, 1 + (marks[:, None] > cuts[None, :]).sum(axis=1), 0)
     grade = np.unique(grade, return_inverse=True)[1]

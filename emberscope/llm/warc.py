@@ -49,8 +49,9 @@ def url_key(url: F.Column, otherwise: F.Column) -> F.Column:
     """``com,example,www)/path?query`` of a URL; a text without scheme and host keeps its own characters behind ``)``."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    turned = F.array_join(F.reverse(F.split(host, r"\.")), ",")
-    return F.coalesce(F.concat(turned, F.lit(")"), rest), otherwise)
+    turned = F.array_join(F.reverse(F.split(F.regexp_replace(host, r":[0-9]*$", ""), r"\.")), ",")
+    port = F.regexp_extract(host, r":[0-9]+$", 0)
+    return F.coalesce(F.concat(turned, port, F.lit(")"), rest), otherwise)
 
 
 def _gzip(data: bytes) -> bytes:
