@@ -26,24 +26,19 @@ DOMAINS = ("good", "low", "toxic")
 #: Shares of the token budget; the budget is the tokens there are.
 TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
 STEPS, STEPS_A_TABLE, TOLERANCE = 64, 16, 1e-6
-_SYMBOLS = r"[^\p{L}\p{N}\s.,;:?'\"-]"
-
-
-def terms(text: F.Column) -> F.Column:
-    """Beginnings of the words of a text, and terms for its form: symbols per word, share of different words, words."""
-    words = F.split(text, r"[\s.,;:!?]+", -1)
-    count = F.greatest(F.size(words), F.lit(1))
-    symbols = F.length(text) - F.length(F.regexp_replace(text, _SYMBOLS, ""))
-    levels = {
-        "symbols": F.floor(F.log2(1 + 8 * symbols / count)),
-        "different": F.floor(8 * F.size(F.array_distinct(words)) / count),
-        "words": F.floor(F.log2(count)),
-    }
-    return F.concat(words, F.array(*(F.concat(F.lit(f"\x01{name[:3]}"), level.cast("string")) for name, level in levels.items())))
 
 
 def _term_rows(documents: DataFrame, *columns: str) -> DataFrame:
-    exploded = documents.select(*columns, F.explode(terms(F.col("text"))).alias("word"))
+    """One row per term: the beginnings of the words of a text, and terms for how many words and different words it has.
+
+    Words are cut at blanks, and a beginning has their punctuation.  The words are a column of their own, so that a
+    text is cut once.
+    """
+    words = documents.select(*columns, F.split("text", r"[\x20\n\t\r]", -1).alias("words"))
+    count = F.greatest(F.size("words"), F.lit(1))
+    levels = {"different": F.floor(8 * F.size(F.array_distinct("words")) / count), "words": F.floor(F.log2(count))}
+    form = F.array(*(F.concat(F.lit(f"\x01{name[:3]}"), level.cast("string")) for name, level in levels.items()))
+    exploded = words.select(*columns, "words", form.alias("form")).select(*columns, F.explode(F.concat("words", "form")).alias("word"))
     return exploded.select(*columns, F.lower(F.substring("word", 1, TERM_CHARS)).alias("term"))
 
 
