@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberscope.catalog import logs
 from emberscope.catalog.registry import query
+from emberscope.catalog.rule_queries import ADVICE_VALUES
 from emberscope.operators import accounting, sqlplans
 from emberscope.operators import events as ev
 from emberscope.plans import advisor, overview
@@ -86,16 +87,6 @@ def log_task_outcomes(data):
     return accounting.outcome_counts(logs.order_task_lines(data))
 
 
-@query(
-    "log_overview",
-    f"""with {JOBS} select cast(app as varchar) as application_id, 'jobs' as kind, case when e is null then '' when st = 'P' then 'JobFailed' else 'JobSucceeded' end as status, count(*) as n from o group by 1, 3
- union all select cast(app as varchar), 'stages', status, count(*) from stg group by 1, 3""",
-)
-def log_overview(data):
-    log = EventLog(logs.job_events(data))
-    return overview.status_counts({"jobs": log.jobs, "stages": log.stages}, ["application_id"])
-
-
 @query(
     "log_io_summary",
     f"""with {JOBS} select cast(app as varchar) as application_id, 0::bigint as total_input_bytes, 0::bigint as total_output_bytes, sum(shuffle)::bigint as total_shuffle_read_bytes,
@@ -239,7 +230,49 @@ def log_accumulators(data):
     )
 
 
-@query("log_recommendations")
+def whole_log(data):
+    """Jobs, stages and tasks of ten applications, and SQL executions of ten others."""
+    sql = logs.sql_lines(data).withColumn("application_id", F.concat(F.lit("sql-"), "application_id"))
+    return EventLog(logs.job_events(data).unionByName(sql))
+
+
+@query(
+    "log_overview",
+    f"""with {JOBS}, {SQL} select cast(app as varchar) as application_id, 'jobs' as kind, case when e is null then '' when st = 'P' then 'JobFailed' else 'JobSucceeded' end as status, count(*) as n from o group by 1, 3
+ union all select cast(app as varchar), 'stages', status, count(*) from stg group by 1, 3
+ union all select 'sql-' || app, 'sql_executions', case when ex % 9 = 0 then 'RUNNING' when ex % 13 = 5 then 'FAILED' else 'COMPLETED' end, count(*) from x group by 1, 3
+ union all select cast(app as varchar), 'task_summaries', '', count(distinct stage) from tk where outcome = 'completed' group by 1
+ union all select 'sql-' || app, 'task_summaries', '', count(distinct ex) from p where k % 3 = 1 or k % 24 = 2 group by 1""",
+)
+def log_overview(data):
+    return whole_log(data).overview()[0]
+
+
+@query(
+    "log_recommendations",
+    f"""with {JOBS}, {SQL},
+jt as (select cast(app as varchar) as a, count(*) as n, count(*) filter (where e is null or st = 'P') as f from o group by 1),
+st as (select cast(app as varchar) as a, count(*) filter (where status = 'FAILED') as f, count(*) filter (where attempt > 0) as r, sum(spill)::double / 1073741824 as g from stg group by 1),
+late as (select 'sql-' || app as a, count(*) filter (where ex % 13 = 5) as f, count(*) filter (where ex % 13 <> 5 and ex % 700 > 300) as n,
+  avg((ex % 700)::double) filter (where ex % 13 <> 5 and ex % 700 > 300) as m from x where ex % 9 <> 0 group by 1),
+fired as (
+ select a, 1 as rule_no, null as subject, 'Job Reliability' as category, case when f / n * 100 > 10 then 'high' else 'medium' end as severity, 'Job Failures Detected' as title,
+  f || ' out of ' || n || ' jobs failed (' || printf('%.1f', f / n * 100) || '% failure rate).' as description, f || ' failed jobs' as current_value from jt where f > 0
+ union all select a, 2, null, 'Stage Reliability', 'high', 'Stage Failures Detected', f || ' stages failed during execution.', f || ' failed stages' from st where f > 0
+ union all select a, 3, null, 'Stage Reliability', 'medium', 'Stage Retries Detected', r || ' stages required retry attempts.', r || ' retried stages' from st where r > 0
+ union all select cast(app as varchar), 4, stage, 'Task Reliability', case when bad_tasks / n * 100 > 20 then 'high' else 'medium' end, 'High Task Failure Rate in Stage ' || stage,
+  printf('%.1f', bad_tasks) || '/' || printf('%.1f', n) || ' tasks failed (' || printf('%.1f', bad_tasks / n * 100) || '%).', printf('%.1f', bad_tasks / n * 100) || '% failure rate'
+  from stg where bad_tasks / n * 100 > 5
+ union all select a, 5, null, 'Memory Management', case when g > 10 then 'high' when g > 1 then 'medium' else 'low' end, 'Data Spill Detected',
+  'Total spill: ' || printf('%.2f', g) || ' GB (Memory: ' || printf('%.2f', g) || ' GB, Disk: 0.00 GB).', printf('%.2f', g) || ' GB spilled' from st where g > 0
+ union all select 'sql-' || app, 7, ex, 'Data Skew', 'high', 'Join Skew Detected in SQL ' || ex, 'Skew detected in ' || name || ' (Node ' || id || ').', 'Skewed join detected'
+  from metric where ex % 8 <> 0 and metric = 'Cancellation Is Skewed' and v <> 0 and name in ('SortMergeJoin', 'ShuffledHashJoin')
+ union all select a, 8, null, 'SQL Reliability', 'high', 'Failed SQL Queries', f || ' SQL queries failed.', f || ' failed queries' from late where f > 0
+ union all select a, 9, null, 'SQL Performance', 'medium', 'Long Running Queries', n || ' queries took over 5 minutes (avg: ' || printf('%.0f', m) || 's).',
+  'Avg duration: ' || printf('%.0f', m) || 's' from late where n > 0),
+advice(rule, grade, recommended_action, config_suggestion) as (values {ADVICE_VALUES})
+select a as application_id, cast(rule_no as integer) as rule_no, cast(subject as bigint) as subject, category, severity, title, description, current_value, recommended_action, config_suggestion
+ from fired join advice on rule_no = rule and (grade is null or grade = severity)""",
+)
 def log_recommendations(data):
-    events = logs.job_events(data).unionByName(logs.sql_lines(data))
-    return EventLog(events).recommendations()
+    return whole_log(data).recommendations()

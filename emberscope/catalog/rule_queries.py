@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberscope.catalog.registry import Data, query
+from emberscope.catalog.registry import CHECKS, Data, query
 from emberscope.operators.quantiles import LOG_PROBES, SERVER_PROBES, group_quantiles
-from emberscope.plans import advisor, issues
+from emberscope.plans import advisor, issues, texts
 
 STAGE = ["cluster_id", "application_id", "stage_id"]
 ATTEMPT = "case when application_id % 5 = 1 and stage_id = 3 then 1 else 0 end"
@@ -349,7 +349,62 @@ def recommendation_categories(data):
     return advisor.category_counts(all_recommendations(data))
 
 
-@query("recommendation_report")
+# Advice and suggested setting by rule; rule 6 goes by severity too.
+ADVICE = (
+    (1, None, texts.REVIEW_JOBS, None),
+    (2, None, texts.REVIEW_STAGES, None),
+    (3, None, texts.REVIEW_RETRIES, texts.SPECULATION),
+    (4, None, texts.REVIEW_TASKS, texts.TASK_RETRIES),
+    (5, None, texts.AVOID_SPILL, texts.SPILL_CONFIG),
+    (6, "high", texts.REDUCE_SHUFFLE, texts.ADAPTIVE_COALESCE),
+    (6, "info", texts.MONITOR_SHUFFLE, texts.ADAPTIVE),
+    (7, None, texts.SALT_JOIN, texts.SKEW_JOIN),
+    (8, None, texts.REVIEW_SQL, None),
+    (9, None, texts.REVIEW_PLANS, None),
+    (10, None, texts.FEWER_PARTITIONS, texts.FEWER_PARTITIONS_CONFIG),
+    (11, None, texts.DYNAMIC_PARTITIONS, texts.ADAPTIVE_COALESCE),
+    (12, None, texts.EVEN_KEYS, texts.SKEW_JOIN_256M),
+    (13, None, texts.TAIL_TASKS, texts.TAIL_CONFIG),
+    (14, None, texts.MORE_PARTITIONS, texts.MORE_PARTITIONS_CONFIG),
+    (16, None, texts.SMALLER_SHUFFLE, texts.SMALLER_SHUFFLE_CONFIG),
+    (17, None, texts.SLOW_TASKS, texts.SLOW_TASKS_CONFIG),
+)
+
+
+def _quoted(value) -> str:
+    return "null" if value is None else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+ADVICE_VALUES = ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in ADVICE)
+_LABELS = ", ".join(f"({rank}, {_quoted(name)}, {_quoted(label)})" for rank, (name, label) in enumerate(texts.SEVERITY_LABELS.items(), start=1))
+_RULE_STATEMENTS = (
+    "stage_failures", "stage_retries", "task_failure_rate", "spill_total", "shuffle_volume",
+    "task_duration_skew", "stragglers", "partition_size_input", "partition_size_shuffle", "processing_rate",
+)
+_ROW = "cluster_id, application_id, rule_no, subject, category, severity, title, description, current_value"
+
+#: The report from the statements of the single rules; rules 10 and 11 over the stages the other stage rules read.
+REPORT = f"""with fired as ({" union all ".join(f"select {_ROW} from ({CHECKS[name]})" for name in _RULE_STATEMENTS)}
+ union all select cluster_id, application_id, 10, null, 'Parallelism', 'medium', 'Very High Task Count',
+  'Maximum task count: ' || printf('%.1f', max(num_tasks)::double) || '. This may cause scheduler overhead.',
+  'Max: ' || printf('%.1f', max(num_tasks)::double) || ', Avg: ' || printf('%.0f', avg(num_tasks)) from tel_stages group by 1, 2 having max(num_tasks) > 10000
+ union all select cluster_id, application_id, 11, null, 'Parallelism', 'low', 'Variable Parallelism',
+  'Task counts vary significantly (min: ' || printf('%.1f', min(num_tasks)::double) || ', max: ' || printf('%.1f', max(num_tasks)::double) || ').',
+  'Range: ' || printf('%.1f', min(num_tasks)::double) || ' - ' || printf('%.1f', max(num_tasks)::double)
+  from tel_stages group by 1, 2 having min(num_tasks) < 10 and max(num_tasks) > 1000),
+advice(rule, grade, action, config) as (values {ADVICE_VALUES}),
+labels(place, grade, label) as (values {_LABELS}),
+said as (select f.*, a.action, a.config, l.place, l.label from fired f join advice a on f.rule_no = a.rule and (a.grade is null or a.grade = f.severity) join labels l on l.grade = f.severity),
+blocks as (
+ select distinct cluster_id, application_id, 0 as severity_rank, 0 as rule_no, cast(null as bigint) as subject, {_quoted(texts.REPORT_TITLE)} as block from said
+ union all select distinct cluster_id, application_id, place, 0, null, chr(10) || '## ' || label || chr(10) from said
+ union all select cluster_id, application_id, place, rule_no, subject, '### ' || title || chr(10) || '**Category:** ' || category || chr(10) || '**Current:** ' || current_value || chr(10)
+  || chr(10) || description || chr(10) || chr(10) || '**Recommendation:** ' || action || chr(10)
+  || coalesce(chr(10) || '**Suggested Config:**' || chr(10) || '```' || chr(10) || config || chr(10) || '```' || chr(10), '') from said)
+select cluster_id, application_id, cast(severity_rank as integer) as severity_rank, cast(rule_no as integer) as rule_no, subject, block from blocks"""
+
+
+@query("recommendation_report", REPORT)
 def recommendation_report(data):
     return advisor.report_blocks(all_recommendations(data)).orderBy(
         *advisor.APP, "severity_rank", "rule_no", F.col("subject").asc_nulls_first()
