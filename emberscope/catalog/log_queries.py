@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberscope.catalog import logs
 from emberscope.catalog.registry import query
-from emberscope.catalog.rule_queries import ADVICE_VALUES
+from emberscope.catalog.rule_queries import ADVICE_VALUES, SKEW_ROW, STRAGGLER_ROW
 from emberscope.operators import accounting, sqlplans
 from emberscope.operators import events as ev
 from emberscope.plans import advisor, overview
@@ -255,6 +255,8 @@ jt as (select cast(app as varchar) as a, count(*) as n, count(*) filter (where e
 st as (select cast(app as varchar) as a, count(*) filter (where status = 'FAILED') as f, count(*) filter (where attempt > 0) as r, sum(spill)::double / 1073741824 as g from stg group by 1),
 late as (select 'sql-' || app as a, count(*) filter (where ex % 13 = 5) as f, count(*) filter (where ex % 13 <> 5 and ex % 700 > 300) as n,
   avg((ex % 700)::double) filter (where ex % 13 <> 5 and ex % 700 > 300) as m from x where ex % 9 <> 0 group by 1),
+q as (select cast(o.app as varchar) as a, 3 * o.ok as stage_id, 0 as attempt_id, count(*) as n, quantile_cont(cast(l_quantity as bigint) * 10 + l_linenumber * 7, [0.05, 0.25, 0.5, 0.75, 0.95]) as d
+  from lineitem join o on l_orderkey = o.ok where l_returnflag <> 'R' and not (l_returnflag = 'A' and l_linenumber = 3) group by 1, 2),
 fired as (
  select a, 1 as rule_no, null as subject, 'Job Reliability' as category, case when f / n * 100 > 10 then 'high' else 'medium' end as severity, 'Job Failures Detected' as title,
   f || ' out of ' || n || ' jobs failed (' || printf('%.1f', f / n * 100) || '% failure rate).' as description, f || ' failed jobs' as current_value from jt where f > 0
@@ -269,7 +271,9 @@ fired as (
   from metric where ex % 8 <> 0 and metric = 'Cancellation Is Skewed' and v <> 0 and name in ('SortMergeJoin', 'ShuffledHashJoin')
  union all select a, 8, null, 'SQL Reliability', 'high', 'Failed SQL Queries', f || ' SQL queries failed.', f || ' failed queries' from late where f > 0
  union all select a, 9, null, 'SQL Performance', 'medium', 'Long Running Queries', n || ' queries took over 5 minutes (avg: ' || printf('%.0f', m) || 's).',
-  'Avg duration: ' || printf('%.0f', m) || 's' from late where n > 0),
+  'Avg duration: ' || printf('%.0f', m) || 's' from late where n > 0
+ union all select a, {SKEW_ROW}
+ union all select a, {STRAGGLER_ROW}),
 advice(rule, grade, recommended_action, config_suggestion) as (values {ADVICE_VALUES})
 select a as application_id, cast(rule_no as integer) as rule_no, cast(subject as bigint) as subject, category, severity, title, description, current_value, recommended_action, config_suggestion
  from fired join advice on rule_no = rule and (grade is null or grade = severity)""",

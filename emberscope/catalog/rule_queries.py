@@ -88,32 +88,38 @@ def task_summary_by_metric(data):
     )
 
 
-@query(
-    "task_duration_skew",
-    f"""with {QUANTILES}
-select cluster_id, application_id, 12 as rule_no, stage_id as subject, 'Task Duration Skew' as category,
+SKEW_ROW = f"""12 as rule_no, stage_id as subject, 'Task Duration Skew' as category,
  case when d[3] / d[1] > 10 then 'high' else 'medium' end as severity,
  'Task Duration Skew (Median vs Min) in Stage ' || stage_id as title,
  {WHERE} || 'Median task duration (' || printf('%.0f', d[3]) || 'ms) is ' || printf('%.1f', d[3] / d[1]) || 'x the p5 duration ('
   || printf('%.0f', d[1]) || 'ms). Distribution: p5=' || printf('%.0f', d[1]) || 'ms, p25=' || printf('%.0f', d[2]) || 'ms, p50='
   || printf('%.0f', d[3]) || 'ms, p75=' || printf('%.0f', d[4]) || 'ms, p95=' || printf('%.0f', d[5]) || 'ms.' as description,
  'Median/Min ratio: ' || printf('%.1f', d[3] / d[1]) || 'x' as current_value
-from q where n >= 10 and d[1] > 0 and d[3] > 2 * d[1]""",
+from q where n >= 10 and d[1] > 0 and d[3] > 2 * d[1]"""
+
+
+@query(
+    "task_duration_skew",
+    f"""with {QUANTILES}
+select cluster_id, application_id, {SKEW_ROW}""",
 )
 def task_duration_skew(data):
     return rules(advisor.summary_rules(log_summaries(data)), [12])
 
 
-@query(
-    "stragglers",
-    f"""with {QUANTILES}
-select cluster_id, application_id, 13 as rule_no, stage_id as subject, 'Task Duration Skew' as category,
+STRAGGLER_ROW = f"""13 as rule_no, stage_id as subject, 'Task Duration Skew' as category,
  case when d[5] / d[3] > 5 then 'high' else 'medium' end as severity,
  'Straggler Tasks (Tail Skew) in Stage ' || stage_id as title,
  {WHERE} || 'p95 task duration (' || printf('%.0f', d[5]) || 'ms) is ' || printf('%.1f', d[5] / d[3]) || 'x the median ('
   || printf('%.0f', d[3]) || 'ms). The slowest tasks are significantly lagging behind the majority.' as description,
  'p95/Median ratio: ' || printf('%.1f', d[5] / d[3]) || 'x' as current_value
-from q where n >= 10 and d[3] > 0 and d[5] > 2 * d[3]""",
+from q where n >= 10 and d[3] > 0 and d[5] > 2 * d[3]"""
+
+
+@query(
+    "stragglers",
+    f"""with {QUANTILES}
+select cluster_id, application_id, {STRAGGLER_ROW}""",
 )
 def stragglers(data):
     return rules(advisor.summary_rules(log_summaries(data)), [13])
