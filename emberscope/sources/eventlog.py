@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Event names as they appear in logs.
@@ -22,12 +23,17 @@ EVENTS = {
     "sql_metric_updates": _UI + "SparkListenerSQLAdaptiveSQLMetricUpdates",
 }
 
+APPLICATION_END = "SparkListenerApplicationEnd"
+
 #: A position is ``file number * 2^44 + byte offset of the split + row within the scan
 #: partition``.  Rows never outnumber bytes, so positions grow with the log and stay
 #: unique within an application, and a single number keeps first/last aggregates cheap.
 _FILE_SHIFT = 44
 _ROW_MASK = (1 << 33) - 1
 
+#: Most rows of one landed file.
+LANDED_RECORDS = 5_000_000
+
 #: Lines that share an ``order_chunk``.
 CHUNK_BITS = 16
 
@@ -84,6 +90,21 @@ def _lines_of(spark: SparkSession, paths: list[str], select: bool) -> DataFrame:
     return lines.withColumn("row_id", F.monotonically_increasing_id())
 
 
+#: Slashes after a scheme; listings and scans write ``file:/`` and ``file:///``.
+_SCHEME = r"^([^:/]+:)/+"
+
+
+def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file_path, file_no)`` from the listing that the scan keeps anyway; no line is read for it."""
+
+    def place(path: str) -> tuple[int, str]:
+        rolled = re.match(r"events_(\d+)_", path.rsplit("/", 1)[-1])
+        return int(rolled.group(1)) if rolled else 0, path
+
+    numbers = [(re.sub(_SCHEME, r"\1/", path), number) for number, path in enumerate(sorted(paths, key=place), start=1)]
+    return spark.createDataFrame(numbers, "file_path STRING, file_no BIGINT")
+
+
 def read_lines(
     spark: SparkSession, path: str | list[str], select_files: bool | None = None, application_id: str | None = None
 ) -> DataFrame:
@@ -105,10 +126,7 @@ def read_lines(
         lines = lines.withColumn("file_no", rolled_file_number(F.col("file_name")))
         owner = application_of(F.col("file_path"))
     else:
-        # one row per file, so the numbering window is as small as the listing
-        place = F.row_number().over(Window.orderBy(rolled_file_number(F.col("file_name")), "file_path"))
-        files = lines.select("file_path", "file_name").distinct().select("file_path", place.alias("file_no"))
-        lines = lines.join(files, "file_path")
+        lines = lines.withColumn("file_path", F.regexp_replace("file_path", _SCHEME, "$1/")).join(_numbered(spark, lines.inputFiles()), "file_path")
         owner = F.lit(application_id)
     return lines.where(F.trim("value") != "").select(
         owner.alias("application_id"),
@@ -145,6 +163,32 @@ def malformed_counts(lines: DataFrame) -> DataFrame:
     )
 
 
+def unended_logs(lines: DataFrame) -> DataFrame:
+    """Applications whose log has no end event, with the lines found: still running, or a file of theirs broke off.
+
+    Reading a damaged file ends at the damage without an error, so this is where a shortened log shows.
+    """
+    return (
+        route(lines).groupBy("application_id")
+        .agg(F.count(F.lit(1)).alias("lines"), F.max(F.col("event").eqNullSafe(APPLICATION_END)).alias("ended"))
+        .where("not ended").drop("ended")
+    )
+
+
+def log_units(files: DataFrame) -> DataFrame:
+    """``(log, rolled, running, path)`` for listed files with a ``path``; other files than logs drop out.
+
+    A log is one file, or a folder of rolled files.  Spark names a single file ``.inprogress`` until its application ends.
+    """
+    path = F.col("path")
+    name, folder = F.regexp_extract(path, r"([^/]+)$", 1), F.regexp_extract(path, r"^(.*/eventlog_v2_[^/]+)/[^/]*$", 1)
+    rolled = folder != ""
+    wanted = F.when(rolled, name.startswith("events_")).otherwise(is_log_file(F.regexp_replace(name, r"\.inprogress$", "")))
+    return files.where(wanted).select(
+        F.when(rolled, folder).otherwise(path).alias("log"), rolled.alias("rolled"), (~rolled & name.endswith(".inprogress")).alias("running"), "path"
+    )
+
+
 def read_event_log(
     spark: SparkSession, path: str | list[str], select_files: bool | None = None, application_id: str | None = None
 ) -> DataFrame:
@@ -152,13 +196,23 @@ def read_event_log(
     return events_of(read_lines(spark, path, select_files, application_id))
 
 
+def write_landed(events: DataFrame, folder: str) -> None:
+    """Write events foldered by event.
+
+    The rows are brought together by event and application; AQE cuts what is large and joins what is small, so the
+    number of files goes by the bytes and not by the input splits, and row groups can be pruned by application.
+    """
+    dealt = events.hint("rebalance", "event", "application_id").sortWithinPartitions("event", "application_id", "event_order")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", LANDED_RECORDS).partitionBy("event").parquet(folder)
+
+
 def land_events(events: DataFrame, folder: str) -> DataFrame:
     """Write events once, foldered by event, and read them back.
 
     Every operator reads one or two event types; from the landed form it scans only
     those, and the log text is decompressed and routed a single time.
     """
-    events.write.mode("overwrite").partitionBy("event").parquet(folder)
+    write_landed(events, folder)
     return read_landed(events.sparkSession, folder)
 
 

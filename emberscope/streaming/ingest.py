@@ -1,42 +1,43 @@
-"""Incremental landing of event logs: only files not seen before are read."""
+"""Incremental landing of event logs: each log is read once, when its application has ended."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberscope.sources.eventlog import application_of, event_order, events_of, is_log_file, rolled_file_number
+from emberscope.sources.eventlog import (
+    APPLICATION_END, application_of, log_units, read_event_log, read_lines, rolled_file_number, route, write_landed,
+)
+
+_LISTING = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+_LEDGER = "log STRING, batch BIGINT"
 
 
 def land_new_logs(spark: SparkSession, logs: str, folder: str, checkpoint: str, files_per_batch: int = 10_000) -> StreamingQuery:
-    """Start a run that lands every new log file and then stops.
+    """Land every log that ended since the last run: rolled logs at once, single files by a stream that then stops.
 
-    The stream's checkpoint remembers the files; a batch overwrites its own folder,
-    so a batch that is run again after a failure leaves no duplicates.
+    A single file is taken once it has lost its ``.inprogress`` suffix, a rolled log as a whole once its last file
+    holds the application's end; what is still being written waits for a later run (``unfinished_logs``).  The
+    stream's checkpoint remembers the single files, ``<folder>/_rolled`` the rolled logs.  A batch overwrites its own
+    folder, so a batch that is run again after a failure leaves no duplicates.  The driver holds names of logs only:
+    ``files_per_batch`` of single files, and the rolled logs not landed yet.
     """
+    _land_rolled(spark, logs, folder.rstrip("/"))
     found = (
-        spark.readStream.format("text")
-        .schema("value STRING")
+        spark.readStream.format("binaryFile")
+        .schema(_LISTING)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(logs)
-        .select(
-            "value",
-            F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-        )
-        .where(is_log_file(F.col("file_name")))
+        .select("path")
     )
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.withColumn("row_id", F.monotonically_increasing_id()).where(F.trim("value") != "").select(
-            application_of(F.col("file_path")).alias("application_id"),
-            event_order(rolled_file_number(F.col("file_name")), F.col("block_start"), F.col("row_id")).alias("event_order"),
-            F.col("value").alias("body"),
-        )
-        events_of(lines).write.mode("overwrite").partitionBy("event").parquet(f"{folder.rstrip('/')}/batch={batch_id}")
+        ended = [r.log for r in log_units(batch).where("not rolled and not running").select("log").collect()]
+        if ended:
+            write_landed(read_event_log(batch.sparkSession, ended, select_files=True), f"{folder.rstrip('/')}/batch={batch_id}")
 
     return (
         found.writeStream.foreachBatch(land)
@@ -44,3 +45,43 @@ def land_new_logs(spark: SparkSession, logs: str, folder: str, checkpoint: str,
         .trigger(availableNow=True)
         .start()
     )
+
+
+def unfinished_logs(spark: SparkSession, logs: str, folder: str) -> DataFrame:
+    """``(log)`` of the logs that landing still waits for; only names are read."""
+    running = _listed(spark, logs).where("running").select("log")
+    return running.unionByName(_open_rolled(spark, logs, folder.rstrip("/")).select("log"))
+
+
+def _listed(spark: SparkSession, logs: str) -> DataFrame:
+    files = spark.read.format("binaryFile").schema(_LISTING).option("recursiveFileLookup", True).load(logs)
+    return log_units(files.select("path"))
+
+
+def _ledger(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{folder}/_rolled")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LEDGER)
+
+
+def _open_rolled(spark: SparkSession, logs: str, folder: str) -> DataFrame:
+    """``(log, last)``: rolled logs that are not landed, with their last file."""
+    number = rolled_file_number(F.regexp_extract("path", r"([^/]+)$", 1))
+    rolled = _listed(spark, logs).where("rolled").groupBy("log").agg(F.max_by("path", F.struct(number, F.col("path"))).alias("last"))
+    return rolled.join(_ledger(spark, folder), "log", "left_anti")
+
+
+def _land_rolled(spark: SparkSession, logs: str, folder: str) -> None:
+    waiting = _open_rolled(spark, logs, folder).select("log", "last", application_of(F.col("last")).alias("id")).collect()
+    if not waiting:
+        return
+    ends = route(read_lines(spark, [r.last for r in waiting], select_files=True)).where(F.col("event") == APPLICATION_END)
+    ended_ids = {r.application_id for r in ends.select("application_id").distinct().collect()}
+    ended = [r.log for r in waiting if r.id in ended_ids]
+    if ended:
+        batch = _ledger(spark, folder).agg(F.coalesce(F.max("batch"), F.lit(0)) + 1).first()[0]
+        write_landed(read_event_log(spark, ended, select_files=True), f"{folder}/batch=rolled-{batch}")
+        spark.createDataFrame([(log, batch) for log in ended], _LEDGER).coalesce(1).write.mode("append").parquet(f"{folder}/_rolled")

@@ -110,6 +110,8 @@ def test_file_selection_compression_and_applications(spark, tmp_path):
     assert one.groupBy("event_order").count().where("count > 1").count() == 0
     order = [json.loads(r.body)["Job ID"] for r in one.where(F.col("body").contains("JobEnd")).orderBy("event_order").collect()]
     assert order == [0, 1]
+    write(folder / "app é 10", [job_start(7, [])])  # a name that paths escape
+    assert eventlog.read_event_log(spark, str(folder), application_id="all").count() == one.count() + 1
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         eventlog.read_event_log(spark, str(tmp_path / "empty"))

@@ -14,7 +14,7 @@ from emberscope.plans import advisor
 from emberscope.sinks import tables as sink
 from emberscope.sources import eventlog
 from emberscope.sources import history as landed
-from emberscope.streaming.ingest import land_new_logs
+from emberscope.streaming.ingest import land_new_logs, unfinished_logs
 
 STAGE_JOB = {"jobId": 1, "name": "a", "status": "SUCCEEDED", "submissionTime": "2024-01-01T00:00:00.000GMT", "completionTime": "2024-01-01T00:01:30.900GMT", "stageIds": [1, 2], "numTasks": 4, "numCompletedTasks": 3}
 
@@ -158,3 +158,55 @@ def test_incremental_ingest(spark, tmp_path):
     land_new_logs(spark, str(logs), folder, state).awaitTermination()
     rows = eventlog.read_landed(spark, folder).select("application_id", "event").collect()
     assert sorted(tuple(r) for r in rows) == [("app-1", "SparkListenerJobEnd"), ("app-2", "SparkListenerJobEnd")]
+
+
+def test_logs_still_being_written_wait(spark, tmp_path):
+    logs, folder, state = tmp_path / "running", str(tmp_path / "landed_running"), str(tmp_path / "state_running")
+    rolled = logs / "eventlog_v2_app-5"
+    rolled.mkdir(parents=True)
+
+    def line(job):
+        return json.dumps({"Event": "SparkListenerJobEnd", "Job ID": job, "Completion Time": 1, "Job Result": {"Result": "JobSucceeded"}}) + "\n"
+
+    (logs / "app 1").write_text(line(1))
+    (logs / "app-2.inprogress").write_text(line(2))
+    (logs / "notes.txt").write_text("no log")
+    (rolled / "events_1_app-5").write_text(line(3))
+    land_new_logs(spark, str(logs), folder, state).awaitTermination()
+    found = eventlog.read_landed(spark, folder)
+    assert [(r.application_id, json.loads(r.body)["Job ID"]) for r in found.collect()] == [("app%201", 1)]
+    waiting = {r.log.rsplit("/", 1)[-1] for r in unfinished_logs(spark, str(logs), folder).collect()}
+    assert waiting == {"app-2.inprogress", "eventlog_v2_app-5"}
+    (logs / "app-2.inprogress").write_text(line(2) + line(4))
+    (logs / "app-2.inprogress").rename(logs / "app-2")
+    with open(rolled / "events_1_app-5", "a") as f:
+        f.write(line(6))
+    (rolled / "events_2_app-5").write_text(line(5) + json.dumps({"Event": "SparkListenerApplicationEnd"}) + "\n")
+    for _ in range(2):
+        land_new_logs(spark, str(logs), folder, state).awaitTermination()
+        rows = eventlog.read_landed(spark, folder).orderBy("application_id", "event_order").collect()
+        assert [json.loads(r.body)["Job ID"] for r in rows] == [1, 2, 4, 3, 6, 5]
+    assert unfinished_logs(spark, str(logs), folder).isEmpty()
+
+
+def test_a_damaged_log_shows(spark, tmp_path):
+    import gzip
+    import random
+
+    draw = random.Random(1)
+    body = "".join(json.dumps({"Event": "SparkListenerJobEnd", "Job ID": draw.getrandbits(60)}) + "\n" for _ in range(40_000))
+    whole = gzip.compress((body + json.dumps({"Event": "SparkListenerApplicationEnd"}) + "\n").encode())
+    (tmp_path / "app-1.gz").write_bytes(whole)
+    (tmp_path / "app-2.gz").write_bytes(whole[: len(whole) // 2])
+    got = eventlog.unended_logs(eventlog.read_lines(spark, str(tmp_path))).collect()
+    assert [r.application_id for r in got] == ["app-2"] and 0 < got[0].lines < 40_000
+
+
+def test_landing_makes_few_files(spark, tmp_path):
+    rows = spark.range(20_000, numPartitions=40).select(
+        (F.col("id") % 3).cast("string").alias("application_id"), F.col("id").alias("event_order"), F.lit("{}").alias("body"),
+        F.when(F.col("id") % 10 == 0, "SparkListenerJobEnd").otherwise("SparkListenerTaskEnd").alias("event"),
+    )
+    folder = tmp_path / "few"
+    assert eventlog.land_events(rows, str(folder)).count() == 20_000
+    assert len(list(folder.glob("event=*/part-*"))) <= 8
