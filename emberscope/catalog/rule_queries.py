@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberscope.catalog.registry import CHECKS, Data, query
+from emberscope.operators import history
 from emberscope.operators.quantiles import LOG_PROBES, SERVER_PROBES, group_quantiles
 from emberscope.plans import advisor, issues, texts
 
@@ -446,13 +447,16 @@ issues as (
   from j where num_tasks > 200 and records / num_tasks < 1000)"""
 
 
-def stage_issue_rows(data):
+def with_records(data):
     tasks = data("supplied_lineitem")
     records = tasks.groupBy(
         F.col("s_nationkey").alias("cluster_id"), F.col("l_suppkey").alias("application_id"), (F.col("l_partkey") % 5).alias("stage_id")
     ).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("input_records"))
-    stages = data("tel_stages").join(records, STAGE).withColumn("output_records", F.lit(0))
-    return issues.stage_issues(stages, server_summaries(data))
+    return data("tel_stages").join(records, STAGE).withColumn("output_records", F.lit(0))
+
+
+def stage_issue_rows(data):
+    return issues.stage_issues(with_records(data), server_summaries(data))
 
 
 ISSUE = ("cluster_id", "application_id", "stage_id", "issue_type", "severity", "details")
@@ -512,3 +516,41 @@ def issues_all(data):
 )
 def issue_counts(data):
     return issues.issue_counts(stage_issue_rows(data))
+
+
+def summary_table(data):
+    """Task summaries as they land: JSON lists for even stages, min, median and max by name for odd ones."""
+    names = {"run_time": "executorRunTime", "gc_time": "jvmGcTime", "memory_spill": "memoryBytesSpilled", "disk_spill": "diskBytesSpilled"}
+
+    def named(column):
+        return F.struct(F.get(column, 0).alias("min"), F.get(column, 2).alias("median"), F.get(column, 4).alias("max"))
+
+    listed = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in names.items()]))
+    by_name = F.to_json(F.struct(*[named(c).alias(n) for c, n in names.items()]))
+    payload = F.when(F.col("stage_id") % 2 == 0, listed).otherwise(by_name)
+    return history.task_summaries(server_summaries(data).select(*STAGE, payload.alias("payload")))
+
+
+@query(
+    "task_summary_payload",
+    f"""with {ISSUE_QUANTILES.split("j as (")[0].rstrip().rstrip(",")}
+select cast(cluster_id as varchar) as cluster_id, cast(application_id as varchar) as application_id, cast(stage_id as bigint) as stage_id,
+ round(mid, 4) as median_run_time, round(top, 4) as longest_run_time, round(gc, 4) as median_gc_time, round(mem, 4) as most_memory_spill, round(disk, 4) as most_disk_spill from q""",
+)
+def task_summary_payload(data):
+    vectors = issues.summary_vectors(summary_table(data))
+    return vectors.select(
+        *STAGE, F.round(F.get("run_time", 2), 4).alias("median_run_time"), F.round(F.get("run_time", 4), 4).alias("longest_run_time"),
+        F.round(F.get("gc_time", 2), 4).alias("median_gc_time"), F.round(F.get("memory_spill", 4), 4).alias("most_memory_spill"),
+        F.round(F.get("disk_spill", 4), 4).alias("most_disk_spill"),
+    )
+
+
+@query(
+    "issues_from_payload",
+    f"""with {ISSUE_QUANTILES} select cast(cluster_id as varchar) as cluster_id, cast(application_id as varchar) as application_id,
+ cast(stage_id as bigint) as stage_id, issue_type, severity, details from issues""",
+)
+def issues_from_payload(data):
+    stages = with_records(data).withColumns({key: F.col(key).cast("string") for key in advisor.APP}).withColumn("stage_id", F.col("stage_id").cast("bigint"))
+    return issues.stage_issues(stages, issues.summary_vectors(summary_table(data))).select(*ISSUE)

@@ -136,9 +136,15 @@ def register(spark: SparkSession, frames: Mapping[str, DataFrame]) -> list[str]:
         )
     if "task_summaries" in frames:
         view = VIEW.format("task_summaries")
-        frames["task_summaries"].withColumn("cluster_id", F.col("cluster_id").cast("string")).createOrReplaceTempView(view)
+        summaries = frames["task_summaries"]
+        owner = F.col("application_id").cast("string") if "application_id" in summaries.columns else F.lit(None)
+        summaries.withColumns(
+            {"cluster_id": F.col("cluster_id").cast("string"), "application_id": F.coalesce(owner, F.lit(""))}
+        ).createOrReplaceTempView(view)
         function(
-            "taskmetrics", "clusterid STRING, wantedstage INT", "STRING",
-            f"(SELECT max(raw_json) FROM (SELECT raw_json FROM {view} WHERE cluster_id = clusterid AND stage_id = wantedstage AND stage_attempt_id = 0))",
+            "taskmetrics", "clusterid STRING, wantedstage INT, wantedapplication STRING DEFAULT NULL", "STRING",
+            # of several applications the first by id, unless one is named
+            f"(SELECT min_by(raw_json, application_id) FROM (SELECT raw_json, application_id FROM {view} WHERE cluster_id = clusterid AND stage_id = wantedstage "
+            "AND stage_attempt_id = 0 AND (wantedapplication IS NULL OR application_id = wantedapplication)))",
         )
     return made

@@ -173,6 +173,13 @@ def task_summary_payload(summaries: DataFrame, probes, paths: dict[str, str] | N
     )
 
 
+def task_summaries(payload: DataFrame, column: str = "payload") -> DataFrame:
+    """Task-summary table from landed answers: stage, attempt (0 if none is named) and the JSON text as it came."""
+    attempt = F.col("stage_attempt_id") if "stage_attempt_id" in payload.columns else F.lit(0)
+    rows = payload.withColumns({"stage_attempt_id": F.coalesce(attempt, F.lit(0)), "raw_json": F.col(column)})
+    return conform(rows, schemas.TASK_SUMMARIES)
+
+
 def tagged(df: DataFrame, identities: DataFrame, on=("application_id",)) -> DataFrame:
     """Add the run keys from an application directory; a missing attempt becomes 0."""
     missing = [c for c in RUN_KEYS if c in identities.columns and c not in on and c not in df.columns]

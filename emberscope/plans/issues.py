@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.functions.arrays import HIGH, MEDIAN, point_or_zero
+from emberscope.functions.arrays import HIGH, MEDIAN, point_of_variant, point_or_zero
 from emberscope.functions.text import fixed, plain_double
 from emberscope.plans import texts
 from emberscope.plans.advisor import APP, MIB
@@ -20,6 +20,21 @@ def _issue(fires: Column, kind: str, severity: Column, details: Column) -> Colum
     )
 
 
+# Where a task-summary payload keeps the metrics the issue rules read.
+SUMMARY_PATHS = {
+    "run_time": "$.executorRunTime", "gc_time": "$.jvmGcTime", "memory_spill": "$.memoryBytesSpilled", "disk_spill": "$.diskBytesSpilled",
+}
+
+
+def summary_vectors(summaries: DataFrame, keys: Sequence[str] = APP) -> DataFrame:
+    """Vectors for :func:`stage_issues` from the first attempts of a task-summary table; lists and objects are read."""
+    parsed = summaries.where("stage_attempt_id = 0").select(*keys, "stage_id", F.try_parse_json("raw_json").alias("_v"))
+    return parsed.select(
+        *keys, "stage_id",
+        *[F.array(*[point_of_variant(F.col("_v"), path, i) for i in range(5)]).alias(name) for name, path in SUMMARY_PATHS.items()],
+    )
+
+
 def stage_issues(stages: DataFrame, summaries: DataFrame, keys: Sequence[str] = APP) -> DataFrame:
     """Skew, GC, spill and small-task issues, all in one pass over the joined stages.
 

@@ -10,7 +10,7 @@ from emberscope import schemas
 from emberscope.functions import sqlfunctions
 from emberscope.functions.arrays import point_from_json
 from emberscope.operators import clusters, drill, history, status
-from emberscope.plans import advisor
+from emberscope.plans import advisor, issues
 from emberscope.sinks import tables as sink
 from emberscope.sources import eventlog
 from emberscope.sources import history as landed
@@ -210,3 +210,13 @@ def test_landing_makes_few_files(spark, tmp_path):
     folder = tmp_path / "few"
     assert eventlog.land_events(rows, str(folder)).count() == 20_000
     assert len(list(folder.glob("event=*/part-*"))) <= 8
+
+
+def test_task_summaries_of_several_applications(spark):
+    rows = [("c1", "b", 1, '{"executorRunTime":[1,2,3,4,5]}'), ("c1", "a", 1, '{"executorRunTime":{"min":1,"median":7,"max":9},"jvmGcTime":null}'), ("c1", "c", 1, "x")]
+    table = history.task_summaries(spark.createDataFrame(rows, "cluster_id STRING, application_id STRING, stage_id BIGINT, payload STRING"))
+    assert [f.name for f in table.schema] == [p.split()[0] for p in schemas.TASK_SUMMARIES.split(", ")]
+    sqlfunctions.register(spark, {"task_summaries": table})
+    assert [r[0] for r in spark.sql("select taskmetrics('c1', 1) union all select taskmetrics('c1', 1, 'b') union all select taskmetrics('c1', 1, 'd')").collect()] == [rows[1][3], rows[0][3], None]
+    got = {r.application_id: (r.run_time, r.gc_time[2]) for r in issues.summary_vectors(table).collect()}
+    assert got == {"a": ([1.0, 0.0, 7.0, 0.0, 9.0], 0.0), "b": ([1.0, 2.0, 3.0, 4.0, 5.0], 0.0), "c": ([0.0] * 5, 0.0)}
