@@ -181,9 +181,14 @@ def task_summaries(payload: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def tagged(df: DataFrame, identities: DataFrame, on=("application_id",)) -> DataFrame:
-    """Add the run keys from an application directory; a missing attempt becomes 0."""
+    """Add the run keys from an application directory; a missing attempt becomes 0.
+
+    Of several identities of an application the one with the highest attempt is taken, by number, then by the keys.
+    """
     missing = [c for c in RUN_KEYS if c in identities.columns and c not in on and c not in df.columns]
-    tags = identities.select(*on, *missing).dropDuplicates(list(on))
+    order = [F.col("attempt_id").try_cast("bigint").alias("_number")] if "attempt_id" in identities.columns else []
+    newest = identities.groupBy(*on).agg(F.max(F.struct(*order, *missing)).alias("_newest")) if missing else identities.select(*on).distinct()
+    tags = newest.select(*on, *[F.col(f"_newest.{c}").alias(c) for c in missing])
     joined = salted_join(df, tags, list(on), [c for c, t in df.dtypes if "map<" not in t and t != "variant"], "left")
     if "attempt_id" in missing:
         joined = joined.withColumn("attempt_id", F.coalesce(F.col("attempt_id").cast("string"), F.lit("0")))

@@ -23,6 +23,7 @@ ENDPOINTS = {
 }
 MAX_CODES = 3
 REASON_LENGTH = 30
+MESSAGE_LENGTH = 500
 
 
 def error_code(kind: Column, message: Column, http_status: Column, service_code: Column) -> Column:
@@ -84,8 +85,12 @@ def status_details(endpoint_rows: DataFrame) -> DataFrame:
     return wide.select("cluster_id", F.to_json(F.struct(*ENDPOINTS)).alias("status_details"))
 
 
-def cluster_status(fetch_log: DataFrame, endpoint_rows: DataFrame) -> DataFrame:
-    """COMPLETED, NO_APPLICATIONS(No data) or FAILED(...) per cluster."""
+def cluster_status(fetch_log: DataFrame, endpoint_rows: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """COMPLETED, NO_APPLICATIONS(No data) or FAILED(...) per cluster.
+
+    ``failures``: ``(cluster_id, message)`` of collections that broke off; the message stands in for codes where there
+    are none, cut to 500 characters and with square brackets for round ones.  Of several messages the first by text.
+    """
     totals = endpoint_rows.groupBy("cluster_id").agg(
         F.sum("rows").alias("rows"),
         F.bool_or(F.col("attempted")).alias("attempted"),
@@ -97,10 +102,16 @@ def cluster_status(fetch_log: DataFrame, endpoint_rows: DataFrame) -> DataFrame:
         F.when(F.col("rows") > 0, "COMPLETED")
         .when(F.col("asked_apps") & ~F.col("has_apps"), "NO_APPLICATIONS(No data)")
         .when(F.col("codes").isNotNull(), F.concat(F.lit("FAILED("), F.col("codes"), F.lit(")")))
+        .when(F.col("attempted") & (F.col("message") != ""), F.concat(F.lit("FAILED("), F.translate(shorten(F.col("message"), MESSAGE_LENGTH), "()", "[]"), F.lit(")")))
         .when(F.col("attempted"), "FAILED(UNKNOWN)")
         .otherwise("FAILED(NO_DATA)")
     )
-    return totals.join(codes, "cluster_id", "left").select("cluster_id", status.alias("analysis_status"))
+    joined = totals.join(codes, "cluster_id", "left")
+    if failures is None:
+        joined = joined.withColumn("message", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(failures.groupBy("cluster_id").agg(F.min("message").alias("message")), "cluster_id", "left")
+    return joined.select("cluster_id", status.alias("analysis_status"))
 
 
 def cluster_totals(tables: Mapping[str, DataFrame], key: str = "cluster_id") -> DataFrame:

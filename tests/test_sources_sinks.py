@@ -220,3 +220,9 @@ def test_task_summaries_of_several_applications(spark):
     assert [r[0] for r in spark.sql("select taskmetrics('c1', 1) union all select taskmetrics('c1', 1, 'b') union all select taskmetrics('c1', 1, 'd')").collect()] == [rows[1][3], rows[0][3], None]
     got = {r.application_id: (r.run_time, r.gc_time[2]) for r in issues.summary_vectors(table).collect()}
     assert got == {"a": ([1.0, 0.0, 7.0, 0.0, 9.0], 0.0), "b": ([1.0, 2.0, 3.0, 4.0, 5.0], 0.0), "c": ([0.0] * 5, 0.0)}
+
+
+def test_the_newest_attempt_names_an_application(spark):
+    ids = spark.createDataFrame([("c", "n", "a", "9"), ("c", "n", "a", "10"), ("b", "m", "a", None)], "cluster_id STRING, cluster_name STRING, application_id STRING, attempt_id STRING")
+    row = history.tagged(spark.createDataFrame([("a", 1)], "application_id STRING, x INT"), ids).collect()
+    assert [(r.cluster_id, r.attempt_id) for r in row] == [("c", "10")]
