@@ -533,14 +533,14 @@ def cluster_status(data):
     f"""with {FETCH}, g as (select cluster_id, endpoint, seq, attempted, rows, case when cluster_id % 2 = 1 then error_code end as error_code from f where endpoint <> 'applications'),
 d as (select cluster_id, string_agg(error_code, ',' order by first) as codes from (select *, row_number() over (partition by cluster_id order by first, error_code) as p
   from (select cluster_id, error_code, min(seq) as first from g where error_code is not null group by 1, 2)) where p <= 3 group by 1),
-w as (select cluster_id, sum(rows) as rows, bool_or(attempted) as attempted, case when cluster_id % 4 = 0 then 'lost (cluster ' || cluster_id || ') ' || repeat('x', cluster_id % 1000) end as said from g group by 1)
+w as (select cluster_id, sum(rows) as rows, bool_or(attempted) as attempted, case when cluster_id % 4 = 0 then 'lost (cluster ' || cluster_id || ') ' || repeat('x', cluster_id * 7 % 1000) end as said from g group by 1)
 select cluster_id, case when rows > 0 then 'COMPLETED' when codes is not null then 'FAILED(' || codes || ')' when attempted and said is not null
  then 'FAILED(' || translate(case when length(said) > 500 then left(said, 497) || '...' else said end, '()', '[]') || ')'
  when attempted then 'FAILED(UNKNOWN)' else 'FAILED(NO_DATA)' end as analysis_status from w left join d using (cluster_id)""",
 )
 def cluster_failure_messages(data):
     log = fetch_log(data).where("endpoint <> 'applications'").withColumn("error_code", F.when(F.col("cluster_id") % 2 == 1, F.col("error_code")))
-    said = F.concat(F.lit("lost (cluster "), F.col("cluster_id"), F.lit(") "), F.expr("repeat('x', int(cluster_id % 1000))"))
+    said = F.concat(F.lit("lost (cluster "), F.col("cluster_id"), F.lit(") "), F.expr("repeat('x', int(cluster_id * 7 % 1000))"))
     failures = log.where("cluster_id % 4 = 0").select("cluster_id", said.alias("message"))
     return status.cluster_status(log, status.endpoint_status(log), failures)
 
