@@ -6,7 +6,11 @@ pattern are counted in bands of diagonals of twice the budget that overlap by ha
 reach the bound are aligned: a banded edit-distance table decides whether the region holds the pattern within its budget.
 
 Texts and patterns are compared as UTF-8 bytes with A-Z lower-cased and each ASCII blank as a space, so an edited
-character beyond ASCII may cost two.  A pattern longer than ``LONGEST`` is searched in overlapping windows.
+character beyond ASCII may cost two.  An item longer than ``LONGEST`` is searched in overlapping windows.
+
+A document may hold a part of an item only.  So of every item longer than ``PASSAGE`` its passages of that length,
+``STEP`` bytes apart, are patterns too, by the same rule: a stretch of ``PASSAGE + STEP`` bytes of an item is found
+however long the item is.  Passages have no q-grams of their own; they are counted from those of their item.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from emberscope.llm.common import text_slices, utf8
 Q = 8
 EDITS = 0.1
 SHORTEST, LONGEST = 24, 1024
+PASSAGE, STEP = 100, 50
 #: The patterns of one pass; a larger benchmark is searched in several.
 SHARD_BYTES = 16 << 20
-SPANS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
-_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
+SPANS = "array<struct<item_id:bigint,start:int,end:int,edits:int,covered:double>>"
+_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("covered", pa.float64())]))
 _GATE = 22
+_CELLS = 1 << 22
 
 
 def normal(raw: np.ndarray) -> np.ndarray:
@@ -54,10 +60,14 @@ def budget(length: int) -> int:
 
 
 class Patterns:
-    """Patterns of benchmark items and the places of their q-grams."""
+    """Patterns of benchmark items and the places of their q-grams.
+
+    The first ``whole`` patterns are items or their windows, in the index; their passages follow.  ``spots`` has the item
+    (its number among the distinct ones) and the stretch of it that a pattern is, ``lengths`` the bytes of each item.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.texts = [], []
+        self.items, self.texts, self.spots, self.lengths = [], [], [], []
         for ident, text in sorted(items):
             raw = normal(np.frombuffer((text or "").strip(" \t\n\x0b\x0c\r").encode(), np.uint8))
             if len(raw) < SHORTEST:
@@ -66,10 +76,27 @@ class Patterns:
             for at in starts:
                 self.items.append(ident)
                 self.texts.append(raw[at : at + LONGEST])
+                self.spots.append((len(self.lengths), at))
+            self.lengths.append(len(raw))
+        self.whole = len(self.texts)
         sizes = np.array([len(x) for x in self.texts], np.int64)
-        self.sizes, self.budgets = sizes, np.array([budget(x) for x in sizes], np.int64)
-        self.bounds = np.maximum(1, sizes - Q + 1 - self.budgets * Q)
-        every = np.concatenate([np.zeros(0, np.uint64), *map(grams, self.texts)])
+        # passages of a pattern: ``regular`` ones at multiples of STEP, and one at its end if that is no multiple;
+        # ``base`` is the number of the first
+        self.regular = np.where(sizes > PASSAGE, (sizes - PASSAGE) // STEP + 1, 0)
+        self.tail = (sizes > PASSAGE) & ((sizes - PASSAGE) % STEP > 0)
+        self.base = self.whole + np.cumsum(self.regular + self.tail) - self.regular - self.tail
+        for j in range(self.whole):
+            item, lead = self.spots[j]
+            for at in [*(STEP * np.arange(self.regular[j])), *([sizes[j] - PASSAGE] if self.tail[j] else [])]:
+                self.items.append(self.items[j])
+                self.texts.append(self.texts[j][at : at + PASSAGE])
+                self.spots.append((item, lead + int(at)))
+        self.sizes = np.array([len(x) for x in self.texts], np.int64)
+        self.budgets = np.array([budget(x) for x in self.sizes], np.int64)
+        self.bounds = np.maximum(1, self.sizes - Q + 1 - self.budgets * Q)
+        # what a text has to have of a whole pattern, so that it or one of its passages can be there
+        self.least = np.minimum(self.bounds[: self.whole], np.where(sizes > PASSAGE, PASSAGE - Q + 1 - budget(PASSAGE) * Q, LONGEST))
+        every = np.concatenate([np.zeros(0, np.uint64), *map(grams, self.texts[: self.whole])])
         owner = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - Q + 1))
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(max(0, x - Q + 1)) for x in sizes)])
         order = np.argsort(every, kind="stable")
@@ -92,11 +119,22 @@ class Patterns:
         times = self.first[name + 1] - self.first[name]
         row = np.repeat(np.arange(len(at)), times)
         entry = self.first[name][row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        owner, place, text = self.owner[entry], self.place[entry], text[row]
+        owner, place, text, at = self.owner[entry], self.place[entry], text[row], at[row]
+        # two cheap cuts before the exact count, neither of which loses a band: all that a text has of a pattern, ...
+        pair = (text - text[0]) * self.whole + owner if len(text) else text
+        if len(pair) and pair.max() > 8 * len(pair):
+            pair = np.unique(pair, return_inverse=True)[1]
+        some = np.bincount(pair)[pair] >= self.least[owner]
+        owner, place, text, at = self.with_passages(owner[some], place[some], text[some], at[some])
         width = self.budgets[owner] + 1
-        band = np.floor_divide(at[row] - place, width)
+        band = np.floor_divide(at - place, width)
+        # ... and what is in a band and the next one or the one before; bands that share a cell only add to it
+        cell = ((text * len(self.texts) + owner).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64)
+        cell = (cell + band) & (_CELLS - 1)
+        full = np.bincount(cell, minlength=_CELLS)
+        some = full[cell] + np.maximum(full[(cell + 1) & (_CELLS - 1)], full[cell - 1]) >= self.bounds[owner]
+        owner, place, text, band = owner[some], place[some], text[some], band[some]
         keys = np.concatenate([np.stack([text, owner, band - shift, place], 1) for shift in (0, 1)])
-        # two cheap cuts before the exact count: occurrences of a band, then different places of the pattern
         order = np.lexsort((keys[:, 3], keys[:, 2], keys[:, 1], keys[:, 0]))
         keys = keys[order]
         if not len(keys):
@@ -116,6 +154,23 @@ class Patterns:
                 out.append((int(text), int(owner), low, high))
         return out
 
+    def with_passages(self, owner: np.ndarray, place: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Occurrences of q-grams of whole patterns, and the same as those of the passages they lie in."""
+        rows, owners, places = [np.arange(len(owner))], [owner], [place]
+        regular, last = self.regular[owner], self.sizes[owner] - PASSAGE
+        for back in range(-(-PASSAGE // STEP) + 1):
+            if back:
+                number = place // STEP - (back - 1)
+                begin, there = number * STEP, (number >= 0) & (number < regular)
+            else:
+                number, begin, there = regular, last, self.tail[owner]
+            inside = np.flatnonzero(there & (begin <= place) & (place <= begin + PASSAGE - Q))
+            rows.append(inside)
+            owners.append(self.base[owner[inside]] + number[inside])
+            places.append(place[inside] - begin[inside])
+        rows = np.concatenate(rows)
+        return np.concatenate(owners), np.concatenate(places), text[rows], at[rows]
+
     def align(self, raw: np.ndarray, begin: int, end: int, pattern: int, low: int, high: int) -> tuple[int, int, int] | None:
         """``(start, end, edits)`` of the pattern in ``raw[begin:end]`` on the diagonals, if it is within its budget."""
         needle, k = self.texts[pattern], int(self.budgets[pattern])
@@ -146,20 +201,42 @@ class Patterns:
         return begin + (best & 0xFFFFFFFF), base + m + last, best >> 32
 
     def found(self, texts: pa.Array) -> list[list[dict]]:
-        """For each text the items it holds, with places in code points."""
+        """For each text the items and passages it holds, with places in code points and the share of the item found in the text.
+
+        Passages inside a whole pattern that was found, but for the width of a band, are not listed.
+        """
         raw, offsets = utf8(texts)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         if not len(self.texts) or not len(raw):
             return out
         plain = normal(raw)
-        for text, pattern, low, high in self.regions(plain, offsets):
+        hits: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for text, pattern, low, high in sorted(self.regions(plain, offsets), key=lambda x: x[1] >= self.whole):
             begin, end = int(offsets[text]), int(offsets[text + 1])
+            known = hits.setdefault((text, self.spots[pattern][0]), [])
+            slack = 2 * (int(self.budgets[pattern]) + 1)  # the width of a band
+            if pattern >= self.whole and any(p < self.whole and a - slack <= low and high + PASSAGE <= b + slack for p, a, b, _ in known):
+                continue
             hit = self.align(plain, begin, end, pattern, low, high)
             if hit:
-                lead = lambda x: int(np.count_nonzero((raw[begin:x] & 0xC0) != 0x80))
-                out[text].append({"item_id": int(self.items[pattern]), "start": lead(hit[0]), "end": lead(hit[1]), "edits": int(hit[2])})
+                known.append((pattern, *hit))
+        for (text, item), known in hits.items():
+            begin = int(offsets[text])
+            lead = lambda x: int(np.count_nonzero((raw[begin:x] & 0xC0) != 0x80))
+            covered = round(self.covered([p for p, *_ in known]) / self.lengths[item], 4) if known else 0.0
+            out[text] += [
+                {"item_id": int(self.items[p]), "start": lead(a), "end": lead(b), "edits": int(edits), "covered": covered} for p, a, b, edits in known
+            ]
         return [sorted({tuple(x.items()): x for x in row}.values(), key=lambda x: (x["start"], x["end"], x["item_id"])) for row in out]
 
+    def covered(self, patterns: list[int]) -> int:
+        """Bytes of an item that its patterns cover together."""
+        total, reach = 0, 0
+        for at, size in sorted((self.spots[p][1], int(self.sizes[p])) for p in patterns):
+            total += max(0, at + size - max(reach, at))
+            reach = max(reach, at + size)
+        return total
+
 
 def shards(benchmark: DataFrame) -> list[Patterns]:
     """The benchmark in parts of about ``SHARD_BYTES``, each searched in a pass over the documents."""
@@ -177,7 +254,8 @@ def shards(benchmark: DataFrame) -> list[Patterns]:
 def leaks(documents: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
     """The columns asked for and ``leaks``, the benchmark items found in each row with their places and edits.
 
-    A null text holds nothing; items that are null or under ``SHORTEST`` bytes are not searched; equal items count
+    An item, a window of a long one, or a passage of it is an entry; ``covered`` is the share of the item that all entries
+    of the item in the row cover together.  Edits are those of the entry.  A null text holds nothing; items that are null or under ``SHORTEST`` bytes are not searched; equal items count
     once.  ``start`` and ``end`` are code points, end exclusive.  Other columns are not read.
     """
     out = documents.select(*columns, F.col("text").cast("string").alias("_text"), F.array().cast(SPANS).alias("leaks"))
@@ -198,13 +276,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, columns: list[str]) -> Dat
 def leaks_by_document(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = leaks(documents, benchmark, ["doc_id"])
     listed = F.transform("leaks", lambda x: F.concat_ws(":", x["item_id"], x["start"], x["end"], x["edits"]))
+    most = lambda i: F.array_max(F.transform(F.filter(found["leaks"], lambda x: x["item_id"] == i), lambda x: x["covered"]))
+    items = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))
     return found.select(
         "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").cast("long").alias("n_leaks"),
-        F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))).alias("items"),
-        F.array_join(listed, ",").alias("leaks"),
+        items.alias("items"), F.array_join(listed, ",").alias("leaks"), F.transform(items, most).alias("covered"),
     )
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they are."""
+    """The documents that hold no benchmark item and no passage of one, all columns as they are."""
     return leaks(documents, benchmark, documents.columns).where(F.size("leaks") == 0).select(documents.columns)

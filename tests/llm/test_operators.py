@@ -268,6 +268,20 @@ def test_leaks_odd_rows(spark):
     assert decontaminate.leaks_by_document(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_parts_of_items():
+    text = " ".join(words(31, 220))[:1000]
+    short = " ".join(words(32, 70))[:300]
+    patterns = decontaminate.Patterns([(1, text), (2, short), (3, " ".join(words(33, 900)))])
+    fill = "Zebra fly, " * 30
+    cases = [text, text[:850], text[420:590], short[80:240], short[140:], text[:60], fill]
+    got = patterns.found(pa.array([f"{fill}\n{x} {fill}" for x in cases]))
+    assert [sorted({x["item_id"] for x in row}) for row in got] == [[1], [1], [1], [2], [2], [], []]
+    assert [len(got[0]), got[0][0]["covered"]] == [1, 1.0]
+    for row, part, size in zip(got[1:5], cases[1:5], (1000, 1000, 300, 300)):
+        assert len(part) - 2 * decontaminate.STEP <= row[0]["covered"] * size <= len(part) + 2 * decontaminate.budget(decontaminate.PASSAGE)
+        assert all(x["end"] - x["start"] <= decontaminate.PASSAGE * 1.1 for x in row)
+
+
 # -- op 5 -----------------------------------------------------------------------------------------------------------
 
 
