@@ -4,8 +4,10 @@ Features of a document are its words and their beginnings of four to six bytes (
 log(1 + occurrences).  The model has one weight per feature, shared by all grades, and ordered thresholds:
 ``P(grade > k) = sigmoid(weights . features - threshold_k)``.  The expected severity is the sum of these over k.
 
-Fitting reads a sample of at most about ``SAMPLE`` graded rows, drawn by a hash of the id; features that tell toxic rows best are counted in Spark,
-and only the ``FEATURES`` best and the sparse rows of the sample reach the driver.  Scoring takes whole texts of all rows.
+Fitting reads a sample of at most about ``SAMPLE`` graded rows, drawn by a hash of the id; features are counted in Spark.
+Every feature that tells toxic rows by ``LEAST_GAP`` is taken, whatever its rank, so that the words of one language do not
+push out those of another; these features and the sparse rows of the sample reach the driver.  Scoring takes whole texts
+of all rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import types as T
 from emberscope.llm.common import ByteHashes, mix, saved, text_slices, utf8, words
 
 SAMPLE = 20_000
-FEATURES = 100
 LEAST_ROWS = 5
 #: Standard deviations by which a feature has to be more frequent in toxic rows.
 LEAST_GAP = 4.0
@@ -83,7 +84,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """A matrix by its cells that are not zero; products with vectors only."""
+
+    shape: tuple[int, int]
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.shape[::-1], self.column, self.row, self.value)
+
+    def __matmul__(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * vector[self.column], self.shape[0])
+
+
+def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch gradient descent (Adam) on the mean log-likelihood of ``grade`` in 0..grades.
 
     Clean and toxic rows count half each, however rare toxic ones are.  The weights have a normal prior, which counts
@@ -151,7 +169,7 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
     gap = a / size.toxic - b / (size.n - size.toxic)
     z = gap / F.sqrt(n * (1 - n) * (1 / size.toxic + 1 / (size.n - size.toxic)) + F.lit(1e-12))
     least = max(1, min(LEAST_ROWS, size.toxic // 4), size.toxic // 100)
-    best = counts.where((F.col("a") >= least) & (z >= LEAST_GAP)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    best = counts.where((F.col("a") >= least) & (z >= LEAST_GAP)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").collect()
     if not best:
         return Model()
     names = np.array([r.feature for r in best], np.int64).view(np.uint64)
@@ -169,12 +187,12 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
             )
 
     taught = rows.orderBy("fp").select("grade", "text").mapInArrow(sparse, "grade int, place array<int>, value array<double>").collect()
-    x = np.zeros((len(taught), len(names)))
-    for i, row in enumerate(taught):
-        x[i, row.place] = row.value
+    owner = np.repeat(np.arange(len(taught)), [len(r.place) for r in taught])
+    place, value = (np.fromiter((v for r in taught for v in r[k]), kind, len(owner)) for k, kind in (("place", np.int64), ("value", float)))
+    x = Sparse((len(taught), len(names)), owner, place, value)
     grade = np.array([r.grade for r in taught])
     if len(np.unique(grade)) == 2:
-        marks = (x[:, telling] > 0).sum(axis=1)
+        marks = np.bincount(owner[telling[place]], minlength=len(taught))
         cuts = np.quantile(marks[grade > 0], [1 / 3, 2 / 3])
         grade = np.where(grade > 0, 1 + (marks[:, None] > cuts[None, :]).sum(axis=1), 0)
     grade = np.unique(grade, return_inverse=True)[1]

@@ -357,6 +357,22 @@ def test_ordinal_fit_orders_grades():
     assert np.corrcoef(above.sum(1), grade)[0, 1] > 0.9 and abs(weights[2]) < 0.5
 
 
+def test_toxicity_keeps_the_words_of_a_rare_language(spark):
+    pick = random.Random(21)
+    often, seldom = [f"schimpf{i:03d}" for i in range(200)], ["zzfeo", "zzmalo"]
+    rows, labels = [], []
+    for i in range(1200):
+        text, kind = words(i + 9000, 40), "often" if i % 4 == 0 else "seldom" if i % 40 == 1 else ""
+        text += pick.sample(often, 60) if kind == "often" else [pick.choice(seldom)] * 2 if kind else []
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(kind != "")))
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, toxicity.grades_of_labels(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    got = {r.doc_id: r.rejected for r in toxicity.scored(docs, model, ["doc_id"]).collect()}
+    assert len(model.names) > 100
+    assert all(got[i] for i in range(1200) if i % 4 == 0 or i % 40 == 1) and not any(got[i] for i, _, toxic in labels if not toxic)
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark, [(1, None), (2, ""), (None, "x"), (3, "word " * 50_000), (3, "a")]).selectExpr("*", "1 as grade", "2 as severity_")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
