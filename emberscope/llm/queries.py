@@ -15,7 +15,7 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dropped_by_document(table(spark, sf_dir, "documents"))
+    return lines.dropped_by_document(table(spark, sf_dir, "documents"), lines.SHORT)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,24 @@ def test_lines_against_brute_force(spark):
             assert kept[i].n_chars == (None if text is None else len(kept[i].text))
 
 
+def test_lines_with_one_character_changed(spark, tmp_path):
+    import corpus_pipeline
+    from emberscope.llm import queries
+
+    line = "Copyright 2019 by the authors, all rights reserved here."
+    rows = [(1, line), (2, line.replace("2019", "2018")), (3, "Copyright"), (4, "Copyleft!"), (5, "Copyright 2019 by others, who reserve some of their rights.")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert 49 <= len(line) < 79
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0), (2, 1), (3, 0), (4, 0), (5, 0)]
+    kept = corpus_pipeline.lines_once(spark, documents(spark, rows), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+    text = "abcdeéfghäij"
+    for size in (4, 5, 7, 8):
+        hashes = lines.line_shingles(pa.array([text, "x" + text[:size], text[: size - 1]]), size)
+        assert [len(x) for x in hashes] == [len(text) - size + 1, 2, 0] and len(np.intersect1d(hashes[0], hashes[1])) == 1
+
+
 def test_lines_odd_rows(spark):
     rows = documents(spark, [(None, "one line\none line"), (1, "one line"), (1, "one line"), (2, "one line")]).selectExpr("*", "3 as id", "'x' as line_no")
     got = sorted((str(r.doc_id), r.n_dropped) for r in lines.dropped_by_document(rows).collect())
