@@ -28,15 +28,25 @@ TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
 STEPS, STEPS_A_TABLE, TOLERANCE = 64, 16, 1e-6
 
 
+#: Letters and digits of ASCII come first: most characters need no look at their Unicode class.
+_SYMBOLS = r"[^a-zA-Z0-9\s.,;:?'\"\-\p{L}\p{N}]"
+
+
 def _term_rows(documents: DataFrame, *columns: str) -> DataFrame:
-    """One row per term: the beginnings of the words of a text, and terms for how many words and different words it has.
+    """One row per term: the beginnings of the words of a text, and terms for its form.
 
-    Words are cut at blanks, and a beginning has their punctuation.  The words are a column of their own, so that a
-    text is cut once.
+    These tell symbols per word, the share of different words, and how many words there are.  Words are cut at blanks
+    and punctuation.  The words are a column of their own, so that a text is cut once.
     """
-    words = documents.select(*columns, F.split("text", r"[\x20\n\t\r]", -1).alias("words"))
+    words = documents.select(
+        *columns, F.split("text", r"[\s.,;:!?]+", -1).alias("words"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols")
+    )
     count = F.greatest(F.size("words"), F.lit(1))
-    levels = {"different": F.floor(8 * F.size(F.array_distinct("words")) / count), "words": F.floor(F.log2(count))}
+    levels = {
+        "symbols": F.floor(F.log2(1 + 8 * F.col("symbols") / count)),
+        "different": F.floor(8 * F.size(F.array_distinct("words")) / count),
+        "words": F.floor(F.log2(count)),
+    }
     form = F.array(*(F.concat(F.lit(f"\x01{name[:3]}"), level.cast("string")) for name, level in levels.items()))
     exploded = words.select(*columns, "words", form.alias("form")).select(*columns, F.explode(F.concat("words", "form")).alias("word"))
     return exploded.select(*columns, F.lower(F.substring("word", 1, TERM_CHARS)).alias("term"))

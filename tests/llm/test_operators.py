@@ -330,6 +330,15 @@ def test_mixture_on_tables_and_odd_rows(spark, sf_dir):
     assert out.count() == 5 and set(odd.columns) <= set(out.columns)
 
 
+def test_terms_of_symbols_and_punctuation(spark):
+    docs = documents(spark, [(1, "Wort wort, WORT. wort!\twort;ende"), (2, "que&&& de%%% ###"), (3, "que de la"), (4, "日本 été, naïve")])
+    got = collections.defaultdict(collections.Counter)
+    for r in mixing._term_rows(docs, "doc_id").collect():
+        got[r.doc_id][r.term] += 1
+    assert got[1]["wort"] == 5 and got[1]["ende"] == 1 and not any(set(x) & set(",.!;") for x in got[1])
+    assert {i: [x for x in got[i] if x.startswith("\x01sym")] for i in got} == {1: ["\x01sym1"], 2: ["\x01sym4"], 3: ["\x01sym0"], 4: ["\x01sym0"]}
+
+
 def test_mixture_is_native(spark, sf_dir):
     docs, labels = (common.table(spark, sf_dir, x) for x in ("documents", "labels"))
     found = mixing.mixed(docs, labels)._jdf.queryExecution().toString() + secrets.secrets_by_document(docs)._jdf.queryExecution().toString()
