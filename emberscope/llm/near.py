@@ -48,18 +48,19 @@ def multi_members(signed: DataFrame, bands: int, band_bytes: int) -> DataFrame:
 def proposed_groups(signed: DataFrame, bands: int, band_bytes: int, width: int, least: float) -> DataFrame:
     """``(id, component)`` of ids connected by pairs that share a band and whose estimated similarity is ``least``.
 
-    ``signed``: ``(id long, signature binary)``, ids distinct; ``width`` bytes are one coordinate of a signature.
+    ``signed``: ``(id long, signature binary)``, ids distinct; ``width`` bytes are one coordinate of a signature.  Bands
+    take whole coordinates; a member carries the first byte of each, which only adds to the estimate.
     """
-    members = multi_members(signed, bands, band_bytes).join(signed, "id")
+    short = F.concat(*(F.substring("signature", i + 1, 1) for i in range(0, bands * band_bytes, width))) if width > 1 else F.col("signature")
+    members = multi_members(signed, bands, band_bytes).join(signed.select("id", short.alias("signature")), "id")
     dealt = by_group(deal(members, "key", "id", "n").drop("n"), "key")
-    kind = {1: np.uint8, 2: np.uint16}[width]
     coordinates = bands * band_bytes // width
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches, ["key", "lo", "hi"]):
             ids = part.column("id").to_numpy()
             signatures = part.column("signature").combine_chunks()
-            raw = np.frombuffer(b"".join(signatures.to_pylist()), kind).reshape(len(ids), coordinates)
+            raw = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(len(ids), coordinates)
             yield _forest(ids, ((a, b) for a, b in _likely(raw, pairs_within(*group_bounds(part, ["key"])), least)))
 
     return components(dealt.mapInArrow(compare, EDGES))
