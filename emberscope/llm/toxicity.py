@@ -25,8 +25,9 @@ from emberscope.llm.common import ByteHashes, mix, saved, text_slices, utf8, wor
 
 SAMPLE = 20_000
 LEAST_ROWS = 5
-#: Standard deviations by which a feature has to be more frequent in toxic rows.
-LEAST_GAP = 4.0
+#: Standard deviations by which a feature has to be more frequent in toxic rows.  Among n texts a feature that tells
+#: them apart without fail has sqrt(n), so of few texts the share ``LEAST_SHARE`` of that is asked for.
+LEAST_GAP, LEAST_SHARE = 4.0, 0.75
 BEGINNINGS = (4, 5, 6)
 #: Rejected: probability of any toxic grade above this.
 REJECT = 0.5
@@ -151,8 +152,9 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``graded(doc_id, grade)``, grades 0, 1, ... with 0 for clean rows.
 
     Null grades are left out; of several grades of an id the highest counts; equal texts count once.  If there is only
-    one grade above 0, its rows are spread over three grades by how many of the most telling features they have.  Without
-    rows of both kinds the model rejects nothing.
+    one grade above 0, its rows are spread over three grades by how many of the most telling features they have.  Under 29
+    different texts the gap a feature needs falls with their number.  Without rows of both kinds, or if no feature reaches
+    the gap, the model rejects nothing.
     """
     ids = graded.where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     share = min(1.0, sample / max(1, ids.count()))
@@ -169,7 +171,8 @@ def fit(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE) -> Model:
     gap = a / size.toxic - b / (size.n - size.toxic)
     z = gap / F.sqrt(n * (1 - n) * (1 / size.toxic + 1 / (size.n - size.toxic)) + F.lit(1e-12))
     least = max(1, min(LEAST_ROWS, size.toxic // 4), size.toxic // 100)
-    best = counts.where((F.col("a") >= least) & (z >= LEAST_GAP)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").collect()
+    needed = min(LEAST_GAP, LEAST_SHARE * size.n**0.5)
+    best = counts.where((F.col("a") >= least) & (z >= needed)).select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").collect()
     if not best:
         return Model()
     names = np.array([r.feature for r in best], np.int64).view(np.uint64)

@@ -400,6 +400,15 @@ def test_toxicity_keeps_the_words_of_a_rare_language(spark):
     assert all(got[i] for i in range(1200) if i % 4 == 0 or i % 40 == 1) and not any(got[i] for i, _, toxic in labels if not toxic)
 
 
+def test_toxicity_on_few_labelled_texts(spark):
+    for n in (4, 8, 15, 16):
+        rows = [(i, " ".join(words(i + 700, 12) + (["scum"] * 2 if i % 2 else []))) for i in range(n)]
+        labels = spark.createDataFrame([(i, 1, i % 2) for i in range(n)], "doc_id long, quality int, toxic int")
+        docs = documents(spark, rows)
+        got = {r.doc_id: r.rejected for r in toxicity.scored(docs, toxicity.fit(docs, toxicity.grades_of_labels(labels)), ["doc_id"]).collect()}
+        assert got == {i: i % 2 == 1 for i in range(n)}, n
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark, [(1, None), (2, ""), (None, "x"), (3, "word " * 50_000), (3, "a")]).selectExpr("*", "1 as grade", "2 as severity_")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
