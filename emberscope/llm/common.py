@@ -63,6 +63,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("v", F.col("least").alias("m"))).distinct()
 
 
+#: Keys with more than this share of the rows, and more rows than ``HOT_ROWS``, are hot.
+HOT_SHARE, HOT_ROWS = 1000, 10_000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, counts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join many rows to ``one`` row per key, whatever share of the rows a key has.
+
+    ``counts``: the keys and ``n``, their number of rows.  At most ``HOT_SHARE`` keys can be hot, so their rows of
+    ``one`` are broadcast; no other key has more than the thousandth part of all rows.  ``how``: inner or left.
+    """
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    hot = F.broadcast(counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select(*keys))
+    few = F.broadcast(one.join(hot, keys, "left_semi"))
+    cold = rows.join(hot, keys, "left_anti").join(one.join(hot, keys, "left_anti"), keys, how)
+    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(cold)
+
+
 def deal(df: DataFrame, key: str, ident: str, n: str, least: int = 256) -> DataFrame:
     """Deal the ``n`` members of each key into blocks, and every member to each pair of blocks it is part of.
 

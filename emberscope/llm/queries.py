@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberscope.llm import chat, decontaminate, lines, merkle, mixing, near_documents, packing, pii, secrets, toxicity, vectors, warc
+from emberscope.llm import chat, decontaminate, dialogues, lines, merkle, mixing, near_documents, packing, pii, secrets, toxicity, vectors, warc
 from emberscope.llm.common import table
 
 
@@ -60,11 +60,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_perspectives, op2_line_dedup, op3_embedding_dedup, op4_benchmark_leaks, op5_mixture_rates, op6_toxicity,
         op7_secret_ledger, op8_personal_data, op9_near_documents, op10_warc_index, op11_packing, op12_merkle_manifest,
+        op13_dialogue_repair,
     )
 }
 
