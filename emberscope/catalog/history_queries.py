@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberscope.catalog.registry import query
 from emberscope.catalog.rule_queries import ATTEMPT, ISSUE, STAGE
 from emberscope.operators import clusters, drill, history, status
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
 from emberscope.operators.quantiles import SERVER_PROBES, group_quantiles
 from emberscope.plans import compat, efficiency, issues, overview
 from emberscope.sources import history as landed
@@ -346,7 +346,7 @@ def raw_summaries(data):
     metrics = ("duration", "input_bytes", "shuffle_read_bytes", "memory_bytes_spilled", "disk_bytes_spilled")
     summaries = group_quantiles(tasks, [*STAGE, "attempt_id"], metrics, SERVER_PROBES)
     names = data("tel_clusters").select("cluster_id", "cluster_name")
-    named = salted_join(summaries, names, ["cluster_id"], ["application_id", "stage_id"], "inner")
+    named = balanced_join(summaries, names, ["cluster_id"], "inner")
     return history.task_summary_payload(named, SERVER_PROBES)
 
 
@@ -431,11 +431,11 @@ def tables_by_cluster(data):
     owner = apps.select("application_id", "cluster_id")
     return {
         "applications": apps,
-        "jobs": salted_join(data("tel_jobs"), owner, ["application_id"], ["job_id"], "inner"),
+        "jobs": balanced_join(data("tel_jobs"), owner, ["application_id"], "inner"),
         "stages": data("tel_stages"),
         "tasks": data("tel_tasks"),
-        "sql": salted_join(data("tel_sql"), owner, ["application_id"], ["sql_id"], "inner"),
-        "executors": salted_join(data("tel_executors"), owner, ["application_id"], ["executor_id"], "inner"),
+        "sql": balanced_join(data("tel_sql"), owner, ["application_id"], "inner"),
+        "executors": balanced_join(data("tel_executors"), owner, ["application_id"], "inner"),
         "task_summaries": data("tel_stages").where("num_complete_tasks > 0"),
     }
 
@@ -586,7 +586,7 @@ def cluster_app_score(data):
     names = data("tel_clusters").select("cluster_id", "cluster_name")
     summaries = data("tel_clusters").where("state <> 'RUNNING'")
     scores = names.select("cluster_name", (F.col("cluster_id") / 10).alias("ratio"))
-    apps = salted_join(data("tel_applications").select("application_id", "cluster_id"), names, ["cluster_id"], ["application_id"], "inner")
+    apps = balanced_join(data("tel_applications").select("application_id", "cluster_id"), names, ["cluster_id"], "inner")
     return clusters.scored_clusters(summaries, apps, scores).select("application_id", "cluster_name", "state", "ratio")
 
 

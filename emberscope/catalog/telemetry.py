@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
 
 VIEWS = {
     "tel_tasks": """
@@ -85,7 +85,7 @@ def _supplied_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their supplier; a supplier may hold a large share of them."""
     items, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     known = suppliers.withColumn("l_suppkey", F.col("s_suppkey"))
-    return salted_join(items, known, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], "inner")
+    return balanced_join(items, known, ["l_suppkey"], "inner")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberscope.operators import events as ev
 from emberscope.operators.keyed import counts_before, running_totals
 from emberscope.operators.quantiles import LOG_PROBES, group_quantiles
-from emberscope.runtime import reliable_checkpoint
+from emberscope.runtime import stored
 from emberscope.schemas import TASK_METRICS
 from emberscope.sources.eventlog import order_chunk
 
@@ -18,12 +18,12 @@ STAGE = ["application_id", "stage_id"]
 ATTEMPT = ["application_id", "stage_id", "attempt_id"]
 
 
-def stages(events: DataFrame) -> DataFrame:
+def stages(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Stage attempts with the tasks that had ended when the attempt completed.
 
-    Attempts are few next to tasks and are needed three times: they are checkpointed.
+    ``rows``: the stored submissions and completions, if they are at hand (``events.stage_rows``).
     """
-    attempts = reliable_checkpoint(ev.stage_attempts(events))
+    attempts = stored(ev.merged_attempts(ev.stage_rows(events) if rows is None else rows))
     ends = attempts.where(F.col("completed_order").isNotNull())
     outcome = F.col("outcome")
     counts = counts_before(
@@ -46,7 +46,7 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 
 def task_summaries(events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRICS)) -> DataFrame:
     """Quantile vectors of the successful tasks of each stage attempt."""
-    return group_quantiles(ev.task_metrics(events), ATTEMPT, metrics, LOG_PROBES)
+    return group_quantiles(stored(ev.task_metrics(events).select(*ATTEMPT, *metrics)), ATTEMPT, metrics, LOG_PROBES)
 
 
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -142,11 +142,15 @@ ACCOUNTED = (
 )
 
 
-def jobs(events: DataFrame, stage_table: DataFrame | None = None) -> DataFrame:
-    """Job table with stage and task accounting; open jobs have an empty status."""
-    stage_table = stages(events) if stage_table is None else stage_table
-    starts, ends = ev.job_starts(events), ev.job_ends(events)
-    at_end = references_at_end(stage_references(starts, ends), ev.stage_submissions(events), stage_table)
+def jobs(events: DataFrame, stage_table: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Job table with stage and task accounting; open jobs have an empty status.
+
+    Each kind of event is parsed once and stored in the columns that are used.
+    """
+    rows = stored(ev.stage_rows(events)) if rows is None else rows
+    stage_table = stored(stages(events, rows)) if stage_table is None else stage_table
+    starts, ends = stored(ev.job_starts(events)), stored(ev.job_ends(events))
+    at_end = references_at_end(stage_references(starts, ends), rows.where("not completed"), stage_table)
     keys = ["application_id", "job_id"]
     joined = starts.join(ends, keys, "left").join(job_accounting(at_end), keys, "left")
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
 
 # Cluster states.
 DEFAULT_STATES = ("TERMINATED", "WAITING")
@@ -56,6 +56,6 @@ def scored_clusters(cluster_summaries: DataFrame, applications: DataFrame, score
     Scores are per cluster name, or per cluster name and application.
     """
     summaries = cluster_summaries.drop("cluster_name")
-    all_apps = salted_join(applications, summaries, ["cluster_id"], ["application_id"], "left")
+    all_apps = balanced_join(applications, summaries, ["cluster_id"], "left")
     on = ["cluster_name"] + (["application_id"] if "application_id" in scores.columns else [])
-    return salted_join(all_apps, scores, on, ["application_id"], "inner")
+    return balanced_join(all_apps, scores, on, "inner")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.operators.keyed import SLICES
+from emberscope.operators.keyed import balanced_join
 
 
 def slowest(df: DataFrame, by: str = "runtimesec", ties: Sequence[str] = (), limit: int | None = None) -> DataFrame:
@@ -85,17 +85,16 @@ def execution_overview(executions: DataFrame, keys: Sequence[str] = ("applicatio
 RANK_STEP = 65_536
 
 
-def rank_by_size(df: DataFrame, keys: Sequence[str], size: Column, spread_by: Sequence[str]) -> DataFrame:
+def rank_by_size(df: DataFrame, keys: Sequence[str], size: Column, spread_by: Sequence[str] = ()) -> DataFrame:
     """``rank()`` by descending size within ``keys`` without a window over the rows.
 
     Sizes are counted, ranked in two steps (coarse steps of 65,536, then the sizes
-    inside a step), and joined back over slices, so a key or a size with most of
+    inside a step), and joined back in balance, so a key or a size with most of
     the rows is neither sorted nor joined in one task.
     """
-    sized = df.withColumn("stringlength", size).withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(SLICES)))
+    sized = df.withColumn("stringlength", size)
     size_key = [*keys, "stringlength"]
-    per_slice = sized.groupBy(*size_key, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    per_size = per_slice.groupBy(*size_key).agg(F.sum("_rows").alias("_rows")).withColumn(
+    per_size = sized.groupBy(*size_key).agg(F.count(F.lit(1)).alias("_rows")).withColumn(
         "_step", F.floor(F.col("stringlength") / RANK_STEP)
     )
     larger = Window.unboundedPreceding, -1
@@ -109,9 +108,7 @@ def rank_by_size(df: DataFrame, keys: Sequence[str], size: Column, spread_by: Se
         .join(steps, [*keys, "_step"])
         .select(*size_key, (F.col("_before") + F.col("_inside") + 1).alias("rank"))
     )
-    # a rank is copied only to the slices its size occurs in
-    copies = per_slice.drop("_rows").join(ranks, size_key)
-    return sized.join(copies, [*size_key, "_slice"]).drop("_slice")
+    return balanced_join(sized, ranks, size_key, "inner", spread_by)
 
 
 def sql_snippets(executions: DataFrame, keys: Sequence[str], limit: float = 20000, ranking: int = 0) -> DataFrame:

@@ -166,9 +166,17 @@ def stage_submissions(events: DataFrame) -> DataFrame:
     return _stage_rows(events, "stage_submitted")
 
 
+def stage_rows(events: DataFrame) -> DataFrame:
+    """Submissions and completions of stage attempts, told apart by ``completed``."""
+    return _stage_rows(events, "stage_submitted").unionByName(_stage_rows(events, "stage_completed"))
+
+
 def stage_attempts(events: DataFrame) -> DataFrame:
+    return merged_attempts(stage_rows(events))
+
+
+def merged_attempts(rows: DataFrame) -> DataFrame:
     """One row per stage attempt: submission and completion merged in a single grouping."""
-    rows = _stage_rows(events, "stage_submitted").unionByName(_stage_rows(events, "stage_completed"))
     order = F.col("event_order")
 
     def first(column, condition):

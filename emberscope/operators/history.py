@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from emberscope import schemas
 from emberscope.functions.text import elapsed
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
 from emberscope.schemas import RUN_KEYS, conform, nested_by_path
 
 _MIB = 1024 * 1024
@@ -189,7 +189,7 @@ def tagged(df: DataFrame, identities: DataFrame, on=("application_id",)) -> Data
     order = [F.col("attempt_id").try_cast("bigint").alias("_number")] if "attempt_id" in identities.columns else []
     newest = identities.groupBy(*on).agg(F.max(F.struct(*order, *missing)).alias("_newest")) if missing else identities.select(*on).distinct()
     tags = newest.select(*on, *[F.col(f"_newest.{c}").alias(c) for c in missing])
-    joined = salted_join(df, tags, list(on), [c for c, t in df.dtypes if "map<" not in t and t != "variant"], "left")
+    joined = balanced_join(df, tags, list(on), "left")
     if "attempt_id" in missing:
         joined = joined.withColumn("attempt_id", F.coalesce(F.col("attempt_id").cast("string"), F.lit("0")))
     return joined

@@ -1,4 +1,4 @@
-"""Join and running-total helpers that stay balanced when one key is hot."""
+"""Joins and running totals that stay balanced when one key is hot."""
 
 from __future__ import annotations
 
@@ -7,32 +7,65 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.runtime import reliable_checkpoint
+from emberscope.runtime import stored
 
-#: Number of slices a possibly hot key is spread over.
-SLICES = 16
+#: Keys the sketch reports, and keys it tracks: any key with more than a thousandth part of the rows is among them.
+HOT_KEYS, TRACKED = 1000, 10_000
+#: Tasks that a key with all rows is spread over.
+SLICES = 256
+#: Bytes that a single task may hold whatever their keys are; smaller inputs need no balance.
+ONE_TASK = 128 << 20
 
 
-def salted_join(
-    rows: DataFrame,
-    unique: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str | Column],
-    how: str = "left",
-    slices: int = SLICES,
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects ``df`` to hold, from file sizes; it errs upwards."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def heavy_hitters(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(_mark, _slices)``: hashes of the keys with most rows, and the slices their measured share calls for.
+
+    One pass with a sketch of fixed size, combined on the map side; at most ``HOT_KEYS`` rows come out, none for a key of
+    less than the share of one slice.
+    """
+    found = rows.select(F.xxhash64(*keys).alias("_mark")).agg(
+        F.expr(f"approx_top_k(_mark, {HOT_KEYS}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("total")
+    )
+    listed = found.select("total", F.inline("top"))
+    slices = F.ceil(F.col("count") * SLICES / F.col("total")).cast("int")
+    return listed.select(F.col("item").alias("_mark"), slices.alias("_slices")).where("_slices > 1")
+
+
+def balanced_join(
+    rows: DataFrame, unique: DataFrame, keys: Sequence[str], how: str = "left", spread_by: Sequence[str] = (), small: int | None = None
 ) -> DataFrame:
     """Join many ``rows`` to at most one ``unique`` row per key.
 
-    The rows of one key are spread over ``slices`` partitions by a hash of
-    ``spread_by`` and the unique side is copied once per slice, so a key that
-    holds a third of all rows is still worked on by many tasks.  Meant for a unique
-    side that is much smaller than the rows.
+    A unique side whose size by the file sizes is below ``small`` bytes (the session's broadcast threshold) is broadcast
+    and no row moves; rows that one task can hold as a whole are joined as they are.  Otherwise heavy hitters are
+    measured first: only their rows are dealt to slices (by ``spread_by`` or row number), as many as their share calls
+    for, and only their unique rows are copied, once a slice.
     """
     if how not in ("left", "inner"):
         raise ValueError("the copied side must not decide which rows survive")
-    salted = rows.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int"))
-    copies = unique.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return salted.join(copies, [*keys, "_slice"], how).drop("_slice")
+    keys = list(keys)
+    if small is None:
+        threshold = rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        small = int(rows.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold))
+    if estimated_bytes(unique) <= small:
+        return rows.join(F.broadcast(unique), keys, how)
+    if estimated_bytes(rows) <= ONE_TASK:
+        return rows.join(unique, keys, how)
+    hot = F.broadcast(heavy_hitters(rows, keys))
+
+    def marked(df: DataFrame) -> DataFrame:
+        joined = df.withColumn("_mark", F.xxhash64(*keys)).join(hot, "_mark", "left")
+        return joined.withColumn("_slices", F.coalesce("_slices", F.lit(1))).drop("_mark")
+
+    number = F.xxhash64(*spread_by) if spread_by else F.monotonically_increasing_id()
+    dealt = marked(rows).withColumn("_slice", F.pmod(number, F.col("_slices").cast("long")).cast("int")).drop("_slices")
+    copies = marked(unique).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return dealt.join(copies, [*keys, "_slice"], how).drop("_slice")
 
 
 def running_totals(
@@ -48,9 +81,9 @@ def running_totals(
     ``chunk`` must grow with ``order`` and hold a bounded number of rows.  Totals
     run inside each chunk, the totals of earlier chunks are added afterwards, so
     no task ever holds a whole group.  The input is read twice, so it is
-    checkpointed instead of being computed twice.
+    stored instead of being computed twice.
     """
-    df = reliable_checkpoint(df)
+    df = stored(df)
     sums, maxes = dict(sums or {}), dict(maxes or {})
     whole = [F.sum(src).alias(f"_c_{out}") for out, src in sums.items()]
     whole += [F.max(src).alias(f"_c_{out}") for out, src in maxes.items()]
@@ -86,18 +119,21 @@ def running_totals(
 def counts_before(
     df: DataFrame, group: Sequence[str], order: str, cutoffs: DataFrame, cutoff: str, counts: Mapping[str, Column], bits: int = 16
 ) -> DataFrame:
-    """Conditional counts of the rows that come before a cut-off of their group.
+    """Conditional counts of the rows that come before a cut-off of their group; one row per cut-off.
 
-    Rows are counted per stretch of ``2 ** bits`` positions, which also keys the join
-    with the cut-offs, so no task sees more than one stretch of a group.  Stretches
-    before the one with the cut-off then count whole.
+    Rows are counted before anything is joined, combined on the map side, per group and range of ``2 ** bits``
+    positions.  Ranges that end before the cut-off count whole; only in a range the cut-off tears are rows looked
+    at again, so a group that ended before its cut-off, as nearly all do, moves a row or two.
     """
-    stretch = F.shiftright(F.col(order), bits)
-    ends = cutoffs.select(*group, F.col(cutoff).alias("_cut"), F.shiftright(F.col(cutoff), bits).alias("_last"))
-    placed = df.withColumn("_stretch", stretch).join(
-        ends.withColumnRenamed("_last", "_stretch"), [*group, "_stretch"], "left"
-    )
-    kept = F.col("_cut").isNull() | (F.col(order) < F.col("_cut"))
-    per_stretch = placed.groupBy(*group, "_stretch").agg(*[F.count_if(c & kept).alias(n) for n, c in counts.items()])
-    counted = per_stretch.join(ends, list(group)).where(F.col("_stretch") <= F.col("_last"))
-    return counted.groupBy(*group).agg(*[F.sum(n).alias(n) for n in counts])
+    group, names = list(group), list(counts)
+    df = stored(df)
+    totals = [F.count_if(c).alias(n) for n, c in counts.items()]
+    place = F.shiftright(F.col(order), bits).alias("_range")
+    ranges = df.groupBy(*group, place).agg(*totals, F.max(order).alias("_last"))
+    cut = cutoffs.select(*group, F.col(cutoff).alias("_cut"))
+    known = stored(cut.join(ranges, group, "left"))
+    torn = known.where((F.col("_last") >= F.col("_cut")) & (F.col("_range") <= F.shiftright(F.col("_cut"), bits))).select(*group, "_range", "_cut")
+    early = balanced_join(df.withColumn("_range", place), torn, [*group, "_range"], "inner").where(F.col(order) < F.col("_cut"))
+    parts = known.where("_last < _cut").select(*group, *names).unionByName(early.groupBy(*group).agg(*totals))
+    every = cut.select(*group, *[F.lit(0).cast("long").alias(n) for n in names])
+    return parts.unionByName(every).groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])

@@ -1,9 +1,14 @@
-"""Exact quantiles of many metrics per group, by ranks of counted values.
+"""Exact quantiles of many metrics per group.
 
-There is one route for groups of every size.  Rows are counted per (group, metric, value), combined on the map side.
-Counts then run over stretches of neighbouring values, at most 1/256 of an octave wide, so that a group with most of
-the rows is ranked by many tasks; the totals of the stretches below are added from a table with a row per stretch.
-Keys may be NULL.
+Groups are counted first.  Ordinary ones, up to ``HOT_ROWS`` rows, are aggregated with ``percentile``: its map of values
+and counts is combined on the map side and holds one group.  A group with more rows never lies in one place.  It is
+selected from in two passes:
+
+1. rows are counted per stretch of neighbouring values, 1/256 of an octave wide and combined on the map side, and
+   running counts over the stretches tell in which of them each wanted rank lies: two stretches a probe at most;
+2. only the values in those stretches are counted one by one, and ranked within their stretch.
+
+Both ways give the digits of ``percentile``.  Keys may be NULL.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 LOG_PROBES = (0.05, 0.25, 0.5, 0.75, 0.95)
 #: Probes requested from history servers (ends are minimum and maximum).
 SERVER_PROBES = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Groups with more rows are selected from in two passes; others fit the memory of a task many times over.
+HOT_ROWS = 1 << 15
 #: Stretches per octave of values.
 STRETCHES = 256
 
@@ -31,27 +38,79 @@ def value_stretch(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.signum(value) * 3000 * STRETCHES).otherwise(stretch).cast("long")
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], probes: Sequence[float] = LOG_PROBES) -> DataFrame:
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], metrics: Sequence[str], probes: Sequence[float] = LOG_PROBES, hot_rows: int | None = None
+) -> DataFrame:
     """One row per key: ``num_tasks`` and an ``array<double>`` per metric.
 
     Interpolates linearly at ``q * (n - 1)``; NULL values do not count, and a metric without values is NULL.
+    Groups are counted in a pass over the keys, so ``df`` should be cheap to read again (a stored frame, a table).
     """
     keys, metrics = list(keys), list(metrics)
+    rows = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    # eight bytes for each group of more than `limit` rows; groups whose hashes meet are both selected from
+    hot = F.broadcast(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(F.xxhash64(*keys).alias("_hot")).distinct()
+    )
+    same = F.xxhash64(*keys) == F.col("_hot")
+    points = F.array(*[F.lit(float(q)) for q in probes])
+    ordinary = rows.join(hot, same, "left_anti").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("num_tasks"), *[F.percentile(m, points).alias(m) for m in metrics]
+    )
+    return ordinary.unionByName(selected_quantiles(rows.join(hot, same, "left_semi"), keys, metrics, probes))
+
+
+def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def stretch_picks(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], probes: Sequence[float]) -> DataFrame:
+    """First pass: per key, metric and stretch that holds a wanted rank, the rows below it and the number of values.
+
+    A metric without values has one row, without a stretch.
+    """
     slot = [*keys, "metric"]
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    counts = df.select(*keys, F.inline(pairs)).groupBy(*slot, "value").agg(F.count(F.lit(1)).alias("rows"))
-    counts = counts.withColumn("times", F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(0))
-    counts = counts.withColumn("stretch", F.coalesce(value_stretch(F.col("value")), F.lit(-(2**40))))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), value_stretch(F.col(m)).alias("stretch")) for m in metrics])
+    counts = rows.select(*keys, F.inline(pairs)).groupBy(*slot, "stretch").agg(F.count(F.lit(1)).alias("rows"))
+    held = F.when(F.col("stretch").isNotNull(), F.col("rows")).otherwise(0)
+    whole = Window.partitionBy(*slot)
+    below = whole.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(
+        *slot, "stretch", held.alias("held"), F.coalesce(F.sum(held).over(below), F.lit(0)).alias("skipped"),
+        F.sum(held).over(whole).alias("total"), F.sum("rows").over(whole).alias("num_tasks"),
+    )
+    first, last = F.col("skipped"), F.col("skipped") + F.col("held") - 1
+    ranks = [r for q in probes for r in (F.floor(F.lit(float(q)) * (F.col("total") - 1)), F.ceil(F.lit(float(q)) * (F.col("total") - 1)))]
+    wanted = F.exists(F.array(*ranks), lambda r: (first <= r) & (r <= last))
+    return placed.where((F.col("total") == 0) | (wanted & F.col("stretch").isNotNull())).drop("held")
 
-    inside = Window.partitionBy(*slot, "stretch").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    below = Window.partitionBy(*slot).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = counts.groupBy(*slot, "stretch").agg(F.sum("times").alias("held")).select(
-        *[F.col(k).alias(f"_{k}") for k in [*slot, "stretch"]],
-        F.coalesce(F.sum("held").over(below), F.lit(0)).alias("skipped"),
-        F.sum("held").over(Window.partitionBy(*slot)).alias("total"),
+
+def picked_values(rows: DataFrame, picks: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Second pass: ``keys, metric, stretch, value, times``, counted values of the picked stretches only."""
+    wanted = picks.where("stretch is not null").groupBy(*keys).agg(
+        *[F.collect_list(F.when(F.col("metric") == m, F.col("stretch"))).alias(f"_{i}") for i, m in enumerate(metrics)]
     )
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*slot, "stretch"]])
-    ranked = counts.withColumn("upto", F.sum("times").over(inside)).join(stretches, same)
+    renamed = wanted.withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = rows.join(renamed, _null_safe(keys, [f"_{k}" for k in keys]))
+
+    def kept(i: int, m: str) -> Column:
+        stretch = value_stretch(F.col(m))
+        return F.when(F.array_contains(f"_{i}", stretch), F.struct(F.lit(m).alias("metric"), stretch.alias("stretch"), F.col(m).alias("value")))
+
+    pairs = F.array_compact(F.array(*[kept(i, m) for i, m in enumerate(metrics)]))
+    return joined.select(*keys, F.inline(pairs)).groupBy(*keys, "metric", "stretch", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
+def selected_quantiles(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], probes: Sequence[float]) -> DataFrame:
+    """The same by two-pass selection, whatever the number of rows of a key."""
+    keys, metrics = list(keys), list(metrics)
+    slot = [*keys, "metric"]
+    picks = stretch_picks(rows, keys, metrics, probes)
+    inside = Window.partitionBy(*slot, "stretch").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    counted = picked_values(rows, picks, keys, metrics).withColumn("upto", F.sum("times").over(inside))
+    values = counted.select(*[F.col(c).alias(f"_{c}") for c in [*slot, "stretch"]], "value", "times", "upto")
+    ranked = picks.join(values, _null_safe([*slot, "stretch"], [f"_{c}" for c in [*slot, "stretch"]]), "left")
     last = F.col("skipped") + F.col("upto") - 1
     first = last - F.col("times") + 1
 
@@ -59,10 +118,10 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
         return F.lit(float(q)) * (F.col("total") - 1)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("times") > 0) & (first <= rank) & (rank <= last), F.col("value")))
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("value")))
 
-    picked = ranked.groupBy(*slot).agg(
-        F.sum("rows").alias("rows"), F.max("total").alias("total"),
+    found = ranked.groupBy(*slot).agg(
+        F.max("num_tasks").alias("rows"), F.max("total").alias("total"),
         *[at(F.floor(position(q))).alias(f"low{i}") for i, q in enumerate(probes)],
         *[at(F.ceil(position(q))).alias(f"high{i}") for i, q in enumerate(probes)],
     )
@@ -72,7 +131,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
         return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
     vector = F.when(F.col("total") > 0, F.array(*[between(i, q) for i, q in enumerate(probes)]))
-    return picked.withColumn("vector", vector).groupBy(*keys).agg(
+    return found.withColumn("vector", vector).groupBy(*keys).agg(
         F.max(F.when(F.col("metric") == metrics[0], F.col("rows"))).alias("num_tasks"),
         *[F.max(F.when(F.col("metric") == m, F.col("vector"))).alias(m) for m in metrics],
     )

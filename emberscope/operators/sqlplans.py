@@ -2,52 +2,86 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope.operators import events as ev
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
+from emberscope.runtime import stored
 
 EXECUTION = ["application_id", "execution_id"]
 
-_NODE = "struct<position:int,node_id:int,node_name:string,metrics:array<struct<name:string,accumulator_id:bigint>>>"
+_OPEN = "array<struct<path:array<int>,fields:map<string,variant>>>"
+_NODE = "struct<path:array<int>,node_id:int,node_name:string,metrics:array<struct<name:string,accumulator_id:bigint>>>"
+
+
+def _fields(value: Column) -> Column:
+    """The fields of a JSON object, one level deep; NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _items(value: Column) -> Column:
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _node_entry(node: Column) -> Column:
+    fields = node["fields"]
+    metrics = F.transform(
+        F.transform(_items(fields["metrics"]), _fields),
+        lambda m: F.struct(
+            F.try_variant_get(m["name"], "$", "string").alias("name"),
+            F.try_variant_get(m["accumulatorId"], "$", "bigint").alias("accumulator_id"),
+        ),
+    )
+    return F.struct(
+        node["path"].alias("path"), F.try_variant_get(fields["explainId"], "$", "int").alias("node_id"),
+        F.coalesce(F.try_variant_get(fields["nodeName"], "$", "string"), F.lit("")).alias("node_name"),
+        F.filter(metrics, lambda m: m["name"].isNotNull() & m["accumulator_id"].isNotNull()).alias("metrics"),
+    )
+
+
+def _child_nodes(node: Column) -> Column:
+    found = F.transform(
+        _items(node["fields"]["children"]),
+        lambda child, i: F.struct(F.concat(node["path"], F.array(i)).alias("path"), _fields(child).alias("fields")),
+    )
+    return F.filter(found, lambda child: child["fields"].isNotNull())
 
 
 def plan_tree_nodes(plan: Column, by_position: bool = False) -> Column:
     """Flatten a plan tree held as JSON text, depth first; the first node of an id wins.
 
-    Trees nest without a fixed depth, which no built-in function walks in one pass;
-    each batch of plans goes through Arrow once and every row yields its own array.
-    The helper is self-contained, so workers need nothing but the standard library.
+    Trees nest without a fixed depth.  They are walked breadth first as variants, a level a step: a frontier of open nodes with
+    the path of child numbers that leads to each.  Paths in order give the depth-first order.  No level lies below
+    the number of times ``children`` occurs in the text, and steps without a frontier do nothing.
     """
-
-    @F.pandas_udf(f"array<{_NODE}>")
-    def walk(plans: pd.Series) -> pd.Series:
-        def flatten(text):
-            nodes, seen, stack, position = [], set(), [json.loads(text)] if text else [], 0
-            while stack:
-                node = stack.pop()
-                if not isinstance(node, dict):
-                    continue
-                number, name = (position if by_position else node.get("explainId")), node.get("nodeName") or ""
-                if number is not None and name and int(number) not in seen:
-                    seen.add(int(number))
-                    defined = [
-                        {"name": m["name"], "accumulator_id": int(m["accumulatorId"])}
-                        for m in node.get("metrics") or []
-                        if isinstance(m, dict) and "name" in m and "accumulatorId" in m
-                    ]
-                    nodes.append({"position": position, "node_id": int(number), "node_name": name, "metrics": defined})
-                position += 1
-                stack.extend(reversed(node.get("children") or []))
-            return nodes
-
-        return plans.map(flatten)
-
-    return walk(plan)
+    empty = F.array().cast(_OPEN)
+    root = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("path"), _fields(F.try_parse_json(plan)).alias("fields"))), lambda n: n["fields"].isNotNull())
+    word = '"children"'
+    levels = F.coalesce(F.floor((F.length(plan) - F.length(F.replace(plan, F.lit(word), F.lit("")))) / len(word)).cast("int"), F.lit(0))
+    start = F.struct(root.cast(_OPEN).alias("open"), F.array().cast(f"array<{_NODE}>").alias("done"))
+
+    def deeper(state: Column, _: Column) -> Column:
+        next_level = F.struct(
+            F.flatten(F.transform(state["open"], _child_nodes)).alias("open"),
+            F.concat(state["done"], F.transform(state["open"], _node_entry)).alias("done"),
+        )
+        return F.when(F.size(state["open"]) > 0, next_level).otherwise(state)
+
+    walked = F.aggregate(F.sequence(F.lit(0), levels), start, deeper, lambda state: F.array_sort(state["done"]))
+    number = (lambda node, i: i) if by_position else (lambda node, i: node["node_id"])
+    numbered = F.transform(
+        walked,
+        lambda node, i: F.struct(
+            i.alias("position"), number(node, i).alias("node_id"), node["node_name"].alias("node_name"), node["metrics"].alias("metrics")
+        ),
+    )
+    named = F.filter(numbered, lambda node: node["node_id"].isNotNull() & (node["node_name"] != ""))
+    if by_position:
+        return named
+    both = F.array(F.struct(named.alias("nodes"), F.transform(named, lambda node: node["node_id"]).alias("ids")))
+    firsts = F.transform(both, lambda b: F.filter(b["nodes"], lambda node, i: F.array_position(b["ids"], node["node_id"]) == i + 1))
+    return F.get(firsts, 0)
 
 
 def _plan_lines(text: Column) -> Column:
@@ -98,20 +132,35 @@ def sql_ends(events: DataFrame) -> DataFrame:
 
 
 def adaptive_plans(events: DataFrame) -> DataFrame:
-    """Latest plan text and tree per execution, and the latest text that names nodes."""
+    """Latest plan text and tree per execution, and the latest text that names nodes.
+
+    The positions of the winners are found on narrow rows; the texts, which are long, are fetched afterwards by them, so
+    no aggregation holds one.
+    """
     text = F.col("e.physicalPlanDescription")
     names_nodes = F.exists(_plan_lines(F.coalesce(text, F.lit(""))), lambda x: x.rlike(_NODE_LINE))
     order = F.col("event_order")
-    return (
+    updates = stored(
         ev.parsed(events, "sql_adaptive_update")
         .select("application_id", F.col("e.executionId").alias("execution_id"), text.alias("text"),
                 F.col("e.sparkPlanInfo").alias("tree"), names_nodes.alias("named"), "event_order")
-        .groupBy(*EXECUTION)
-        .agg(
-            F.max_by("text", order).alias("plan_description"),
-            F.max_by("text", F.when(F.col("named"), order)).alias("named_plan"),
-            F.max_by("tree", order).alias("latest_tree"),
-        )
+        .withColumns({"has_text": F.col("text").isNotNull(), "has_tree": F.col("tree").isNotNull()})
+    )
+    newest = updates.groupBy(*EXECUTION).agg(
+        F.max(F.when(F.col("has_text"), order)).alias("plan_order"),
+        F.max(F.when(F.col("named"), order)).alias("named_order"),
+        F.max(F.when(F.col("has_tree"), order)).alias("tree_order"),
+    )
+
+    def fetched(position: str, column: str, name: str) -> DataFrame:
+        wanted = newest.where(F.col(position).isNotNull()).select(*EXECUTION, F.col(position).alias("event_order"))
+        return updates.select(*EXECUTION, "event_order", F.col(column).alias(name)).join(wanted, [*EXECUTION, "event_order"]).drop("event_order")
+
+    return (
+        newest.select(*EXECUTION)
+        .join(fetched("plan_order", "text", "plan_description"), EXECUTION, "left")
+        .join(fetched("named_order", "text", "named_plan"), EXECUTION, "left")
+        .join(fetched("tree_order", "tree", "latest_tree"), EXECUTION, "left")
     )
 
 
@@ -167,6 +216,18 @@ def task_accumulators(events: DataFrame) -> DataFrame:
     ).where(F.col("value").isNotNull())
 
 
+def latest_task_values(events: DataFrame) -> DataFrame:
+    """``(application_id, accumulator_id, metric_name, value)``: the last value by id (no name), and by name (no id).
+
+    One aggregation with both groupings, combined on the map side, so task ends are parsed once.
+    """
+    by = [["application_id", "accumulator_id"], ["application_id", "metric_name"]]
+    folded = task_accumulators(events).groupingSets(by, "application_id", "accumulator_id", "metric_name").agg(
+        F.max_by("value", "seen").alias("value"), F.grouping("metric_name").alias("nameless")
+    )
+    return folded.where((F.col("nameless") == 1) | (F.col("metric_name") != ""))
+
+
 def driver_accumulators(events: DataFrame) -> DataFrame:
     """Last driver-side value per execution and accumulator."""
     rows = ev.parsed(events, "driver_accum_updates").select(
@@ -201,9 +262,9 @@ def node_metrics(nodes: DataFrame, events: DataFrame, corrected: bool = False) -
     defined = nodes.select(
         *EXECUTION, "node_id", "node_name", F.posexplode("metrics").alias("metric_no", "m")
     ).select(*EXECUTION, "node_id", "node_name", "metric_no", F.col("m.name").alias("metric_name"), F.col("m.accumulator_id").alias("accumulator_id"))
-    driver = driver_accumulators(events)
-    tasks = task_accumulators(events)
-    by_id = tasks.groupBy("application_id", "accumulator_id").agg(F.max_by("value", "seen").alias("value"))
+    driver = stored(driver_accumulators(events))
+    tasks = stored(latest_task_values(events))
+    by_id = tasks.where("nameless = 1").select("application_id", "accumulator_id", "value")
 
     def renamed(frame, **names):
         return frame.withColumnsRenamed(names)
@@ -224,11 +285,9 @@ def node_metrics(nodes: DataFrame, events: DataFrame, corrected: bool = False) -
     if corrected:
         value = F.coalesce(direct, mapped)
     else:
-        by_name = tasks.where("metric_name <> ''").groupBy("application_id", "metric_name").agg(
-            F.max_by("value", "seen").alias("named")
-        )
+        by_name = tasks.where("nameless = 0").select("application_id", "metric_name", F.col("value").alias("named"))
         # a common metric name is shared by most rows of an application
-        rows = salted_join(rows, by_name, ["application_id", "metric_name"], ["execution_id", "node_id"], "left")
+        rows = balanced_join(rows, by_name, ["application_id", "metric_name"], "left")
         value = F.when(direct.isNotNull(), direct).when(F.col("mapped_id").isNotNull(), mapped).otherwise(F.col("named"))
     return rows.select(
         *EXECUTION, "node_id", "node_name", "metric_no", "metric_name", value.cast("string").alias("metric_value")
@@ -244,7 +303,7 @@ def execution_jobs(events: DataFrame) -> DataFrame:
     ends = ev.job_ends(events).where("status <> ''").select("application_id", "job_id", "status")
     known = sql_starts(events).select(*EXECUTION).distinct()
     ended = starts.join(ends, ["application_id", "job_id"])
-    return salted_join(ended, known, EXECUTION, ["job_id"], "inner")
+    return balanced_join(ended, known, EXECUTION, "inner")
 
 
 def execution_job_lists(jobs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.arrays import HIGH, LOW, MEDIAN, point
 from emberscope.functions.text import elapsed
-from emberscope.operators.keyed import salted_join
+from emberscope.operators.keyed import balanced_join
 
 # Thresholds of the flags (decimal bytes, ratios, percent).
 SPILL_LIMIT = 256_000_000
@@ -163,5 +163,5 @@ def inefficient_clusters(
         .where(F.col("ineffstageagg") > threshold)
     )
     starts = applications.select("cluster_id", "application_id", "start_time")
-    joined = salted_join(starts, score, scope, ["application_id", "start_time"], "inner")
+    joined = balanced_join(starts, score, scope, "inner")
     return joined if corrected else joined.drop("application_id")

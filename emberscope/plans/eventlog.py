@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.text import iso_from_millis
 from emberscope.operators import accounting, drill, sqlplans
+from emberscope.operators import events as ev
 from emberscope.plans import advisor, compat, overview
-from emberscope.runtime import reliable_checkpoint
+from emberscope.runtime import stored
 from emberscope.schemas import TASK_METRICS, nested_by_path
 from emberscope.sinks import tables as sink
 from emberscope.sources import eventlog
@@ -26,7 +27,7 @@ class EventLog:
 
     ``events`` should be landed (:func:`sources.eventlog.land_events`) when more than
     one or two frames are wanted from a large log.  Frames that feed several others
-    are checkpointed when first used.
+    are stored when first used.
 
     ``corrected`` takes plan nodes and rules in their corrected form.  Logs of open-source Spark need it: their
     plans carry no ``explainId``, without which the published form finds no nodes with metrics.
@@ -41,13 +42,17 @@ class EventLog:
         events = eventlog.read_event_log(spark, path)
         return cls(events if landed is None else eventlog.land_events(events, landed), corrected)
 
+    @cached_property
+    def stage_rows(self) -> DataFrame:
+        return stored(ev.stage_rows(self.events))
+
     @cached_property
     def stages(self) -> DataFrame:
-        return reliable_checkpoint(accounting.stages(self.events))
+        return stored(accounting.stages(self.events, self.stage_rows))
 
     @cached_property
     def jobs(self) -> DataFrame:
-        return accounting.jobs(self.events, self.stages)
+        return accounting.jobs(self.events, self.stages, self.stage_rows)
 
     @cached_property
     def task_summaries(self) -> DataFrame:
@@ -55,11 +60,11 @@ class EventLog:
 
     @cached_property
     def executions(self) -> DataFrame:
-        return reliable_checkpoint(sqlplans.executions(self.events))
+        return stored(sqlplans.executions(self.events))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return reliable_checkpoint(sqlplans.plan_nodes(self.executions, self.corrected))
+        return stored(sqlplans.plan_nodes(self.executions, self.corrected))
 
     @cached_property
     def node_metrics(self) -> DataFrame:

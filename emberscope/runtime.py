@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/emberscope-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Lineage ends there, lost executors cost nothing, and readers take only the columns they use.  The folder belongs to
+    the session and goes with it (:func:`release`).
+    """
+    spark = df.sparkSession
+    path = f"{_session_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if spark.sparkContext.applicationId not in _AT_EXIT:
+        _AT_EXIT.add(spark.sparkContext.applicationId)
+        atexit.register(_release_at_exit, spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_AT_EXIT: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written in this session; frames read from there are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        release(spark)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared checkpoint folder, so a lost executor costs nothing."""
     context = df.sparkSession.sparkContext

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from emberscope.operators import quantiles
 from emberscope.operators.quantiles import LOG_PROBES, SERVER_PROBES, group_quantiles
 
 
@@ -59,3 +60,27 @@ def test_property(spark, values):
     df = spark.createDataFrame([(1, float(v)) for v in values], "k INT, a DOUBLE")
     got = by_key(group_quantiles(df, ["k"], ["a"], LOG_PROBES))
     np.testing.assert_allclose(got[1].a, interpolated(values, LOG_PROBES), rtol=1e-9, atol=1e-3 * max(map(abs, values), default=0) * 1e-9)
+
+
+def test_selection_agrees_with_percentile_for_groups_of_every_size(spark):
+    df = spark.createDataFrame(
+        [(k, v) for k, values in {
+            "one": [3.5], "two": [1.0, -2.0], "equal": [7.0] * 50, "none": [None] * 4, None: [float(i % 17) for i in range(300)],
+            "odd": [float("inf"), float("-inf"), 0.0, -0.0, 1e-300, -1e300, None], "wide": [float((-3) ** (i % 40)) for i in range(500)],
+        }.items() for v in values], "k STRING, a DOUBLE",
+    ).withColumn("b", F.col("a") * 2)
+    got = by_key(group_quantiles(df, ["k"], ["a", "b"], SERVER_PROBES, hot_rows=0))
+    want = by_key(group_quantiles(df, ["k"], ["a", "b"], SERVER_PROBES, hot_rows=10**9))
+    assert {k: tuple(r) for k, r in got.items()} == {k: tuple(r) for k, r in want.items()}
+
+
+def test_second_pass_moves_few_rows(spark):
+    df = spark.range(200_000).selectExpr("'hot' as k", "rand(3) * 1e6 as a", "exp(randn(4) * 3) as b")
+    picks = quantiles.stretch_picks(df, ["k"], ["a", "b"], LOG_PROBES)
+    assert picks.count() <= 2 * 2 * len(LOG_PROBES)
+    moved = quantiles.picked_values(df, picks, ["k"], ["a", "b"]).agg(F.sum("times")).first()[0]
+    assert 0 < moved < 0.1 * 2 * 200_000
+    points = F.array(*[F.lit(q) for q in LOG_PROBES])
+    want = df.agg(F.percentile("a", points).alias("a"), F.percentile("b", points).alias("b")).first()
+    got = group_quantiles(df, ["k"], ["a", "b"]).first()
+    assert (got.a, got.b) == (want.a, want.b) and got.num_tasks == 200_000
