@@ -6,6 +6,9 @@ and parses only the fields it needs with a declared schema.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,21 +136,24 @@ def job_ends(events: DataFrame) -> DataFrame:
 def _stage_rows(events: DataFrame, kind: str) -> DataFrame:
     info = F.col("e.`Stage Info`")
     completed = kind == "stage_completed"
-    accumulables = info["Accumulables"]
+    rows = parsed(events, kind)
     if completed:
-        values = []
-        for metric, names in _STAGE_ACCUMULATORS.items():
-            total = accumulator(accumulables, names[0])
-            for other in names[1:]:
-                total = total + accumulator(accumulables, other)
-            values.append(total.alias(metric))
-        metrics = F.struct(*values)
+        # names and values backwards, so that the first match is the last one reported; the generator keeps them in one place
+        items = info["Accumulables"]
+        turned = F.struct(F.reverse(items["Name"]).alias("names"), F.reverse(items["Value"]).alias("values"))
+        rows = rows.select("*", F.inline(F.array(turned)))
+
+        def reported(name: str) -> Column:
+            at = F.array_position("names", F.lit(name)).cast("int") - 1
+            return F.coalesce(F.get("values", at).try_cast("bigint"), F.lit(0))
+
+        metrics = F.struct(*[reduce(add, map(reported, names)).alias(metric) for metric, names in _STAGE_ACCUMULATORS.items()])
         failed = _text(info["Failure Reason"]) != ""
         status = F.when(failed, "FAILED").otherwise("COMPLETE")
     else:
         metrics = F.lit(None).cast("struct<" + ",".join(f"{m}:bigint" for m in STAGE_METRICS) + ">")
         status = F.lit(None).cast("string")
-    return parsed(events, kind).select(
+    return rows.select(
         KEY,
         info["Stage ID"].alias("stage_id"),
         F.coalesce(info["Stage Attempt ID"], F.lit(0)).alias("attempt_id"),
