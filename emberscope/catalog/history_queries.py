@@ -623,6 +623,82 @@ def ineff_stage_raw(data):
     )
 
 
+def attempt_summaries(data):
+    """Task summaries of stages that were tried twice: every other task belongs to the second attempt."""
+    tasks = data("tel_tasks").where("status = 'SUCCESS'").withColumn("attempt_id", F.col("task_order") % 2).withColumnRenamed("duration_ms", "duration")
+    metrics = ("duration", "input_bytes", "shuffle_read_bytes", "memory_bytes_spilled", "disk_bytes_spilled")
+    summaries = group_quantiles(tasks, [*STAGE, "attempt_id"], metrics, SERVER_PROBES)
+    names = data("tel_clusters").select("cluster_id", "cluster_name")
+    return history.task_summary_payload(balanced_join(summaries, names, ["cluster_id"], "inner"), SERVER_PROBES)
+
+
+def attempt_stages(data):
+    """Stage table with two attempts a stage, from a landed payload."""
+    attempts = data("tel_tasks").groupBy(*STAGE, (F.col("task_order") % 2).alias("attempt")).agg(
+        F.count(F.lit(1)).alias("numTasks"), F.count_if(F.col("status") == "SUCCESS").alias("numCompleteTasks"),
+        F.sum("duration_ms").alias("executorRunTime"), F.min("launch_time").alias("first"), F.max("launch_time").alias("last"),
+    )
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    counters = ("numActiveTasks", "numFailedTasks", "executorCpuTime", "inputBytes", "outputBytes", "shuffleReadBytes", "shuffleWriteBytes", "memoryBytesSpilled", "diskBytesSpilled")
+    payload = attempts.select(
+        "cluster_id", "application_id", F.col("stage_id").cast("string").alias("stageId"), F.col("attempt").cast("string").alias("attemptId"),
+        F.lit("").alias("name"), F.lit("COMPLETE").alias("status"), "numTasks", "numCompleteTasks", "executorRunTime",
+        F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("submissionTime"), none.alias("firstTaskLaunchedTime"),
+        F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("completionTime"), *[zero.alias(c) for c in counters],
+    )
+    typed = history.stages(payload)
+    return typed.withColumns({"cluster_id": F.col("cluster_id").cast("int"), "application_id": F.col("application_id").cast("bigint")}).drop("attempt_id", "cluster_name")
+
+
+ATTEMPTS = """
+v as (select cluster_id, application_id, stage_id, task_order % 2 as stage_attempt_id, min(duration_ms) as d0, quantile_cont(duration_ms, 0.5) as d2, max(duration_ms) as d4,
+  quantile_cont(memory_bytes_spilled, 0.5) as m2, max(memory_bytes_spilled) as m4, quantile_cont(disk_bytes_spilled, 0.5) as k2, max(disk_bytes_spilled) as k4,
+  min(input_bytes) as i0, quantile_cont(input_bytes, 0.5) as i2, max(input_bytes) as i4, min(shuffle_read_bytes) as s0, quantile_cont(shuffle_read_bytes, 0.5) as s2, max(shuffle_read_bytes) as s4
+  from tel_tasks where status = 'SUCCESS' group by 1, 2, 3, 4),
+st as (select cluster_id, application_id, stage_id, task_order % 2 as stage_attempt_id, round(count(*) filter (where status = 'SUCCESS') / count(*) * 100.0, 2) as task_completion_rate,
+  date_sub('millisecond', min(launch_time), max(launch_time)) as duration, count(*) as n from tel_tasks group by 1, 2, 3, 4)"""
+
+
+@query(
+    "ineff_stage_attempts",
+    f"""with {ATTEMPTS}, g as (select *, case when d2 > 2 * d0 or d4 > 2 * d2 then 1 else 0 end as skewbinary,
+  case when m2 > 256000000 or m4 > 256000000 then 1 else 0 end as spillbinary, case when k2 > 256000000 or k4 > 256000000 then 1 else 0 end as diskspillbinary,
+  case when i0 > 512000000 or s0 > 512000000 then 1 else 0 end as chunkbinary from v)
+select cluster_id, application_id, stage_id, stage_attempt_id, skewbinary, spillbinary, diskspillbinary, chunkbinary,
+ skewbinary + spillbinary + diskspillbinary + chunkbinary + case when task_completion_rate < 0.9 then 1 else 0 end as goldcheckfilter, task_completion_rate, duration
+ from g join st using (cluster_id, application_id, stage_id, stage_attempt_id)""",
+)
+def ineff_stage_attempts(data):
+    rows = efficiency.inefficient_stages(attempt_summaries(data), attempt_stages(data))
+    return rows.select(*STAGE, "stage_attempt_id", *efficiency.FLAGS[:-1], "goldcheckfilter", "task_completion_rate", "duration")
+
+
+@query(
+    "ineff_attempts_agg",
+    f"""with {ATTEMPTS}, h as (select v.cluster_id, v.application_id, v.stage_id, v.stage_attempt_id, case when d2 > 2 * d0 or d4 > 2 * d2 then 1 else 0 end
+   + case when m2 > 256000000 or m4 > 256000000 then 1 else 0 end + case when k2 > 256000000 or k4 > 256000000 then 1 else 0 end
+   + case when greatest(i0, i2, i4, s0, s2, s4) > 512000000 then 1 else 0 end
+   + case when greatest(i0 / d0, i2 / d2, i4 / d4) > 2 * least(i0 / d0, i2 / d2, i4 / d4) or greatest(s0 / d0, s2 / d2, s4 / d4) > 2 * least(s0 / d0, s2 / d2, s4 / d4) then 1 else 0 end as raised from v),
+r as (select cluster_id, application_id, sum(case when raised > 0 or task_completion_rate < 90 then duration else 0 end) / sum(duration) * 100 as share
+  from h join st using (cluster_id, application_id, stage_id, stage_attempt_id) group by 1, 2)
+select cluster_id, application_id, round(share, 6) as ineffstageagg from r where share > 25""",
+)
+def ineff_attempts_agg(data):
+    scored = efficiency.inefficient_clusters(attempt_summaries(data), attempt_stages(data), application_starts(data), corrected=True)
+    return scored.select("cluster_id", "application_id", F.round("ineffstageagg", 6).alias("ineffstageagg"))
+
+
+@query(
+    "stage_attempt_details",
+    f"""with {ATTEMPTS} select st.cluster_id, st.application_id, st.stage_id, st.stage_attempt_id, st.n as num_tasks, round(v.d2, 4) as median
+ from st left join v using (cluster_id, application_id, stage_id, stage_attempt_id)""",
+)
+def stage_attempt_details(data):
+    parsed = F.from_json("raw_json", "duration ARRAY<DOUBLE>")
+    medians = attempt_summaries(data).select(*STAGE, "stage_attempt_id", F.round(F.get(parsed["duration"], 2), 4).alias("median"))
+    return drill.stage_details(attempt_stages(data), medians, STAGE).select(*STAGE, "stage_attempt_id", "num_tasks", "median")
+
+
 def efficiency_stages(data):
     stages = stage_table(data)
     return stages.select(

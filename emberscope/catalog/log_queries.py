@@ -154,6 +154,35 @@ def log_node_metrics(data):
     return sqlplans.node_metrics(nodes, events).drop("metric_no")
 
 
+POSITIONS = """
+pos as (select k, ex, app, size, name, row_number() over (partition by ex order by k) as id from p)"""
+
+
+@query(
+    "log_plan_nodes_corrected",
+    f"""with {SQL}, {POSITIONS} select cast(app as varchar) as application_id, ex as execution_id, cast(id as integer) as node_id, name as node_name from pos
+ union all select cast(app as varchar), ex, 0, 'Root' from x""",
+)
+def log_plan_nodes_corrected(data):
+    nodes = sqlplans.plan_nodes(sqlplans.executions(logs.sql_lines(data, explained=False)), corrected=True)
+    return nodes.select(*sqlplans.EXECUTION, "node_id", "node_name")
+
+
+@query(
+    "log_node_metrics_corrected",
+    f"""with {SQL}, {POSITIONS}, found as (
+ select app, ex, id, name, 'number of output rows' as metric, case k % 3 when 0 then size + case when k % 6 = 0 then 100 else 0 end when 1 then size * 10 end as v from pos
+ union all select app, ex, id, name, 'Cancellation Is Skewed', case when k % 24 = 2 then 1 end from pos
+ union all select app, ex, id, name, 'mapped rows', l.v from pos join lowest l using (ex) where ex % 2 = 0 and ex % 5 <> 0)
+select cast(app as varchar) as application_id, ex as execution_id, cast(id as integer) as node_id, name as node_name, metric as metric_name, cast(v as varchar) as metric_value
+ from found where v is not null""",
+)
+def log_node_metrics_corrected(data):
+    events = logs.sql_lines(data, explained=False)
+    nodes = sqlplans.plan_nodes(sqlplans.executions(events), corrected=True)
+    return sqlplans.node_metrics(nodes, events, corrected=True).drop("metric_no")
+
+
 @query(
     "log_sql",
     f"""with {SQL} select cast(app as varchar) as application_id, ex as execution_id, case when ex % 9 = 0 then 'RUNNING' when ex % 13 = 5 then 'FAILED' else 'COMPLETED' end as status,

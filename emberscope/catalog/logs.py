@@ -126,8 +126,12 @@ def job_events(data: Data) -> DataFrame:
     return job_lines(data).unionByName(order_task_lines(data))
 
 
-def sql_lines(data: Data) -> DataFrame:
-    """SQL events: executions of 16 parts each, a three-level plan, and accumulator updates."""
+def sql_lines(data: Data, explained: bool = True) -> DataFrame:
+    """SQL events: executions of 16 parts each, a three-level plan, and accumulator updates.
+
+    Plans of open-source Spark carry no ``explainId``: ``explained=False``.
+    """
+    numbered = (lambda column: [column.alias("explainId")]) if explained else (lambda column: [])
     part = F.col("p_partkey")
     execution = F.floor(part / 16)
     application = (F.col("execution") % 10 + 1).cast("string")
@@ -142,7 +146,7 @@ def sql_lines(data: Data) -> DataFrame:
     metrics = F.array(metric("number of output rows", part * 2), metric("Cancellation Is Skewed", part * 2 + 1), metric("mapped rows", -part - 1))
     parts = data("part").select(
         "p_partkey", execution.alias("execution"), F.floor(part / 4).alias("branch"), F.col("p_size").cast("bigint").alias("size"),
-        F.struct(name.alias("nodeName"), (part + 1).alias("explainId"), metrics.alias("metrics")).alias("node"),
+        F.struct(name.alias("nodeName"), *numbered(part + 1), metrics.alias("metrics")).alias("node"),
     )
     # at most four nodes to a branch and four branches to an execution
     branches = parts.groupBy("execution", "branch").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "node"))).alias("nodes"))
@@ -150,14 +154,14 @@ def sql_lines(data: Data) -> DataFrame:
     grown = branches.select(
         "execution", "branch",
         F.struct(
-            head["node"]["nodeName"].alias("nodeName"), head["node"]["explainId"].alias("explainId"),
+            head["node"]["nodeName"].alias("nodeName"), *(numbered(head["node"]["explainId"]) if explained else []),
             head["node"]["metrics"].alias("metrics"), rest.alias("children"),
         ).alias("tree"),
     )
     plans = grown.groupBy("execution").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("branch", "tree"))), lambda b: b["tree"]).alias("children")
     )
-    root = F.struct(F.lit("Root").alias("nodeName"), F.lit(0).alias("explainId"), F.array().cast("array<struct<name:string,accumulatorId:bigint>>").alias("metrics"), "children")
+    root = F.struct(F.lit("Root").alias("nodeName"), *numbered(F.lit(0)), F.array().cast("array<struct<name:string,accumulatorId:bigint>>").alias("metrics"), "children")
     e = F.col("execution")
     base = e * 10000
     drivers = parts.where(part % 3 == 0).groupBy("execution").agg(F.sort_array(F.collect_list(F.array(part * 2, F.col("size")))).alias("pairs"))

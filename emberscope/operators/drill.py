@@ -42,8 +42,9 @@ def live_executors(executors: DataFrame, include_dead: bool = False) -> DataFram
 
 
 def stage_details(stages: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stages with their task summary when there is one."""
-    return stages.join(summaries, list(keys), "left")
+    """Stage attempts with their task summary when there is one; the attempt counts where both sides name it."""
+    attempt = [c for c in ("stage_attempt_id",) if c in stages.columns and c in summaries.columns and c not in keys]
+    return stages.join(summaries, [*keys, *attempt], "left")
 
 
 # Property lists of the environment payload.

@@ -6,7 +6,9 @@ Each function takes payload rows (key columns plus the payload fields of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope import schemas
@@ -86,6 +88,10 @@ def jobs(payload: DataFrame) -> DataFrame:
 
 
 def stages(payload: DataFrame) -> DataFrame:
+    """Stage table, one row per attempt of a stage.
+
+    ``attempt_id`` is the application's attempt; ``stage_attempt_id`` is the stage's own, NULL where the payload names none.
+    """
     tasks, done, busy = _or_zero("numTasks"), _or_zero("numCompleteTasks"), _or_zero("executorRunTime")
     moved = _or_zero("inputBytes") + _or_zero("outputBytes")
     shuffled = _or_zero("shuffleReadBytes") + _or_zero("shuffleWriteBytes")
@@ -113,10 +119,23 @@ def stages(payload: DataFrame) -> DataFrame:
         F.when((tasks > 0) & (busy > 0), F.round(busy / tasks, 2)).otherwise(0.0).alias("avg_executor_run_time_per_task"),
         F.round(moved / _MIB, 2).alias("total_data_processed_mb"),
         F.round(shuffled / _MIB, 2).alias("shuffle_data_mb"),
+        (F.col("attemptId").try_cast("bigint") if "attemptId" in payload.columns else F.lit(None)).alias("stage_attempt_id"),
     )
     return conform(result, schemas.STAGES)
 
 
+def numbered_attempts(stages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stage rows with a ``stage_attempt_id`` throughout.
+
+    Rows without one are versions of their stage in the order they were submitted, counted from 0; a stage is tried
+    again a few times at most, so the window holds a few rows.
+    """
+    order = Window.partitionBy(*keys, "stage_id").orderBy(F.col("submission_time").asc_nulls_first(), F.col("completion_time").asc_nulls_last())
+    version = F.row_number().over(order).cast("bigint") - 1
+    known = F.coalesce("stage_attempt_id", version) if "stage_attempt_id" in stages.columns else version
+    return stages.withColumn("stage_attempt_id", known)
+
+
 def tasks(payload: DataFrame) -> DataFrame:
     renamed = payload.withColumnsRenamed(
         {"taskId": "task_id", "launchTime": "launch_time", "executorId": "executor_id", "taskLocality": "task_locality"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberscope.functions.arrays import HIGH, LOW, MEDIAN, point
 from emberscope.functions.text import elapsed
+from emberscope.operators.history import numbered_attempts
 from emberscope.operators.keyed import balanced_join
 
 # Thresholds of the flags (decimal bytes, ratios, percent).
@@ -23,7 +24,7 @@ _VECTORS = (
     "shuffleWriteMetrics STRUCT<writeBytes: ARRAY<DOUBLE>>"
 )
 FLAGS = ("skewbinary", "spillbinary", "diskspillbinary", "chunkbinary", "prbinary")
-IDENTITY = ("cluster_id", "cluster_name", "application_id", "attempt_id", "stage_id")
+IDENTITY = ("cluster_id", "cluster_name", "application_id", "attempt_id", "stage_id", "stage_attempt_id")
 
 
 def _flag(condition):
@@ -96,29 +97,56 @@ def _incomplete(corrected: bool):
 
 def _stage_times(stages: DataFrame, keys, corrected: bool) -> DataFrame:
     started, ended = F.col("submission_time").cast("timestamp"), F.col("completion_time").cast("timestamp")
-    attempt = ["attempt_id"] if "attempt_id" in stages.columns and "attempt_id" not in keys else []
+    attempts = [x for x in ("attempt_id", "stage_attempt_id") if x in stages.columns and x not in keys]
     return stages.select(
-        *keys, "stage_id", *attempt, "task_completion_rate",
+        *keys, "stage_id", *attempts, "task_completion_rate",
         _flag(_incomplete(corrected)).alias("incomplete"),
         elapsed("MILLISECOND", started, ended).alias("duration"),
+        F.col("submission_time").alias("_submitted"),
         F.col("completion_time"),
     )
 
 
+def _matched(flags: DataFrame, stages: DataFrame, keys: list[str], corrected: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Summaries, stage times, and the keys to join them on: the application's attempt and the stage's, as far as known.
+
+    A stage table without the stage's attempt is numbered in the order of submission, and a summary belongs to the newest of
+    these as of its own attempt.  Summaries that name no attempt belong to the newest one.
+    """
+    unnamed = "stage_attempt_id" not in stages.columns
+    if "stage_attempt_id" in flags.columns:
+        stages = numbered_attempts(stages, keys)
+    times = _stage_times(stages, keys, corrected)
+    both = [x for x in ("attempt_id",) if x in flags.columns and x in times.columns and x not in keys]
+    key = [*keys, "stage_id", *both]
+    if "stage_attempt_id" in flags.columns:
+        flags = flags.withColumn("stage_attempt_id", F.coalesce("stage_attempt_id", F.lit(0)))
+        if unnamed:
+            newest = times.groupBy(*key).agg(F.max("stage_attempt_id").alias("_newest"))
+            flags = flags.join(newest, key).withColumn("stage_attempt_id", F.least("stage_attempt_id", "_newest")).drop("_newest")
+        key.append("stage_attempt_id")
+    elif "stage_attempt_id" in times.columns:
+        rest = [c for c in times.columns if c not in key]
+        newest = F.max_by(F.struct(*rest), F.struct("stage_attempt_id", "_submitted"))
+        times = times.groupBy(*key).agg(newest.alias("t")).select(*key, "t.*")
+    shared = [c for c in ("attempt_id", "stage_attempt_id") if c in times.columns and c not in key]
+    return flags, times.drop("_submitted", *shared), key
+
+
 def inefficient_stages(
     task_summaries: DataFrame,
     stages: DataFrame,
     keys=("cluster_id", "application_id"),
     corrected: bool = False,
 ) -> DataFrame:
-    """One row per stage: flags, number of raised flags, completion rate and duration.
+    """One row per stage attempt: flags, number of raised flags, completion rate and duration.
 
-    The join uses the full key, with the attempt where both sides carry it.  (Joining on cluster and stage number
-    alone pairs stages of unrelated applications; the two agree when a cluster runs one.)
+    The join uses the full key, with the attempts of application and stage.  (Joining on cluster and stage number
+    alone pairs stages of unrelated applications, and each attempt with every other; the two agree when a cluster runs one
+    application and no stage is tried again.)
     """
-    flags, times = stage_flags(task_summaries, corrected), _stage_times(stages, keys, corrected)
-    attempt = [x for x in ("attempt_id",) if x in flags.columns and x in times.columns]
-    joined = flags.join(times if attempt else times.drop("attempt_id"), [*keys, "stage_id", *attempt])
+    flags, times, key = _matched(stage_flags(task_summaries, corrected), stages, list(keys), corrected)
+    joined = flags.join(times, key)
     return joined.withColumn("goldcheckfilter", (_raised(corrected) + F.col("incomplete")).cast("int")).drop("incomplete")
 
 
@@ -135,29 +163,23 @@ def inefficient_clusters(
     that number in the cluster.  The pairs are never built: for a stage number with
     ``n`` summaries, ``f`` of them flagged, and total duration ``d`` (``i`` of it
     incomplete), the pair sums are ``n * d`` and ``n * i + f * (d - i)``.
-    ``corrected`` scores each application by its own stages instead, a summary with its own attempt where both sides
-    carry it.
+    ``corrected`` scores each application by its own stages instead, a summary with its own attempt.
     """
-    attempt = ["attempt_id"] if corrected and "attempt_id" in task_summaries.columns and "attempt_id" in stages.columns else []
-    stage = ["stage_id", *attempt]
     scope = ["cluster_id", "application_id"] if corrected else ["cluster_id"]
     flagged = _flag(_raised(corrected) > 0)
-    summaries = (
-        stage_flags(task_summaries, corrected)
-        .groupBy(*scope, "cluster_name", *stage)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(flagged).alias("f"))
-    )
-    times = (
-        _stage_times(stages, scope, corrected)
-        .groupBy(*scope, *stage)
-        .agg(
-            F.sum("duration").alias("d"),
-            F.sum(F.when(F.col("incomplete") == 1, F.col("duration")).otherwise(0)).alias("i"),
-        )
+    flags = stage_flags(task_summaries, corrected)
+    if corrected:
+        flags, times, key = _matched(flags, stages, scope, corrected)
+    else:
+        times, key = _stage_times(stages, scope, corrected), [*scope, "stage_id"]
+    summaries = flags.groupBy(*key, "cluster_name").agg(F.count(F.lit(1)).alias("n"), F.sum(flagged).alias("f"))
+    times = times.groupBy(*key).agg(
+        F.sum("duration").alias("d"),
+        F.sum(F.when(F.col("incomplete") == 1, F.col("duration")).otherwise(0)).alias("i"),
     )
     n, f, d, i = F.col("n"), F.col("f"), F.col("d"), F.col("i")
     score = (
-        summaries.join(times, [*scope, *stage])
+        summaries.join(times, key)
         .groupBy(*scope, "cluster_name")
         .agg((F.try_divide(F.sum(n * i + f * (d - i)), F.sum(n * d)) * 100).alias("ineffstageagg"))
         .where(F.col("ineffstageagg") > threshold)

@@ -69,7 +69,7 @@ STAGES = _table(
     "num_failed_tasks BIGINT, executor_run_time BIGINT, executor_cpu_time BIGINT, submission_time STRING, "
     "first_task_launched_time STRING, completion_time STRING, input_bytes BIGINT, output_bytes BIGINT, shuffle_read_bytes BIGINT, "
     "shuffle_write_bytes BIGINT, memory_bytes_spilled BIGINT, disk_bytes_spilled BIGINT, task_completion_rate DOUBLE, "
-    "avg_executor_run_time_per_task DOUBLE, total_data_processed_mb DOUBLE, shuffle_data_mb DOUBLE"
+    "avg_executor_run_time_per_task DOUBLE, total_data_processed_mb DOUBLE, shuffle_data_mb DOUBLE, stage_attempt_id BIGINT"
 )
 TASKS = _table(
     "stage_id BIGINT, stage_attempt_id BIGINT, task_id BIGINT, index BIGINT, attempt BIGINT, launch_time STRING, duration BIGINT, "

@@ -163,3 +163,53 @@ def test_text_helpers(spark):
         shorten(F.lit("x" * 31), 30).alias("h"), shorten(F.lit("x" * 30), 30).alias("i"),
     ).first()
     assert tuple(row) == ("12", "0.1", "125000000.0", "3.0", "", "1970-01-01T00:00:01", "1970-01-01T00:00:01.001000", "x" * 27 + "...", "x" * 30)
+
+
+FLAGGED = '{"duration":[1,1,9,9,9],"memoryBytesSpilled":[0,0,0,0,0]}'
+CALM = '{"duration":[5,5,5,5,5],"memoryBytesSpilled":[0,0,0,0,0]}'
+
+
+def attempts(spark, named_summaries=True, named_stages=True):
+    summaries = spark.createDataFrame(
+        [(1, "c", 7, "1", 3, 0, CALM), (1, "c", 7, "1", 3, 1, FLAGGED)],
+        "cluster_id INT, cluster_name STRING, application_id INT, attempt_id STRING, stage_id BIGINT, stage_attempt_id BIGINT, raw_json STRING",
+    )
+    stages = spark.createDataFrame(
+        [(1, 7, "1", 3, 1, 100.0, "2024-01-01 00:01:00", "2024-01-01 00:01:30"), (1, 7, "1", 3, 0, 50.0, "2024-01-01 00:00:00", "2024-01-01 00:00:10")],
+        "cluster_id INT, application_id INT, attempt_id STRING, stage_id BIGINT, stage_attempt_id BIGINT, task_completion_rate DOUBLE, submission_time STRING, completion_time STRING",
+    )
+    return summaries if named_summaries else summaries.drop("stage_attempt_id"), stages if named_stages else stages.drop("stage_attempt_id")
+
+
+def test_two_attempts_of_a_stage_are_two_rows(spark):
+    for named in (True, False):  # unnamed stage rows are numbered in the order they were submitted
+        rows = efficiency.inefficient_stages(*attempts(spark, named_stages=named)).collect()
+        assert sorted((r.stage_attempt_id, r.skewbinary, r.duration) for r in rows) == [(0, 0, 10000), (1, 1, 30000)]
+    rows = efficiency.inefficient_stages(*attempts(spark, named_summaries=False)).collect()
+    assert sorted((r.skewbinary, r.duration) for r in rows) == [(0, 30000), (1, 30000)]  # as of the newest attempt
+    apps = spark.createDataFrame([(1, 7, "x")], "cluster_id INT, application_id INT, start_time STRING")
+    (score,) = efficiency.inefficient_clusters(*attempts(spark), apps, corrected=True, threshold=0).collect()
+    assert score.ineffstageagg == pytest.approx(100.0)  # the first attempt completed half of its tasks, the second is skewed
+
+
+def test_a_late_summary_belongs_to_the_newest_version_before_it(spark):
+    summaries, stages = attempts(spark, named_stages=False)
+    late = summaries.where("stage_attempt_id = 1").withColumn("stage_attempt_id", F.lit(5).cast("long"))
+    (row,) = efficiency.inefficient_stages(late, stages).collect()
+    assert (row.stage_attempt_id, row.duration) == (1, 30000)
+
+
+def test_stage_table_names_the_attempt(spark):
+    from emberscope import schemas
+    from emberscope.operators import drill, history
+
+    empty = spark.createDataFrame([], schemas.PAYLOADS["stages"])
+    fields = {f.name: F.lit(None).cast(f.dataType) for f in empty.schema.fields}
+    payload = spark.range(2).select(*[
+        (F.lit("3") if n == "stageId" else F.col("id").cast("string") if n == "attemptId" else c).alias(n) for n, c in fields.items()
+    ])
+    table = history.stages(payload)
+    assert sorted(r.stage_attempt_id for r in table.collect()) == [0, 1] and table.schema["stage_attempt_id"].dataType.simpleString() == "bigint"
+    found = spark.createDataFrame([(3, 1, "x")], "stage_id BIGINT, stage_attempt_id BIGINT, summary STRING")
+    details = drill.stage_details(table.select("stage_id", "stage_attempt_id"), found, ["stage_id"]).collect()
+    assert sorted((r.stage_attempt_id, r.summary) for r in details) == [(0, None), (1, "x")]
