@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rule_queries", "history_queries", "log_queries")
+MODULES = ("rule_queries", "history_queries", "log_queries", "report_queries")
 
 
 def load():

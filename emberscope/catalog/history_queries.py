@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberscope.catalog.registry import query
-from emberscope.catalog.rule_queries import ATTEMPT, ISSUE, STAGE
+from emberscope.catalog.rule_queries import ATTEMPT, STAGE
 from emberscope.operators import clusters, drill, history, status
 from emberscope.operators.keyed import balanced_join
 from emberscope.operators.quantiles import SERVER_PROBES, group_quantiles
-from emberscope.plans import compat, efficiency, issues, overview
+from emberscope.plans import compat, efficiency, overview
 from emberscope.sources import history as landed
 
 
@@ -391,23 +391,6 @@ def application_listing(data):
     return report.groupBy("section", F.col("application_id").cast("bigint").alias("application_id")).agg(F.count("payload").alias("items"))
 
 
-@query("full_report")
-def full_report(data):
-    from emberscope.catalog.rule_queries import stage_issue_rows
-
-    return drill.full_report(
-        {
-            "application": data("tel_applications"),
-            "jobs": data("tel_jobs"),
-            "stages": data("tel_stages"),
-            "task_summaries": raw_summaries(data),
-            "executors": data("tel_executors"),
-            "sql_queries": data("tel_sql"),
-            "performance_analysis": issues.with_advice(stage_issue_rows(data).select(*ISSUE)),
-        }
-    )
-
-
 # -- summaries ----------------------------------------------------------------------------------
 
 @query(
@@ -545,6 +528,28 @@ def cluster_failure_messages(data):
     return status.cluster_status(log, status.endpoint_status(log), failures)
 
 
+@query(
+    "run_summary_collected",
+    f"""with {TOTALS}, {ENDPOINT_ROWS},
+d as (select cluster_id, string_agg(error_code, ',' order by first) as codes from (select *, row_number() over (partition by cluster_id order by first, error_code) as p
+  from (select cluster_id, error_code, min(seq) as first from f where error_code is not null group by 1, 2)) where p <= 3 group by 1),
+w as (select cluster_id, sum(rows) as rows from s group by 1),
+k as (select g.cluster_id, coalesce(total_applications, 0) as a, coalesce(total_jobs, 0) as j, coalesce(total_stages, 0) as st, coalesce(total_tasks, 0) as tk, coalesce(total_sql_queries, 0) as q,
+  coalesce(total_executors, 0) as e, coalesce(total_task_summaries, 0) as m, coalesce(w.rows, 0) > 0 as done from tel_clusters g left join t using (cluster_id) left join w using (cluster_id)),
+r as (select count(*) as n, count(*) filter (where done) as z, count(*) filter (where a > 0 and j > 0 and st > 0 and tk > 0 and q > 0 and e > 0 and m > 0) as u,
+ sum(a)::bigint as a, sum(j)::bigint as j, sum(st)::bigint as st, sum(tk)::bigint as tk, sum(q)::bigint as q, sum(e)::bigint as e, sum(m)::bigint as m from k)
+select n as clusters_discovered_count, z as clusters_extracted_count, u as clusters_fully_analyzed_count, coalesce(round(u / z * 100.0, 2), 0.0) as "cluster_analysis_success_rate %",
+ a as total_applications, j as total_jobs, st as total_stages, tk as total_tasks, q as total_sql_queries, e as total_executors, m as total_task_summaries from r""",
+)
+def run_summary_collected(data):
+    """The summary of a run from its call log: status and details of every cluster come from the calls."""
+    log = fetch_log(data)
+    rows = status.endpoint_status(log)
+    clusters_ = data("tel_clusters").withColumnRenamed("state", "status")
+    totals = status.cluster_totals(tables_by_cluster(data))
+    return status.run_summary(status.cluster_summaries(clusters_, totals, status.status_details(rows), status.cluster_status(log, rows)))
+
+
 # -- clusters --------------------------------------------------------------------------------------
 
 @query(

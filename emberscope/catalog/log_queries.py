@@ -11,6 +11,7 @@ from emberscope.operators import accounting, sqlplans
 from emberscope.operators import events as ev
 from emberscope.plans import advisor, overview
 from emberscope.plans.eventlog import EventLog
+from emberscope.schemas import TASK_METRICS
 from emberscope.sources import eventlog
 
 JOBS = """
@@ -120,6 +121,29 @@ def log_task_summary(data):
     )
 
 
+#: What the lines give for each metric, by the names of ``t``; metrics that are not listed are 0 in every line.
+_SUPPLIED = {
+    "duration": "q * 10 + ln * 7", "executor_deserialize_time": "5", "executor_run_time": "q * 10", "jvm_gc_time": "q % 3",
+    "scheduler_delay": "greatest(0, ln * 7 - 5)", "input_bytes": "q * 1000", "input_records": "q", "shuffle_read_bytes": "q * 9",
+    "local_blocks_fetched": "ln", "remote_bytes_read": "q * 7", "total_blocks_fetched": "ln", "shuffle_write_bytes": "w",
+}
+_ALL_METRICS = " union all ".join(
+    f"select application_id, stage_id, attempt_id, '{name}' as metric, quantile_cont({_SUPPLIED.get(name, '0')}, [0.05, 0.25, 0.5, 0.75, 0.95]) as v from t group by 1, 2, 3"
+    for name in TASK_METRICS
+)
+
+
+@query(
+    "log_task_metrics",
+    f"with {TASKS} select application_id, stage_id, attempt_id, metric, round(v[1], 4) as p5, round(v[2], 4) as p25, round(v[3], 4) as p50, round(v[4], 4) as p75, round(v[5], 4) as p95 from ({_ALL_METRICS})",
+)
+def log_task_metrics(data):
+    summaries = accounting.task_summaries(logs.supplier_task_lines(data))
+    rows = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).alias("v")) for name in TASK_METRICS])
+    probes = [F.round(F.get("v", i), 4).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))]
+    return summaries.select(*accounting.ATTEMPT, F.inline(rows)).select(*accounting.ATTEMPT, "metric", *probes)
+
+
 SQL = """
 p as (select p_partkey as k, p_partkey // 16 as ex, (p_partkey // 16) % 10 + 1 as app, cast(p_size as bigint) as size,
   case p_partkey % 12 when 0 then 'MapElements' when 1 then 'Scan csv ' when 2 then 'SortMergeJoin' when 3 then 'PythonUDF' when 7 then 'ShuffledHashJoin' else 'Project' end as name from part),

@@ -143,8 +143,9 @@ def register(spark: SparkSession, frames: Mapping[str, DataFrame]) -> list[str]:
         ).createOrReplaceTempView(view)
         function(
             "taskmetrics", "clusterid STRING, wantedstage INT, wantedapplication STRING DEFAULT NULL", "STRING",
-            # of several applications the first by id, unless one is named
-            f"(SELECT min_by(raw_json, application_id) FROM (SELECT raw_json, application_id FROM {view} WHERE cluster_id = clusterid AND stage_id = wantedstage "
-            "AND stage_attempt_id = 0 AND (wantedapplication IS NULL OR application_id = wantedapplication)))",
+            # a stage number that several applications have needs one of them named, else there is no answer
+            f"(SELECT CASE WHEN count(DISTINCT application_id) = 1 THEN min(raw_json) END FROM (SELECT raw_json, application_id FROM {view} "
+            "WHERE cluster_id = clusterid AND stage_id = wantedstage AND stage_attempt_id = 0 "
+            "AND (wantedapplication IS NULL OR application_id = wantedapplication)))",
         )
     return made

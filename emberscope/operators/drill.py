@@ -112,6 +112,13 @@ def rank_by_size(df: DataFrame, keys: Sequence[str], size: Column, spread_by: Se
     return balanced_join(sized, ranks, size_key, "inner", spread_by)
 
 
+def placed(df: DataFrame, by: str = "runtimesec", keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``place``: one more than the number of rows (of a key) that took longer; NULL where ``by`` is."""
+    ranked = rank_by_size(df.where(F.col(by).isNotNull()), list(keys), F.col(by).cast("long"))
+    timed = ranked.withColumnRenamed("rank", "place").select(*df.columns, "place")
+    return timed.unionByName(df.where(F.col(by).isNull()).withColumn("place", F.lit(None).cast("long")))
+
+
 def sql_snippets(executions: DataFrame, keys: Sequence[str], limit: float = 20000, ranking: int = 0) -> DataFrame:
     """Node payloads as JSON text with their size rank, below a size limit.
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberscope import schemas
 from emberscope.functions.text import elapsed
@@ -176,6 +177,29 @@ def executors(payload: DataFrame) -> DataFrame:
     )
 
 
+def storage(payload: DataFrame) -> DataFrame:
+    """Cached frames of the storage endpoint, one row each, beside the key columns of the payload."""
+    keys = [c for c in payload.columns if c not in T.StructType.fromDDL(schemas.PAYLOADS["storage"]).fieldNames()]
+    return payload.select(
+        *keys, "id", _or_text("name", "Unknown").alias("name"), _or_zero("numPartitions").alias("num_partitions"),
+        _or_zero("numCachedPartitions").alias("num_cached_partitions"), F.col("storageLevel").alias("storage_level"),
+        _or_zero("memoryUsed").alias("memory_used"), _or_zero("diskUsed").alias("disk_used"),
+    )
+
+
+def streaming_statistics(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
+    """Streaming statistics, one row an answer; an answer that is no JSON object (no streaming context) gives none."""
+    parsed = df.select(*keep, F.from_json(column, schemas.PAYLOADS["streaming"]).alias("s")).where("s.startTime is not null")
+    return parsed.select(
+        *keep, F.col("s.startTime").alias("start_time"), F.col("s.batchDuration").alias("batch_duration"),
+        _or_zero("s.numReceivers").alias("num_receivers"), _or_zero("s.numActiveReceivers").alias("num_active_receivers"),
+        _or_zero("s.numTotalCompletedBatches").alias("num_completed_batches"), _or_zero("s.numActiveBatches").alias("num_active_batches"),
+        _or_zero("s.numProcessedRecords").alias("num_processed_records"), _or_zero("s.numReceivedRecords").alias("num_received_records"),
+        F.col("s.avgInputRate").alias("avg_input_rate"), F.col("s.avgSchedulingDelay").alias("avg_scheduling_delay"),
+        F.col("s.avgProcessingTime").alias("avg_processing_time"), F.col("s.avgTotalDelay").alias("avg_total_delay"),
+    )
+
+
 def task_summary_payload(summaries: DataFrame, probes, paths: dict[str, str] | None = None) -> DataFrame:
     """Quantile columns as the JSON text the task-summary table keeps."""
     paths = paths or {c: p for c, p in schemas.TASK_METRICS.items() if c in summaries.columns}

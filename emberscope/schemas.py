@@ -126,6 +126,11 @@ PAYLOADS["environment"] = (
 PAYLOADS["storage"] = (
     "id BIGINT, name STRING, numPartitions BIGINT, numCachedPartitions BIGINT, storageLevel STRING, memoryUsed BIGINT, diskUsed BIGINT"
 )
+PAYLOADS["streaming"] = (
+    "startTime STRING, batchDuration BIGINT, numReceivers BIGINT, numActiveReceivers BIGINT, numInactiveReceivers BIGINT, "
+    "numTotalCompletedBatches BIGINT, numRetainedCompletedBatches BIGINT, numActiveBatches BIGINT, numProcessedRecords BIGINT, "
+    "numReceivedRecords BIGINT, avgInputRate DOUBLE, avgSchedulingDelay BIGINT, avgProcessingTime BIGINT, avgTotalDelay BIGINT"
+)
 NODE_LIST = "array<struct<nodeId: int, nodeName: string, metrics: array<struct<name: string, value: string>>>>"
 
 
