@@ -489,25 +489,58 @@ def test_personal_data_checks_context_and_long_texts(spark):
 # -- op 1 and op 10 --------------------------------------------------------------------------------------------------
 
 
+def dialogue(rows, perspective):
+    """The whole rendering of one participant, and the stretches to learn."""
+    text, spans = "", []
+    for _, role, body in rows:
+        head = "system" if role == "system" else "assistant" if role == perspective else f"user name={role}"
+        text += f"<|{head}|>\n"
+        if role == perspective:
+            spans.append((len(text), len(text) + len(body) + len("<|end|>")))
+        text += f"{body}<|end|>\n"
+    return text, spans
+
+
+def rotated(got):
+    """Parts of each participant put together: text, and the stretches by their offsets in the dialogue."""
+    out = collections.defaultdict(lambda: ["", []])
+    for r in sorted(got, key=lambda r: r.part):
+        whole = out[r.conv_id, r.perspective]
+        assert r.offset == len(whole[0])
+        whole[0] += r.text
+        whole[1] += [tuple(map(int, x.split(":"))) for x in r.mask.split(",") if x]
+    return {k: tuple(v) for k, v in out.items()}
+
+
 def test_rotations(spark):
     rows = [("a", 0, "system", "be nice"), ("a", 1, "ann", "hi <|end|>"), ("a", 2, "bob", "hö"), ("a", 2, "bob", "hö"), ("b", 0, "system", "alone"), (None, 0, "x", "y"), ("c", 70, None, None), ("c", None, "z", "last")]
-    got = chat.rotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").selectExpr("*", "1 as part", "'p' as perspective")).collect()
-    by = {(r.conv_id, r.perspective, r.part): r for r in got}
-    assert set(by) == {("a", "ann", 0), ("a", "bob", 0), ("c", "unknown", 1), ("c", "unknown", None), ("c", "z", 1), ("c", "z", None)}
-    ann = by["a", "ann", 0]
-    assert ann.text == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob|>\nhö<|end|>\n" and ann.n_turns == 3
+    got = chat.rotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").selectExpr("*", "1 as part", "'p' as perspective", "2 as tree")).collect()
+    by = {(r.conv_id, r.perspective): r for r in got}
+    assert len(got) == 4 and set(by) == {("a", "ann"), ("a", "bob"), ("c", "unknown"), ("c", "z")}
+    ann = by["a", "ann"]
+    assert ann.text == "<|system|>\nbe nice<|end|>\n<|assistant|>\nhi < |end|><|end|>\n" + "<|user name=bob|>\nhö<|end|>\n" * 2 and ann.n_turns == 4
     assert [ann.text[int(a) : int(b)] for a, b in (x.split(":") for x in ann.mask.split(","))] == ["hi < |end|><|end|>"]
-    assert ann.n_masked == len("hi < |end|><|end|>")
-    assert by["c", "unknown", None].mask == ""
+    assert ann.n_masked == len("hi < |end|><|end|>") and by["a", "bob"].n_masked == 2 * len("hö<|end|>")
+    assert by["c", "unknown"].text == "<|assistant|>\n<|end|>\n<|user name=z|>\nlast<|end|>\n"
 
 
 def test_long_conversation_in_parts(spark):
     df = spark.range(1000).selectExpr("1 as conv_id", "id as turn", "concat('r', id % 3) as role", "repeat('x', cast(id % 7 as int)) as text")
     got = chat.rotations(df).collect()
-    assert len(got) == 3 * 16 and sum(r.n_turns for r in got) == 3000
+    assert len(got) == 3 * 16 and sum(r.n_turns for r in got) == 3000 and max(r.n_turns for r in got) == 64
+    rows = [(i, f"r{i % 3}", "x" * (i % 7)) for i in range(1000)]
+    assert rotated(got) == {(1, p): (lambda t: (t[0], t[1]))(dialogue(rows, p)) for p in ("r0", "r1", "r2")}
     assert chat.rotations(df.limit(0)).count() == 0
 
 
+def test_turns_without_order_are_cut_too(spark):
+    rows = [(1, None, f"r{i % 2}", f"text {i:03}") for i in range(300)] + [(2, 7, "ann", "same")] * 200
+    got = chat.rotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert max(r.n_turns for r in got) == 64
+    want = {(c, p): dialogue(sorted((0, r, t) for k, _, r, t in rows if k == c), p) for c, p in ((1, "r0"), (1, "r1"), (2, "ann"))}
+    assert rotated(got) == {k: (t, s) for k, (t, s) in want.items()}
+
+
 def test_archive_round_trip(spark):
     rows = [(i, f"https://h{i % 3}.Example.org:80/p{i % 4}?q=ü {i}", f"<p>é {i % 5}</p>" * (i % 9)) for i in range(200)]
     rows += [(900, None, None), (901, "", ""), (902, "no url\r\nX: y", "x" * 2_000_000), (None, "http://h0.example.org/", "<p>é 1</p>"), (5, rows[5][1], rows[5][2])]
