@@ -27,6 +27,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: ``(a long, b long)`` to ``(id, component)``, component the smallest id reachable.
 

@@ -10,18 +10,24 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import add, or_
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import saved
-
-#: At most about this many labelled rows teach the classifier; of their terms the best ``TERMS`` are its vocabulary.
-SAMPLE, TERMS, TERM_CHARS = 10_000, 300, 5
-LEAST_ROWS = 5
-#: Posteriors are tempered: evidence of n terms counts as that of n ** TEMPER.
-TEMPER = 1.0
+from emberscope.llm.common import fresh, saved
+
+#: At most about this many labelled rows teach the classifier.  Its vocabulary are all their terms that tell a domain:
+#: in ``LEAST_ROWS`` texts at least, and more frequent in a domain than in the others by ``LEAST_GAP`` deviations.  Among n
+#: texts a term that tells them apart without fail has sqrt(n), so of few texts the share ``LEAST_SHARE`` of that is asked for.
+SAMPLE, LEAST_ROWS, LEAST_GAP, LEAST_SHARE = 10_000, 5, 4.0, 0.15
+#: Longer words are a second term by their beginning.
+BEGINNING = 5
+#: Posteriors are calibrated: evidence of n terms counts as that of n ** temper, and each domain has an intercept.  These
+#: lose least on the part of the labelled rows, one in ``HELD_OUT``, that the vocabulary of the trial was not learned from.
+TEMPERS, HELD_OUT = tuple(i / 10 for i in range(3, 11)), 3
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the token budget; the budget is the tokens there are.
 TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
@@ -32,24 +38,26 @@ STEPS, STEPS_A_TABLE, TOLERANCE = 64, 16, 1e-6
 _SYMBOLS = r"[^a-zA-Z0-9\s.,;:?'\"\-\p{L}\p{N}]"
 
 
-def _term_rows(documents: DataFrame, *columns: str) -> DataFrame:
-    """One row per term: the beginnings of the words of a text, and terms for its form.
+def _term_rows(documents: DataFrame, *columns: str, once: bool = False) -> DataFrame:
+    """One row per term: the words of a text, the beginnings of longer ones, and terms for its form.
 
     These tell symbols per word, the share of different words, and how many words there are.  Words are cut at blanks
-    and punctuation.  The words are a column of their own, so that a text is cut once.
+    and punctuation.  The words are a column of their own, so that a text is cut once.  With ``once`` a repeated word is one row.
     """
     words = documents.select(
-        *columns, F.split("text", r"[\s.,;:!?]+", -1).alias("words"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols")
+        *columns, F.split(F.lower("text"), r"[\s.,;:!?]+", -1).alias("words"), F.regexp_count("text", F.lit(_SYMBOLS)).alias("symbols")
     )
-    count = F.greatest(F.size("words"), F.lit(1))
+    different = words.select(*columns, "symbols", "words", F.greatest(F.size("words"), F.lit(1)).alias("n"), F.array_distinct("words").alias("different"))
     levels = {
-        "symbols": F.floor(F.log2(1 + 8 * F.col("symbols") / count)),
-        "different": F.floor(8 * F.size(F.array_distinct("words")) / count),
-        "words": F.floor(F.log2(count)),
+        "symbols": F.floor(F.log2(1 + 8 * F.col("symbols") / F.col("n"))),
+        "different": F.floor(8 * F.size("different") / F.col("n")),
+        "words": F.floor(F.log2("n")),
     }
     form = F.array(*(F.concat(F.lit(f"\x01{name[:3]}"), level.cast("string")) for name, level in levels.items()))
-    exploded = words.select(*columns, "words", form.alias("form")).select(*columns, F.explode(F.concat("words", "form")).alias("word"))
-    return exploded.select(*columns, F.lower(F.substring("word", 1, TERM_CHARS)).alias("term"))
+    whole = different.select(*columns, F.explode(F.concat("different" if once else "words", form)).alias("word"))
+    beginning = F.concat(F.lit("\x02"), F.substring("word", 1, BEGINNING))
+    longer = (F.length("word") > BEGINNING) & ~F.startswith("word", F.lit("\x01"))
+    return whole.select(*columns, F.explode(F.when(longer, F.array(F.col("word"), beginning)).otherwise(F.array("word"))).alias("term"))
 
 
 def domains_of_labels(labels: DataFrame) -> DataFrame:
@@ -62,8 +70,16 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def learn(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int = SAMPLE) -> tuple[DataFrame, list[float]]:
-    """Vocabulary ``(term, w_<domain>...)`` of at most ``TERMS`` rows, and the logarithms of the priors.
+class Classifier(NamedTuple):
+    """``vocabulary``: ``(term, w_<domain>...)``; logarithms of the priors; the tempering exponent."""
+
+    vocabulary: DataFrame
+    prior: list[float]
+    temper: float
+
+
+def learn(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int = SAMPLE) -> Classifier:
+    """Term weights from labelled documents, tempered as held-out rows want it.
 
     Of several domains of an id the last by name counts.  Without labelled rows all domains are equally likely.
     """
@@ -71,13 +87,50 @@ def learn(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...], s
     share = min(1.0, sample / max(1, ids.count()))
     drawn = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = _texts(documents).join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows of an id and a name
-    rows = saved(rows.groupBy(F.xxhash64("text").alias("fp")).agg(F.max("domain").alias("domain"), F.any_value("text").alias("text")))
+    rows = rows.groupBy(F.xxhash64("text").alias("fp")).agg(F.max("domain").alias("domain"), F.any_value("text").alias("text"))
+    rows = saved(rows.withColumn("held", F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(HELD_OUT)) == 0))
+    terms = saved(_term_rows(rows, "fp", "domain", "held", once=True).distinct())
+    trial = _weighted(rows.where("not held"), terms.where("not held"), domains)
+    evidence = terms.where("held").join(F.broadcast(trial[0]), "term").groupBy("fp", "domain").agg(
+        F.count("*").alias("hits"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains)
+    )
+    # about a third of the sample, a few numbers a row
+    prior, temper = _calibrated(evidence.select("domain", "hits", *(f"s_{d}" for d in domains)).collect(), domains, trial[1])
+    vocabulary, counted = _weighted(rows, terms, domains)
+    return Classifier(vocabulary, [a + b - c for a, b, c in zip(counted, prior, trial[1])], temper)
+
+
+def _calibrated(rows: list, domains: tuple[str, ...], prior: list[float]) -> tuple[list[float], float]:
+    """Intercepts and exponent under which the held-out rows lose least; without rows the prior and 1."""
+    if not rows:
+        return prior, 1.0
+    hits = np.array([r.hits for r in rows], float)[:, None]
+    evidence = np.array([[r[f"s_{d}"] for d in domains] for r in rows])
+    true = np.array([[float(r.domain == d) for d in domains] for r in rows])
+    found = []
+    for temper in TEMPERS:
+        base, shift = np.array(prior) + evidence * hits ** (temper - 1), np.zeros(len(domains))
+        for _ in range(200):  # the loss is convex in the shift, and no step of this length raises it
+            z = base + shift
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            shift += 2 * ((true - p).sum(axis=0) - shift) / (len(rows) + 2)
+        found.append((-np.log((p * true).sum(axis=1) + 1e-300).mean(), temper, shift))
+    _, temper, shift = min(found, key=lambda x: x[:2])
+    return [float(x) for x in np.array(prior) + shift], temper
+
+
+def _logits(domains: tuple[str, ...], prior: list[float], temper: float) -> list[F.Column]:
+    scale = F.pow(F.coalesce("hits", F.lit(1)).cast("double"), F.lit(temper - 1))
+    return [p + F.coalesce(f"s_{d}", F.lit(0.0)) * scale for d, p in zip(domains, prior)]
+
+
+def _weighted(rows: DataFrame, terms: DataFrame, domains: tuple[str, ...]) -> tuple[DataFrame, list[float]]:
+    """``(term, w_<domain>...)`` of every term that passes, and the logarithms of the priors."""
     sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    seen = _term_rows(rows, "fp", "domain").distinct().groupBy("term").agg(
-        F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains)
-    )
+    seen = terms.groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
 
     def gap(d: str) -> F.Column:
         size, rest = sizes.get(d, 0), total - sizes.get(d, 0)
@@ -87,87 +140,102 @@ def learn(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...], s
         )
 
     weights = (F.log((F.col(f"n_{d}") + 0.5) / (sizes.get(d, 0) + 1.0) / ((F.col("n") + 0.5) / (total + 1.0))).alias(f"w_{d}") for d in domains)
-    seen = saved(seen.where(F.col("n") >= LEAST_ROWS).select("term", *weights, *(gap(d).alias(f"z_{d}") for d in domains)))
-    best = [seen.orderBy(F.desc(f"z_{d}"), "term").limit(TERMS // len(domains)).select("term", *(f"w_{e}" for e in domains)) for d in domains]
-    return saved(reduce(DataFrame.unionByName, best).dropDuplicates(["term"])), prior
+    passes = reduce(or_, (gap(d) >= min(LEAST_GAP, LEAST_SHARE * total**0.5) for d in domains))
+    return saved(seen.where((F.col("n") >= LEAST_ROWS) & passes).select("term", *weights)), prior
 
 
-def posteriors(documents: DataFrame, vocabulary: DataFrame, prior: list[float], domains: tuple[str, ...]) -> DataFrame:
+def posteriors(documents: DataFrame, model: Classifier, domains: tuple[str, ...]) -> DataFrame:
     """``(doc_id, fp, n_tokens, p_<domain>...)``, one row per input row; ``fp`` is a hash of the text.
 
     Tokens are runs without ASCII blanks.  A text without terms of the vocabulary has the priors.
     """
     source = _texts(documents).withColumn("fp", F.xxhash64("text"))
     hits = (
-        _term_rows(source, "doc_id", "fp").join(F.broadcast(vocabulary), "term")  # ``TERMS`` rows
+        _term_rows(source, "doc_id", "fp", once=True).join(F.broadcast(model.vocabulary), "term")  # terms of the labelled sample
         .groupBy("doc_id", "fp", "term").agg(*(F.first(f"w_{d}").alias(f"w_{d}") for d in domains))
         .groupBy("doc_id", "fp").agg(F.count("*").alias("hits"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains))
     )
     base = source.select("doc_id", "fp", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
     joined = base.join(hits, (base.doc_id.eqNullSafe(hits.doc_id)) & (base.fp == hits.fp), "left").select(base["*"], "hits", *(f"s_{d}" for d in domains))
-    scale = F.pow(F.coalesce("hits", F.lit(1)).cast("double"), F.lit(TEMPER - 1))
-    logits = [p + F.coalesce(f"s_{d}", F.lit(0.0)) * scale for d, p in zip(domains, prior)]
-    joined = joined.select("doc_id", "fp", "n_tokens", *(z.alias(f"z_{d}") for z, d in zip(logits, domains)))
+    joined = joined.select("doc_id", "fp", "n_tokens", *(z.alias(f"z_{d}") for z, d in zip(_logits(domains, model.prior, model.temper), domains)))
     top = F.greatest(*(F.col(f"z_{d}") for d in domains)) if len(domains) > 1 else F.col(f"z_{domains[0]}")
     powers = joined.select("doc_id", "fp", "n_tokens", *(F.exp(F.col(f"z_{d}") - top).alias(f"e_{d}") for d in domains))
-    mass = sum((F.col(f"e_{d}") for d in domains[1:]), F.col(f"e_{domains[0]}"))
+    mass = reduce(add, (F.col(f"e_{d}") for d in domains))
     return powers.select("doc_id", "fp", "n_tokens", *((F.col(f"e_{d}") / mass).alias(f"p_{d}") for d in domains))
 
 
+class Fit(NamedTuple):
+    """``members`` with ``rate``; by domain what the totals miss of their targets, as a share of the budget; steps taken."""
+
+    members: DataFrame
+    missed: dict[str, float]
+    steps: int
+
+
 def fitted_rates(members: DataFrame, targets: dict[str, float], tokens: float | None = None) -> DataFrame:
+    return fit(members, targets, tokens).members
+
+
+def fit(members: DataFrame, targets: dict[str, float], tokens: float | None = None) -> Fit:
     """Add ``rate`` to ``(n_tokens, p_<domain>...)`` rows: least squares on the token totals of the domains.
 
-    Minimises ``gap' inverse(gram) gap`` over rates >= 0, starting from rates of 1; ``gap`` is the vector of
-    ``sum(rate * n_tokens * p_d) - target_d`` and ``gram`` that of ``sum(n_tokens * p_d * p_e)``.  The gradient is taken in the
-    metric of the tokens, so a document moves by its posteriors alone.  A step is scaled by the Gram matrix of the rows
-    whose rate is above zero, which is exact while no rate reaches zero; a step that does not lower the loss is halved.
-    Ends when all totals are within ``TOLERANCE`` of the budget or after ``STEPS`` steps.
+    Minimises the squares of ``sum(rate * n_tokens * p_d) - target_d`` over rates >= 0, starting from rates of 1.  The
+    gradient is taken in the metric of the tokens, so a document moves by its posteriors alone.  Steps are tried in this
+    order, and the first that lowers the loss is taken: scaled by the Gram matrix of the rows whose rate is above zero,
+    exact while no rate reaches zero; a quarter of it; the length that the last step's curvature suggests (Barzilai and
+    Borwein); one over the largest eigenvalue of the Gram matrix, which always lowers it.  Ends when all totals are within
+    ``TOLERANCE`` of the budget, when no step gains anything, or after ``STEPS`` steps.  Targets that rates can meet are met
+    in a few steps; of others the loss nears the least one slowly, and ``missed`` tells what is left.
     """
     domains = tuple(targets)
     size = len(domains)
     n, p = F.col("n_tokens"), [F.col(f"p_{d}") for d in domains]
     members = members.drop("rate").withColumn("rate", F.lit(1.0))
 
-    def sums(rate: F.Column) -> tuple[np.ndarray, np.ndarray, float]:
+    def sums(tried: F.Column, rate: F.Column) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Totals, Gram matrix of the open rows, tokens, and how far the rates moved."""
         pairs = [(i, j) for i in range(size) for j in range(i, size)]
-        open_ = F.when(rate > 0, n).otherwise(0)
-        row = members.agg(F.sum(n), *(F.sum(rate * n * x) for x in p), *(F.sum(open_ * p[i] * p[j]) for i, j in pairs)).first()
+        open_ = F.when(tried > 0, n).otherwise(0)
+        moved = F.sum(n * (tried - rate) * (tried - rate))
+        row = members.agg(F.sum(n), moved, *(F.sum(tried * n * x) for x in p), *(F.sum(open_ * p[i] * p[j]) for i, j in pairs)).first()
         gram = np.zeros((size, size))
-        for (i, j), value in zip(pairs, row[1 + size :]):
+        for (i, j), value in zip(pairs, row[2 + size :]):
             gram[i, j] = gram[j, i] = value or 0
-        return np.array([x or 0 for x in row[1 : 1 + size]], float), gram, float(row[0] or 0)
+        return np.array([x or 0 for x in row[2 : 2 + size]], float), gram, float(row[0] or 0), float(row[1] or 0)
 
-    totals, gram, available = sums(F.col("rate"))
+    totals, gram, available, _ = sums(F.col("rate"), F.col("rate"))
     if not available:
-        return members
+        return Fit(members, dict.fromkeys(domains, 0.0), 0)
     budget = available if tokens is None else float(tokens)
-    weight = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    safe = 1 / float(np.linalg.eigvalsh(gram)[-1])
     aim = np.array([targets[d] for d in domains]) / sum(targets.values()) * budget
-    rate, gap, length = F.col("rate"), totals - aim, 1.0
-    for i in range(1, STEPS + 1):
-        if np.abs(gap).max() <= TOLERANCE * budget or length < 1e-3:
-            break
-        move = length * (np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap)
-        tried = F.greatest(F.lit(0.0), rate - sum((x * float(m) for x, m in zip(p[1:], move[1:])), p[0] * float(move[0])))
-        totals, tried_gram, _ = sums(tried)
-        tried_gap = totals - aim
-        if tried_gap @ weight @ tried_gap < gap @ weight @ gap:
-            rate, gap, gram, length = tried, tried_gap, tried_gram, 1.0
+    rate, gap, length, attempt, steps = F.col("rate"), totals - aim, safe, 0, 0
+    while steps < STEPS and np.abs(gap).max() > TOLERANCE * budget and attempt < 4:
+        steps += 1
+        scaled = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ gap
+        move = (scaled, scaled / 4, length * gap, safe * gap)[attempt]
+        tried = F.greatest(F.lit(0.0), rate - reduce(add, (x * float(m) for x, m in zip(p, move))))
+        totals, tried_gram, _, moved = sums(tried, rate)
+        change = totals - aim - gap
+        if (totals - aim) @ (totals - aim) < gap @ gap * (1 - 1e-7):
+            length = moved / max(change @ change, 1e-300)
+            rate, gap, gram, attempt = tried, totals - aim, tried_gram, 0
         else:
-            length /= 2
-        if i % STEPS_A_TABLE == 0:
+            attempt += 1
+        if steps % STEPS_A_TABLE == 0:
             members, rate = saved(members.withColumn("rate", rate)), F.col("rate")
-    return members.withColumn("rate", rate)
+    return Fit(members.withColumn("rate", rate), {d: float(g) / budget for d, g in zip(domains, gap)}, steps)
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``(doc_id, fp, n_tokens, p_<domain>..., rate)``, one row per input row.
+    """``(doc_id, fp, n_tokens, p_<domain>..., rate, missed)``, one row per input row.
 
-    A null text has no tokens.  Equal rows are rated alike.  An empty table gives an empty result.
+    ``missed``, the same in all rows: the largest miss of a target, as a share of the budget.  A null text has no tokens.  Equal rows are rated alike.  An empty table gives an empty result.
     """
     domains = tuple(targets)
-    vocabulary, prior = learn(documents, domains_of_labels(labels), domains)
-    return fitted_rates(saved(posteriors(documents, vocabulary, prior, domains)), targets)
+    model = learn(documents, domains_of_labels(labels), domains)
+    found = fit(saved(posteriors(documents, model, domains)), targets)
+    return found.members.withColumn("missed", F.lit(max(map(abs, found.missed.values()))))
 
 
 def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -177,7 +245,8 @@ def mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] =
     """
     rates = mixed(documents, labels, targets).where("rate > 0").dropDuplicates(["doc_id", "fp"])
     added = [x for x in rates.columns if x not in ("doc_id", "fp")]
-    rates = rates.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), *added)
-    fp = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rest = documents.drop(*added)
-    return rest.join(rates, rest.doc_id.eqNullSafe(rates["_id"]) & (fp == rates["_fp"])).select(*rest.columns, *added)
+    ident, name = fresh("id"), fresh("fp")
+    rates = rates.select(F.col("doc_id").alias(ident), F.col("fp").alias(name), *added)
+    fp = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rest.join(rates, rest.doc_id.eqNullSafe(F.col(ident)) & (fp == F.col(name))).select(*rest.columns, *added)

@@ -567,3 +567,70 @@ def test_archive_round_trip(spark):
 
 def test_estimate_floor_is_below_the_threshold():
     assert 0.6 < near.estimate_floor(0.85, 100) < 0.85
+
+
+# -- op 5: the optimum, and what the vocabulary holds --------------------------------------------------------
+
+
+def least_loss(p, n, aim, steps=20_000):
+    """Reference: plain projected gradient in the metric of the tokens, to convergence."""
+    length = 1 / np.linalg.eigvalsh((p * n[:, None]).T @ p)[-1]
+    rate = np.ones(len(n))
+    for _ in range(steps):
+        gap = (rate * n) @ p - aim
+        rate = np.maximum(0, rate - p @ gap * length)
+    gap = (rate * n) @ p - aim
+    return gap @ gap
+
+
+@pytest.mark.parametrize("share", [(0.6, 0.3, 0.1), (0.98, 0.01, 0.01), (0.0, 0.0, 1.0)])
+def test_rates_reach_the_optimum_of_a_reference_solver(spark, share):
+    pick = np.random.default_rng(8)
+    p = pick.dirichlet([0.6, 0.5, 0.2], 300) * 0.8 + np.array([0.1, 0.05, 0.05])  # no document is of one domain alone
+    n = pick.integers(1, 400, 300)
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_a double, p_b double, p_c double")
+    found = mixing.fit(df, dict(zip("abc", share)))
+    aim = np.array(share) * n.sum()
+    best = least_loss(p, n.astype(float), aim)
+    rate = np.array([r.rate for r in found.members.orderBy("doc_id").collect()])
+    got = (rate * n) @ p - aim
+    assert (rate >= 0).all()
+    if best < (1e-6 * n.sum()) ** 2:  # within reach
+        assert np.abs(got).max() <= 1.01e-6 * n.sum() and found.steps < 10
+    else:  # the least loss is neared slowly
+        assert best * 0.999 <= got @ got <= 4 * best
+    assert np.allclose([found.missed[d] for d in "abc"], got / n.sum(), atol=1e-9)
+
+
+def test_vocabulary_keeps_every_telling_term_of_a_rare_language(spark):
+    pick, rows, labels = random.Random(4), [], []
+    for i in range(1200):
+        rare, low = i % 12 == 0, pick.random() < 0.5
+        pool = ["uno", "casa", "perro", "gato"] if rare else [f"word{k}" for k in range(40)]
+        text = [pick.choice(pool) for _ in range(30)]
+        marks = [f"malísimo{k}" for k in range(3)] if rare else [f"junk{k}" for k in range(150)]
+        text += pick.sample(marks, 3 if rare else 12) if low else []
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(not low), 0))
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = mixing.learn(docs, mixing.domains_of_labels(table), mixing.DOMAINS)
+    terms = {r.term for r in model.vocabulary.collect()}
+    assert {f"malísimo{k}" for k in range(3)} <= terms and "\x02malís" in terms
+    assert len([t for t in terms if t.startswith("junk")]) > 140
+    found = {r.doc_id: r for r in mixing.posteriors(docs, model, mixing.DOMAINS).collect()}
+    assert np.mean([(found[i].p_good > found[i].p_low) == bool(q) for i, q, _ in labels if i % 12 == 0]) > 0.95
+
+
+def test_posteriors_are_calibrated_on_held_out_rows(spark):
+    pick, rows, labels = random.Random(6), [], []
+    for i in range(1500):
+        good = pick.random() < 0.6
+        pool = [f"w{k}" for k in range(60)] + [f"g{k}" for k in range(30 if good else 24)]
+        text = [w for w in (pick.choice(pool) for _ in range(12)) for _ in range(3)]  # thrice each: evidence that repeats
+        text += [f"{w}x" for w in text]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(good), 0))
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = mixing.learn(docs, mixing.domains_of_labels(table), mixing.DOMAINS)
+    assert model.temper in mixing.TEMPERS and model.temper < 1.0
