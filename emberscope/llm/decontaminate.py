@@ -11,6 +11,9 @@ character beyond ASCII may cost two.  An item longer than ``LONGEST`` is searche
 A document may hold a part of an item only.  So of every item longer than ``PASSAGE`` its passages of that length,
 ``STEP`` bytes apart, are patterns too, by the same rule: a stretch of ``PASSAGE + STEP`` bytes of an item is found
 however long the item is.  Passages have no q-grams of their own; they are counted from those of their item.
+
+An item shorter than ``SHORTEST`` leaves no room for edits: it is searched as it is, between characters that are no letters
+or digits, all such items at once by one automaton.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberscope.llm.common import text_slices, utf8
+from emberscope.llm.common import fresh, saved, text_slices, utf8
 
 Q = 8
 EDITS = 0.1
@@ -68,9 +71,12 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items, self.texts, self.spots, self.lengths = [], [], [], []
+        self.short: dict[str, list[int]] = {}
         for ident, text in sorted(items):
             raw = normal(np.frombuffer((text or "").strip(" \t\n\x0b\x0c\r").encode(), np.uint8))
             if len(raw) < SHORTEST:
+                if len(raw):
+                    self.short.setdefault(raw.tobytes().decode("latin-1"), []).append(ident)
                 continue
             starts = range(0, max(1, len(raw) - LONGEST // 2), LONGEST // 2) if len(raw) > LONGEST else (0,)
             for at in starts:
@@ -105,6 +111,29 @@ class Patterns:
         self.first = np.append(first, len(every))
         self.gate = np.zeros(1 << _GATE, bool)
         self.gate[_gate(self.names)] = True
+        self.automaton = None
+        if self.short:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word, found in self.short.items():
+                self.automaton.add_word(word, (len(word), found))
+            self.automaton.make_automaton()
+
+    def short_hits(self, plain: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(text, item, start, end)`` of the short items that stand between characters that are no letters or digits."""
+        if self.automaton is None:
+            return
+        inner = ((plain >= 97) & (plain <= 122)) | ((plain >= 48) & (plain <= 57)) | (plain >= 128)
+        whole = plain.tobytes().decode("latin-1")
+        for i, (begin, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            for last, (size, found) in self.automaton.iter(whole, begin, end):
+                start, stop = last - size + 1, last + 1
+                # an item that begins or ends with another character bounds itself
+                before = start == begin or not inner[start - 1] or not inner[start]
+                after = stop == end or not inner[stop] or not inner[stop - 1]
+                if start >= begin and before and after:
+                    yield from ((i, ident, start, stop) for ident in found)
 
     def regions(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """``(text, pattern, lowest diagonal, highest diagonal)`` of the bands that reach the bound, merged if they touch."""
@@ -207,9 +236,15 @@ class Patterns:
         """
         raw, offsets = utf8(texts)
         out: list[list[dict]] = [[] for _ in range(len(texts))]
-        if not len(self.texts) or not len(raw):
+        if not len(raw):
             return out
         plain = normal(raw)
+        for text, item, start, end in self.short_hits(plain, offsets):
+            begin = int(offsets[text])
+            place = [int(np.count_nonzero((raw[begin:x] & 0xC0) != 0x80)) for x in (start, end)]
+            out[text].append({"item_id": int(item), "start": place[0], "end": place[1], "edits": 0, "covered": 1.0})
+        if not len(self.texts):
+            return [sorted(row, key=lambda x: (x["start"], x["end"], x["item_id"])) for row in out]
         hits: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for text, pattern, low, high in sorted(self.regions(plain, offsets), key=lambda x: x[1] >= self.whole):
             begin, end = int(offsets[text]), int(offsets[text + 1])
@@ -238,39 +273,45 @@ class Patterns:
         return total
 
 
-def shards(benchmark: DataFrame) -> list[Patterns]:
-    """The benchmark in parts of about ``SHARD_BYTES``, each searched in a pass over the documents."""
+def shards(benchmark: DataFrame) -> Iterator[tuple[Patterns, bool]]:
+    """The benchmark in parts of about ``SHARD_BYTES``, one at a time, and whether another follows."""
     items = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
-    return [
-        Patterns([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).collect()])
-        for i in range(count)
-    ]
+    for i in range(count):
+        yield Patterns([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i).collect()]), i + 1 < count
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, columns: list[str], name: str = "leaks") -> DataFrame:
     """The columns asked for and ``leaks``, the benchmark items found in each row with their places and edits.
 
     An item, a window of a long one, or a passage of it is an entry; ``covered`` is the share of the item that all entries
-    of the item in the row cover together.  Edits are those of the entry.  A null text holds nothing; items that are null or under ``SHORTEST`` bytes are not searched; equal items count
-    once.  ``start`` and ``end`` are code points, end exclusive.  Other columns are not read.
+    of the item in the row cover together.  Edits are those of the entry; items under ``SHORTEST`` bytes are found without any.
+    A null text holds nothing; items that are null or empty are not searched; equal items count once.  ``start`` and
+    ``end`` are code points, end exclusive.  Item ids are whole numbers.  Other columns are not read.
+
+    A benchmark of several parts is searched a part at a time: the rows with what was found so far are written before
+    the next part is read, so that the driver and the tasks hold one part.
     """
-    out = documents.select(*columns, F.col("text").cast("string").alias("_text"), F.array().cast(SPANS).alias("leaks"))
+    body = fresh("text")
+    out = documents.select(*columns, F.col("text").cast("string").alias(body), F.array().cast(SPANS).alias(name))
     schema = T.StructType(list(out.schema.fields))
-    for patterns in shards(benchmark):
+    for patterns, more in shards(benchmark):
         known = documents.sparkSession.sparkContext.broadcast(patterns)  # bounded by SHARD_BYTES
 
         def search(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            for batch in text_slices(batches, "_text"):
-                before = batch.column("leaks").to_pylist()
-                rows = [a + b for a, b in zip(before, known.value.found(batch.column("_text")))]
+            for batch in text_slices(batches, body):
+                before = batch.column(name).to_pylist()
+                rows = [a + b for a, b in zip(before, known.value.found(batch.column(body)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _SPANS)], names=schema.names)
 
         out = out.mapInArrow(search, schema)
-    return out.drop("_text")
+        if more:
+            out = saved(out)
+            known.unpersist()
+    return out.drop(body)
 
 
 def leaks_by_document(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -286,4 +327,5 @@ def leaks_by_document(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item and no passage of one, all columns as they are."""
-    return leaks(documents, benchmark, documents.columns).where(F.size("leaks") == 0).select(documents.columns)
+    name = fresh("leaks")
+    return leaks(documents, benchmark, documents.columns, name).where(F.size(name) == 0).select(documents.columns)

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import ByteHashes, mix, saved, text_slices, utf8, words
+from emberscope.llm.common import fresh, ByteHashes, mix, saved, text_slices, utf8, words
 from emberscope.llm.near import near_classes
 
 WORDS = 5
@@ -117,7 +117,11 @@ def _decided(documents: DataFrame, ident: str, text: str, percent: int) -> DataF
         classes.select("id", "signature"), with_text, word_shingles, percent, 100, BANDS, ROWS * WIDTH, WIDTH
     )
     placed = classes.join(members, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    out = signed.select("id", "fp", "n_shingles", "digest").join(placed, "digest", "left")
+    rows = signed.select("id", "fp", "n_shingles", "digest")
+    # texts without shingles have no class: they do not take part in the join, where they would all meet in one task
+    out = rows.where("digest is not null").join(placed, "digest", "left").unionByName(
+        rows.where("digest is null").withColumn("class_id", F.lit(None).cast("long"))
+    )
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
     return out.select("id", "fp", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -141,10 +145,11 @@ def without_near_duplicates(documents: DataFrame, percent: int = 80) -> DataFram
     All columns come back as they are.  Rows without an id stay.
     """
     decided = _decided(documents, "doc_id", "text", percent)
-    kept = decided.where("kept and id is not null").select(F.col("id").alias("doc_id"), F.col("fp").alias("_fp")).distinct()
-    rest = [x for x in documents.columns if x != "doc_id"]
-    once = documents.where("doc_id is not null").withColumn("_fp", F.xxhash64("text")).groupBy("doc_id", "_fp").agg(
-        F.min(F.struct(*rest)).alias("_row")
-    )
-    stays = once.join(kept, ["doc_id", "_fp"], "left_semi").select("doc_id", "_row.*").select(documents.columns)
-    return stays.unionByName(documents.where("doc_id is null"))
+    ident, name, number = fresh("id"), fresh("fp"), fresh("n")
+    kept = decided.where("kept and id is not null").select(F.col("id").alias(ident), F.col("fp").alias(name)).distinct()
+    once = documents.where("doc_id is not null").withColumn(name, F.xxhash64("text"))
+    stays = once.join(kept, (F.col("doc_id").cast("long") == F.col(ident)) & (once[name] == kept[name]), "left_semi")
+    # rows that share id and text are one document: any of them stands for it
+    place = F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.lit(0)))
+    one = stays.withColumn(number, place).where(F.col(number) == 1)
+    return one.select(documents.columns).unionByName(documents.where("doc_id is null"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import saved
+from emberscope.llm.common import hot_join, saved
 
 _OPEN, _CLOSE, _PLAIN = "\x01", "\x02", "\x03"
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
@@ -93,7 +93,7 @@ def scan(
     kept = [x for x in versions.columns if x not in (text, "blob", "spans")]
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blob = F.unhex(F.sha2(content, 256))
-    paths = versions.select(*kept, blob.alias("blob"))
+    paths = saved(versions.select(*kept, blob.alias("blob")))
     fresh = versions.select(blob.alias("blob"), content.alias("text"))
     known = None
     if ledger is not None:
@@ -103,7 +103,8 @@ def scan(
     gained = saved(scan_texts(fresh, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans"))
     every = gained.select("blob", "spans")
     every = every if known is None else every.unionByName(known)
-    return paths.join(every, "blob").select(*kept, "blob", "spans"), gained
+    counts = saved(paths.groupBy("blob").agg(F.count("*").alias("n")))  # a blob may have most of the paths
+    return hot_join(paths, every, counts, ["blob"]).select(*kept, "blob", "spans"), gained
 
 
 def listed(spans: F.Column) -> F.Column:
@@ -114,9 +115,32 @@ def of_kind(kind: str) -> F.Column:
     return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
 
 
+def scan_runs(versions: DataFrame, runs: int, order: F.Column, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The findings of versions that arrive in several runs, and the ledger after the last of them.
+
+    ``order``: a number that never changes for a version; it decides the run in which it arrives.  Every version is in one
+    of the runs.  A run scans the blobs that the ledger of the runs before it does not hold.
+    """
+    found = ledger = None
+    for run in range(runs):
+        arrived = versions.where(F.pmod(order, F.lit(runs)) == run)
+        findings, gained = scan(arrived, ledger, text)
+        found = findings if found is None else found.unionByName(findings)
+        ledger = gained if ledger is None else ledger.unionByName(gained)
+    return found, ledger
+
+
+#: Runs in which the query takes the documents, as if they had arrived one after the other.
+RUNS = 2
+
+
 def secrets_by_document(documents: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans and the list of all spans of each document."""
-    findings, _ = scan(documents.select("doc_id", "text"))
+    """Counts of the base kinds, a digest of the base spans and the list of all spans of each document.
+
+    A document is a path with one version.  The documents arrive in ``RUNS`` runs against a ledger that starts empty, so a
+    text that was seen in an earlier run is not scanned again; the result of all runs together is that of one.
+    """
+    findings, _ = scan_runs(documents.select("doc_id", "text"), RUNS, F.xxhash64("doc_id"))
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
     counts = (of_kind(k).alias(f"n_{k}") for k in BASE)
     return findings.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

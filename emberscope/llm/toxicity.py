@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberscope.llm.common import ByteHashes, mix, saved, text_slices, utf8, words
+from emberscope.llm.common import fresh, ByteHashes, mix, saved, text_slices, utf8, words
 
 SAMPLE = 20_000
 LEAST_ROWS = 5
@@ -212,15 +212,22 @@ def scored(documents: DataFrame, model: Model, columns: list[str], reject: float
 
     A null or empty text has no features; what it is then told by the thresholds alone.
     """
-    source = documents.select(*columns, F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([*documents.select(*columns).schema.fields]).add("severity", "double").add("p_toxic", "double").add("rejected", "boolean")
+    return _scored(documents, model, columns, ("severity", "p_toxic", "rejected"), reject)
+
+
+def _scored(documents: DataFrame, model: Model, columns: list[str], added: tuple[str, str, str], reject: float = REJECT) -> DataFrame:
+    body = fresh("text")
+    source = documents.select(*columns, F.col("text").cast("string").alias(body))
+    schema = T.StructType([*documents.select(*columns).schema.fields])
+    for name, kind in zip(added, ("double", "double", "boolean")):
+        schema = schema.add(name, kind)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
-            above = model.above(batch.column("_text"))
+        for batch in text_slices(batches, body):
+            above = model.above(batch.column(body))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(columns))), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] > reject)],
-                names=[*columns, "severity", "p_toxic", "rejected"],
+                names=[*columns, *added],
             )
 
     return source.mapInArrow(score, schema)
@@ -230,4 +237,5 @@ def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, all columns as they are."""
     columns = documents.columns
     model = fit(documents, grades_of_labels(labels))
-    return scored(documents, model, columns).where("not rejected").select(columns)
+    added = (fresh("severity"), fresh("p_toxic"), fresh("rejected"))
+    return _scored(documents, model, columns, added).where(~F.col(added[2])).select(columns)
