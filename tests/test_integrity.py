@@ -49,3 +49,26 @@ def test_plain_and_other_files(spark, tmp_path):
 
 def test_a_codec_that_is_not_checked():
     assert integrity.checked(iter([b"x"]), "lz4") == (0, 0, None, "codec is not checked")
+
+
+def test_a_rolled_log_is_landed_by_the_name_of_its_status_file(spark, tmp_path, monkeypatch):
+    from emberscope.streaming import ingest
+
+    logs, landed = tmp_path / "logs", str(tmp_path / "landed")
+    start = json.dumps({"Event": "SparkListenerApplicationStart", "App ID": "app"}).encode() + b"\n"
+    rolled(logs / "eventlog_v2_app", "", [start + body(3), body(4, 3)])
+    status = logs / "eventlog_v2_app" / "appstatus_app.inprogress"
+    status.write_text("")
+    read = []
+    original = ingest.read_lines
+    monkeypatch.setattr(ingest, "read_lines", lambda spark, paths, **more: read.append(paths) or original(spark, paths, **more))
+    run = lambda: ingest.land_new_logs(spark, str(logs), landed, str(tmp_path / "checkpoint")).awaitTermination()
+    run()
+    assert [r.log.rsplit("/", 1)[1] for r in ingest.unfinished_logs(spark, str(logs), landed).collect()] == ["eventlog_v2_app"]
+    (logs / "eventlog_v2_app" / "appstatus_app").write_text("")
+    status.unlink()
+    run()
+    run()
+    assert read == []  # no file of an open log was read to learn whether it has ended
+    assert ingest.unfinished_logs(spark, str(logs), landed).count() == 0
+    assert spark.read.parquet(landed).where("event = 'SparkListenerJobEnd'").count() == 7
