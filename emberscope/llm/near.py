@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.llm.common import by_group, components, deal, group_bounds, pairs_within, roots, saved, text_slices, whole_groups
+from emberscope.llm.common import borders, by_group, components, deal, group_bounds, pairs_within, roots, saved, text_slices, whole_groups
 
 EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+#: Pairs that are folded into a forest at a time, and rows that are looked at together.
+_FOLD, _ROWS = 1 << 18, 1 << 16
 #: Columns of the 0/1 matrix of shingles that are multiplied at a time.
 COLUMNS = 4096
 
@@ -73,17 +75,140 @@ def _likely(raw, pairs, least):
 
 
 def _forest(ids: np.ndarray, pairs) -> pa.RecordBatch:
-    """Edges of a spanning forest over the ids that the pairs of rows connect."""
-    label = np.arange(len(ids))
+    """Edges of a spanning forest over the ids that the pairs of rows connect; pairs are folded in about ``_FOLD`` at a time."""
+    label, held, n = np.arange(len(ids)), [], 0
+
+    def folded() -> np.ndarray:
+        a, b = (np.concatenate(x) for x in zip(*held, (np.arange(len(ids)), label)))
+        return roots(len(ids), a, b)
+
     for a, b in pairs:
         if len(a):
-            up = roots(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
-            label = up
+            held.append((a, b))
+            n += len(a)
+            if n >= _FOLD:
+                label, held, n = folded(), [], 0
+    if held:
+        label = folded()
     moved = np.flatnonzero((label != np.arange(len(ids))) & (ids != ids[label]))
     edges = np.unique(np.stack([ids[moved], ids[label[moved]]], 1), axis=0) if len(moved) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=_EDGES)
 
 
+#: Bits of a signature value that a member carries, values to a 64-bit word, and the lowest bits of the values.
+FIELD, FIELDS = 3, 18
+_LOWEST = np.uint64(sum(1 << (FIELD * i) for i in range(FIELDS)))
+#: Buckets with more members are counted and dealt in blocks; others are compared where they are met: at most 134 million
+#: pairs of two words, a second or two of a task.
+LARGE = 1 << 14
+
+
+def sketch_words(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bits of up to 36 signature values a row, packed into two words."""
+    low = signatures.astype(np.uint64) & np.uint64((1 << FIELD) - 1)
+    shifts = (np.arange(FIELDS, dtype=np.uint64) * np.uint64(FIELD))[None, :]
+    parts = [low[:, i * FIELDS : (i + 1) * FIELDS] for i in range(2)]
+    return tuple((x << shifts[:, : x.shape[1]]).sum(axis=1, dtype=np.uint64).view(np.int64) for x in parts)
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many packed values differ."""
+    x = a ^ b
+    x |= (x >> np.uint64(1)) | (x >> np.uint64(2))
+    return np.bitwise_count(x & _LOWEST).astype(np.int16)
+
+
+def sketch_floor(similarity: float, coordinates: int) -> float:
+    """Share of packed values that agree, four standard deviations below that of a pair at the threshold."""
+    return estimate_floor(similarity + (1 - similarity) / (1 << FIELD), coordinates)
+
+
+_FOUND = "a long, b long, key long, w0 long, w1 long"
+
+
+def proposed_from_sketches(signed: DataFrame, bands: int, band_bytes: int, coordinates: int, similarity: float) -> DataFrame:
+    """As ``proposed_groups`` for many small members: ``(id, component)`` of ids connected by likely pairs.
+
+    ``signed``: ``(id long, signature binary, w0 long, w1 long)``, ids distinct, words by ``sketch_words``.  Memberships move
+    once, each with two words in place of a signature: buckets of one are seen and dropped where the bucket is compared,
+    so nothing is counted beforehand.  Only buckets of more than ``LARGE`` members move again, dealt in blocks.
+    """
+    most = int((1 - sketch_floor(similarity, coordinates)) * coordinates)  # values that may differ
+    members = signed.select("id", "w0", "w1", F.explode(band_keys("signature", bands, band_bytes)).alias("key"))
+    near = members.repartition("key").sortWithinPartitions("key").select("key", "id", "w0", "w1")
+    found = saved(near.mapInArrow(lambda batches: _bucket_links(batches, most), _FOUND))
+    large = found.where("b is null").select("key", F.col("a").alias("id"), "w0", "w1")
+    counts = large.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = by_group(deal(large.join(counts, "key"), "key", "id", "n").drop("n"), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ["key", "lo", "hi"]):
+            words = [part.column(x).to_numpy().view(np.uint64) for x in ("w0", "w1")]
+            yield _forest(part.column("id").to_numpy(), _alike(words, pairs_within(*group_bounds(part, ["key"])), most))
+
+    return components(found.where("b is not null").select("a", "b").unionByName(dealt.mapInArrow(compare, EDGES)))
+
+
+def _alike(words, pairs, most):
+    for a, b in pairs:
+        few = _differing(words[0][a], words[0][b]) + _differing(words[1][a], words[1][b]) <= most
+        yield a[few], b[few]
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Forests of the likely pairs of each bucket; the members of a large one instead, with a null in place of ``b``.
+
+    Holds a batch and at most ``LARGE`` rows of a bucket.
+    """
+    large = None  # the key of the bucket that is being passed through
+    rest: pa.Table | None = None
+    for piece in _gathered(batches):
+        part = piece if rest is None else pa.concat_tables([rest, piece])
+        yield from _buckets(part.combine_chunks(), most, large, False)
+        starts = borders(part, ["key"])
+        last = int(starts[-1])
+        key = part.column("key")[last].as_py()
+        if key == large or part.num_rows - last > LARGE:
+            large, rest = key, None
+        else:
+            large, rest = None, part.slice(last)
+    if rest is not None:
+        yield from _buckets(rest.combine_chunks(), most, large, True)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _ROWS:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _buckets(part: pa.Table, most: int, large: int | None, ended: bool) -> Iterator[pa.RecordBatch]:
+    """Buckets of a table; the last one is left for later, unless it is large or the stream has ended."""
+    ids, keys = part.column("id").to_numpy(), part.column("key").to_numpy()
+    words = [part.column(x).to_numpy().view(np.uint64) for x in ("w0", "w1")]
+    starts = borders(part, ["key"])
+    ends = np.append(starts[1:], part.num_rows)
+    big = (ends - starts > LARGE) | (keys[starts] == large if large is not None else np.zeros(len(starts), bool))
+    whole = ~big
+    if not ended:
+        whole[-1] = False
+    edges = _forest(ids, _alike(words, pairs_within(starts[whole], ends[whole], ends[whole]), most))
+    n = edges.num_rows
+    none = pa.nulls(n, pa.int64())
+    names = ["a", "b", "key", "w0", "w1"]
+    yield pa.RecordBatch.from_arrays([*edges.columns, none, none, none], names=names)
+    for start, end in zip(starts[big], ends[big]):
+        some = part.slice(start, end - start)
+        columns = [some.column(x).combine_chunks() for x in ("id", "key", "w0", "w1")]
+        yield pa.RecordBatch.from_arrays([columns[0], pa.nulls(len(some), pa.int64()), *columns[1:]], names=names)
+
+
 def confirmed_links(
     grouped: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], numerator: int, denominator: int
 ) -> DataFrame:
@@ -167,7 +292,13 @@ def near_classes(
     band_bytes: int,
     width: int,
 ) -> DataFrame:
-    """``(id, component)`` of the ids with at least one exact link; ``texts`` adds ``text`` to ``(id, component)``."""
-    least = estimate_floor(numerator / denominator, bands * band_bytes // width)
-    groups = proposed_groups(signed, bands, band_bytes, width, least)
+    """``(id, component)`` of the ids with at least one exact link; ``texts`` adds ``text`` to ``(id, component)``.
+
+    ``signed`` with words of ``sketch_words`` moves these in place of its signatures.
+    """
+    coordinates = bands * band_bytes // width
+    if "w0" in signed.columns:
+        groups = proposed_from_sketches(signed, bands, band_bytes, coordinates, numerator / denominator)
+    else:
+        groups = proposed_groups(signed, bands, band_bytes, width, estimate_floor(numerator / denominator, coordinates))
     return components(confirmed_links(texts(groups), shingles, numerator, denominator))
