@@ -26,17 +26,42 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-#: Score of a span by its form and checks alone, and what a word nearby adds.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:]) for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+        "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+#: Score of a span by its form and checks alone, and what words nearby add or take, the more the nearer they are: all of
+#: it next to the span, half of it ``CONTEXT_CHARS`` away.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.55}
 CONTEXT_SCORE, CONTEXT_CHARS = 0.3, 48
-CONTEXT = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|login)\b"),
-    "card": re.compile(r"(?i)\b(?:card|credit|visa|mastercard|payment|cvv)\b"),
-    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|whatsapp)\b"),
-    "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|swift|bic)\b"),
-    "ssn": re.compile(r"(?i)\b(?:ssn|social security)\b"),
+#: Words that speak for a kind, in English, German, French and Spanish; the next table has words against it.
+FOR = {
+    "email": "email e-mail mail contact write address kontakt schreiben adresse courriel écrire contacter correo escribir contacto dirección",
+    "ip": "ip host server address login client rechner adresse anmeldung serveur connexion hôte servidor dirección conexión equipo",
+    "card": "card credit debit visa mastercard amex payment cvv karte kreditkarte kartennummer zahlung carte crédit bancaire paiement tarjeta crédito pago",
+    "phone": "phone tel telephone call mobile cell fax whatsapp sms telefon rufnummer handy anruf anrufen téléphone portable appeler appelez teléfono móvil llamar llame",
+    "iban": "iban bank account swift bic konto kontonummer überweisung bankverbindung compte banque virement rib cuenta banco transferencia",
+    "ssn": "ssn social security",
+}
+AGAINST = {
+    "email": "example beispiel exemple ejemplo",
+    "ip": "version release build chapter section kapitel abschnitt chapitre versión capítulo sección",
+    "card": "isbn order invoice tracking ticket bestellung rechnung sendung commande facture colis pedido factura envío",
+    "phone": "isbn order invoice formula bestellung rechnung commande facture pedido factura",
+    "iban": "serial model product seriennummer modell produkt modèle produit serie modelo producto",
+    "ssn": "part order product isbn teil bestellung",
 }
+
+
+def _words(listed: str) -> re.Pattern:
+    return re.compile(r"(?i)(?<!\w)(?:" + "|".join(map(re.escape, sorted(listed.split(), key=len, reverse=True))) + r")(?!\w)")
+
+
+CONTEXT = {kind: (_words(FOR[kind]), _words(AGAINST[kind])) for kind in KINDS}
 #: A span the method adds to the base is reported from this score on.
 LEAST_SCORE = 0.7
 _DIGITS = re.compile(r"[^0-9]+")
@@ -49,7 +74,7 @@ def luhn(digits: str) -> bool:
 
 def mod97(iban: str) -> bool:
     plain = iban.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1
+    return IBAN_LENGTHS.get(plain[:2]) == len(plain) and int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -73,6 +98,19 @@ def _byte(part: str) -> bool:
     return len(plain) < 3 or len(plain) == 3 and plain <= "255"
 
 
+def _nearness(pattern: re.Pattern, before: str, after: str) -> float:
+    """0 without a word of the pattern, else between a half, at the rim of the context, and 1, next to the span."""
+    gaps = [len(before) - m.end() for m in pattern.finditer(before)][-1:] + [m.start() for m in pattern.finditer(after)][:1]
+    return 1 - min(gaps) / (2 * CONTEXT_CHARS) if gaps else 0.0
+
+
+def context(kind: str, text: str, start: int, end: int) -> float:
+    """What the words around a span add to its score, or take from it."""
+    before, after = text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS]
+    speaks, denies = CONTEXT[kind]
+    return CONTEXT_SCORE * (_nearness(speaks, before, after) - _nearness(denies, before, after))
+
+
 def spans(text: str) -> list[tuple[int, int, int, float]]:
     """``(start, place in KINDS, end, score)`` of all spans by start, then kind."""
     found = [(a, "email", b) for a, b in _emails(text)] if "@" in text else []
@@ -86,8 +124,7 @@ def spans(text: str) -> list[tuple[int, int, int, float]]:
     found += [(m.start(), "ssn", m.end()) for m in SSN.finditer(text)]
     out = []
     for start, kind, end in found:
-        near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
-        score = min(1.0, SCORES[kind] + CONTEXT_SCORE * bool(CONTEXT[kind].search(near)))
+        score = min(1.0, max(0.0, SCORES[kind] + context(kind, text, start, end)))
         if kind in BASE or score >= LEAST_SCORE:
             out.append((start, KINDS.index(kind), end, round(score, 2)))
     return sorted(out)
@@ -106,8 +143,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(documents: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, spans)``: start, kind, end (code points, end exclusive) and score of each span, one row per input row.
 
-    Base kinds stay whatever their score; added kinds (IBAN by mod-97, US social security numbers by their context) come
-    with a score of at least ``LEAST_SCORE``.  A null text is empty; ids may be null or repeated; other columns are not read.
+    Base kinds stay whatever their score; added kinds (IBAN by mod-97 and its country's length, US social security numbers by
+    their context) come with a score of at least ``LEAST_SCORE``.  Words nearby act on the score of every kind, for it or
+    against it, in four languages.  A null text is empty; ids may be null or repeated; other columns are not read.
     """
     source = documents.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()

@@ -634,3 +634,87 @@ def test_posteriors_are_calibrated_on_held_out_rows(spark):
     docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = mixing.learn(docs, mixing.domains_of_labels(table), mixing.DOMAINS)
     assert model.temper in mixing.TEMPERS and model.temper < 1.0
+
+
+def test_runs_scan_a_blob_once(spark):
+    rows = [(i, f"token = abcdef{i % 5:06}zz" if i % 3 else None) for i in range(60)] + [(None, "password: 0123456789abcdef")]
+    versions = documents(spark, rows)
+    whole, ledger = secrets.scan(versions)
+    found, grown = secrets.scan_runs(versions, 3, F.xxhash64("doc_id"))
+    spans = lambda df: sorted((str(r.doc_id), str(r.spans)) for r in df.collect())
+    assert spans(found) == spans(whole)
+    blobs = [bytes(r.blob) for r in grown.collect()]
+    assert len(blobs) == len(set(blobs)) == ledger.count() == 7
+
+
+def test_stages_keep_columns_with_names_of_their_own(spark, sf_dir):
+    from emberscope.llm import lines as line_stage
+
+    rows = [(i, " ".join(words(i % 7, 40)) + f"\nline {i}") for i in range(30)] + [(3, " ".join(words(3, 40)) + "\nline 3"), (None, "no id"), (None, None)]
+    clash = documents(spark, rows).selectExpr(
+        "*", "'a' as rejected", "1 as severity", "'t' as _text", "2 as leaks", "'f' as _fp", "map('k', 1) as props", "3 as _gone", "4 as _row", "5 as id", "6 as fp",
+    )
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "nothing of this is in any document at all")], "item_id long, text string")
+    for stage in (
+        lambda d: toxicity.without_toxic(d, labels), lambda d: line_stage.without_duplicate_lines(d, 5),
+        near_documents.without_near_duplicates, lambda d: decontaminate.without_leaks(d, benchmark),
+    ):
+        out = stage(clash)
+        assert out.columns == clash.columns
+        kept = out.collect()
+        assert kept and all(r.props == {"k": 1} and r._fp == "f" and r.leaks == 2 for r in kept)
+        assert {r.doc_id for r in kept} <= {r[0] for r in rows}
+    mixed = mixing.mixture(clash, labels)
+    assert set(clash.columns) <= set(mixed.columns) and all(r._fp == "f" for r in mixed.collect())
+
+
+def test_short_items_are_found_between_word_borders(spark):
+    docs = documents(spark, [
+        (1, "Ask: CAPITAL OF PERU:\tLima!"), (2, "the capital of peru: limassol"), (3, "élan vital"), (4, "É=mc² ok"), (5, None), (6, ""), (7, "x" * 50_000 + " Capital of Peru: Lima"),
+    ])
+    benchmark = spark.createDataFrame([(1, "capital of Peru: Lima"), (2, "vital"), (3, "=mc²"), (4, ""), (5, None), (6, "Capital of Peru: Lima ")], "item_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.start, x.end, x.edits, x.covered) for x in r.leaks] for r in decontaminate.leaks(docs, benchmark, ["doc_id"]).collect()}
+    assert got == {1: [(1, 5, 26, 0, 1.0), (6, 5, 26, 0, 1.0)], 2: [], 3: [(2, 5, 10, 0, 1.0)], 4: [(3, 1, 5, 0, 1.0)], 5: [], 6: [], 7: [(1, 50_001, 50_022, 0, 1.0), (6, 50_001, 50_022, 0, 1.0)]}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()) == [2, 5, 6]
+
+
+def test_a_benchmark_in_parts_gives_the_same(spark, monkeypatch):
+    pick = random.Random(12)
+    items = [(i, " ".join(words(9000 + i, 30))) for i in range(12)] + [(50, "short one")]
+    rows = [(i, " ".join(words(i, 50) + ([items[i % 13][1]] if i % 2 else []) + words(i + 500, pick.randrange(60)))) for i in range(40)]
+    docs, benchmark = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    listed = lambda: sorted((r.doc_id, str(sorted(map(tuple, r.leaks)))) for r in decontaminate.leaks(docs, benchmark, ["doc_id"]).collect())
+    whole = listed()
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 500)
+    assert listed() == whole and sum(x != "[]" for _, x in whole) == 20
+
+
+@pytest.mark.parametrize("kind, span, speaks, denies", [
+    ("phone", "+49 30 1234567", ["call", "Telefon:", "téléphone", "llame al"], ["Rechnung"]),
+    ("ip", "10.20.30.40", ["server", "Rechner", "serveur", "servidor"], ["version", "Kapitel", "versión"]),
+    ("card", "4111 1111 1111 1111", ["credit card", "Kreditkarte", "carte", "tarjeta"], ["ISBN", "Bestellung", "commande", "pedido"]),
+    ("email", "a@b.org", ["mail", "schreiben", "courriel", "correo"], ["Beispiel"]),
+    ("iban", "DE89370400440532013000", ["bank", "Konto", "compte", "cuenta"], ["Seriennummer"]),
+])
+def test_context_of_four_languages_moves_every_kind(kind, span, speaks, denies):
+    number = pii.KINDS.index(kind)
+
+    def score(text):
+        return next((s for _, k, _, s in pii.spans(text) if k == number), None)
+
+    plain = score(f"nr {span} x")
+    assert plain == pii.SCORES[kind]
+    for word in speaks:
+        assert score(f"{word} {span} x") > plain and score(f"x {span} {word}.") > plain
+        assert score(f"{word} {span} x") >= score(f"{word} {'y ' * 15}{span} x") > plain
+        assert score(f"q{word}q {span} x") == plain or " " in word or ":" in word
+    for word in denies:
+        assert (score(f"{word} {span}") or 0) < plain
+
+
+def test_iban_has_the_length_of_its_country():
+    whole = "DE89370400440532013000"
+    assert pii.mod97(whole) and pii.mod97("GB82 WEST 1234 5698 7654 32")
+    longer = next(x for x in (f"DE{c:02}3704004405320130001" for c in range(2, 99)) if int("".join(str(int(y, 36)) for y in x[4:] + x[:4])) % 97 == 1)
+    assert not pii.mod97(longer) and not pii.mod97("ZZ" + whole[2:])
