@@ -89,7 +89,7 @@ def learn(documents: DataFrame, labelled: DataFrame, domains: tuple[str, ...], s
     rows = _texts(documents).join(F.broadcast(drawn), "doc_id")  # about ``sample`` rows of an id and a name
     rows = rows.groupBy(F.xxhash64("text").alias("fp")).agg(F.max("domain").alias("domain"), F.any_value("text").alias("text"))
     rows = saved(rows.withColumn("held", F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(HELD_OUT)) == 0))
-    terms = saved(_term_rows(rows, "fp", "domain", "held", once=True).distinct())
+    terms = saved(_term_rows(rows, "fp", "domain", "held", once=True))
     trial = _weighted(rows.where("not held"), terms.where("not held"), domains)
     evidence = terms.where("held").join(F.broadcast(trial[0]), "term").groupBy("fp", "domain").agg(
         F.count("*").alias("hits"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains)
@@ -130,7 +130,7 @@ def _weighted(rows: DataFrame, terms: DataFrame, domains: tuple[str, ...]) -> tu
     sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     prior = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    seen = terms.groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
+    seen = terms.select("fp", "domain", "term").distinct().groupBy("term").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n_{d}") for d in domains))
 
     def gap(d: str) -> F.Column:
         size, rest = sizes.get(d, 0), total - sizes.get(d, 0)
@@ -147,13 +147,15 @@ def _weighted(rows: DataFrame, terms: DataFrame, domains: tuple[str, ...]) -> tu
 def posteriors(documents: DataFrame, model: Classifier, domains: tuple[str, ...]) -> DataFrame:
     """``(doc_id, fp, n_tokens, p_<domain>...)``, one row per input row; ``fp`` is a hash of the text.
 
-    Tokens are runs without ASCII blanks.  A text without terms of the vocabulary has the priors.
+    Tokens are runs without ASCII blanks.  A text without terms of the vocabulary has the priors.  Every different word is
+    evidence once, and its beginning with it; evidence is summed where a text is read, so one row a text is shuffled.
     """
     source = _texts(documents).withColumn("fp", F.xxhash64("text"))
+    rows = source.withColumn("row", F.monotonically_increasing_id())  # equal rows are summed each by itself
     hits = (
-        _term_rows(source, "doc_id", "fp", once=True).join(F.broadcast(model.vocabulary), "term")  # terms of the labelled sample
-        .groupBy("doc_id", "fp", "term").agg(*(F.first(f"w_{d}").alias(f"w_{d}") for d in domains))
-        .groupBy("doc_id", "fp").agg(F.count("*").alias("hits"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains))
+        _term_rows(rows, "doc_id", "fp", "row", once=True).join(F.broadcast(model.vocabulary), "term")  # terms of the labelled sample
+        .groupBy("doc_id", "fp", "row").agg(F.count("*").alias("hits"), *(F.sum(f"w_{d}").alias(f"s_{d}") for d in domains))
+        .groupBy("doc_id", "fp").agg(F.max("hits").alias("hits"), *(F.max(f"s_{d}").alias(f"s_{d}") for d in domains))
     )
     base = source.select("doc_id", "fp", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
     joined = base.join(hits, (base.doc_id.eqNullSafe(hits.doc_id)) & (base.fp == hits.fp), "left").select(base["*"], "hits", *(f"s_{d}" for d in domains))
