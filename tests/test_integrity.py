@@ -72,3 +72,44 @@ def test_a_rolled_log_is_landed_by_the_name_of_its_status_file(spark, tmp_path,
     assert read == []  # no file of an open log was read to learn whether it has ended
     assert ingest.unfinished_logs(spark, str(logs), landed).count() == 0
     assert spark.read.parquet(landed).where("event = 'SparkListenerJobEnd'").count() == 7
+
+
+def task(stage, n, ok=True):
+    return json.dumps({
+        "Event": "SparkListenerTaskEnd", "Stage ID": stage, "Stage Attempt ID": 0, "Task End Reason": {"Reason": "Success" if ok else "ExceptionFailure"},
+        "Task Info": {"Launch Time": 1, "Finish Time": 1 + n, "Failed": not ok, "Killed": False}, "Task Metrics": {"JVM GC Time": n},
+    }) + "\n"
+
+
+def test_three_runs_of_partial_aggregates_equal_one(spark, tmp_path):
+    from emberscope.operators import accounting
+    from emberscope.streaming import ingest, partials
+
+    logs, landed, folder = tmp_path / "logs", str(tmp_path / "landed"), str(tmp_path / "partials")
+    logs.mkdir()
+
+    def log(name, first, running=False):
+        ends = json.dumps({"Event": "SparkListenerJobEnd", "Job ID": first, "Completion Time": 3, "Job Result": {"Result": "JobSucceeded"}}) + "\n"
+        (logs / (name + ".inprogress" * running)).write_text("".join(task(i % 2, first + i, i % 7 > 0) for i in range(40)) + ends)
+
+    read = []
+    for run, names in enumerate((["app-a", "app-b"], ["app-c"], [])):
+        for k, name in enumerate(names):
+            log(name, 1 + 100 * run + 10 * k)
+        log("app-z", 1000 + run, running=True)
+        ingest.land_new_logs(spark, str(logs), landed, str(tmp_path / "state")).awaitTermination()
+        read.append(partials.update(spark, landed, folder))
+    assert read == [1, 1, 0]  # each batch once, and nothing of the log that is still open
+    assert sum(r.lines for r in partials.done_batches(spark, folder).collect()) == 3 * 41
+    from emberscope.sources.eventlog import read_landed
+
+    events = read_landed(spark, landed)
+    rows = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert rows(partials.outcome_totals(spark, folder)) == rows(accounting.outcome_counts(events))
+    assert rows(partials.job_totals(spark, folder)) == [(a, 1, "JobSucceeded") for a in ("app-a", "app-b", "app-c")]
+    exact = {(r.application_id, r.stage_id): r for r in accounting.task_summaries(events, ("duration",)).collect()}
+    for r in partials.metric_quantiles(spark, folder).where("metric = 'duration'").collect():
+        want = exact[r.application_id, r.stage_id]
+        assert r.num_values == want.num_tasks and abs(r.quantiles[2] - want.duration[2]) <= 2
+    whole = partials.metric_quantiles(spark, folder, ["application_id"]).where("metric = 'duration' and application_id = 'app-a'").first()
+    assert whole.num_values == sum(x.num_tasks for (a, _), x in exact.items() if a == "app-a")
