@@ -28,7 +28,7 @@ def _lines(df: DataFrame, kind: str, application: Column, position: Column, fiel
     body = F.to_json(F.struct(F.lit(EVENTS[kind]).alias("Event"), *[c.alias(n) for n, c in fields.items()]))
     return df.select(
         application.alias("application_id"),
-        event_order(F.lit(0), F.lit(0), position).alias("event_order"),
+        event_order(F.lit(0), position, F.lit(0)).alias("event_order"),  # rows of one scan number 2^33 at most, positions do not
         body.alias("body"),
         F.lit(EVENTS[kind]).alias("event"),
     )
