@@ -278,11 +278,12 @@ def task_metrics(events: DataFrame) -> DataFrame:
         "shuffle_write_time": zero(written["Shuffle Write Time"]),
     }
     assert tuple(columns) == tuple(TASK_METRICS)
-    row = F.struct(
+    # the filter stays above the explode of the parse, so a line is parsed once; inlined, all columns would make one
+    # method too large to be compiled
+    successful = F.col("e.`Task End Reason`.Reason") == "Success"
+    return parsed(events, "task_end").where(successful).select(
+        KEY,
         F.col("e.`Stage ID`").alias("stage_id"),
         F.coalesce("e.`Stage Attempt ID`", F.lit(0)).alias("attempt_id"),
         *[column.alias(name) for name, column in columns.items()],
     )
-    # inline drops the other tasks without a second parse (a filter would be pushed below it)
-    successful = F.when(F.col("e.`Task End Reason`.Reason") == "Success", F.array(row))
-    return parsed(events, "task_end").select(KEY, F.inline(successful))

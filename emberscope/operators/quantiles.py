@@ -1,8 +1,7 @@
 """Exact quantiles of many metrics per group.
 
-Groups are counted first.  Ordinary ones, up to ``HOT_ROWS`` rows, are aggregated with ``percentile``: its map of values
-and counts is combined on the map side and holds one group.  A group with more rows never lies in one place.  It is
-selected from in two passes:
+Groups are counted first.  Rows of ordinary ones, up to ``HOT_ROWS`` rows, are brought together once, and each metric
+becomes one sorted list.  A group with more rows never lies in one place.  It is selected from in two passes:
 
 1. rows are counted per stretch of neighbouring values, 1/256 of an octave wide and combined on the map side, and
    running counts over the stretches tell in which of them each wanted rank lies: two stretches a probe at most;
@@ -54,13 +53,27 @@ def group_quantiles(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(F.xxhash64(*keys).alias("_hot")).distinct()
     )
     same = F.xxhash64(*keys) == F.col("_hot")
+    # rows move before they are aggregated: aggregates of a few rows each on the map side would be larger than the rows
+    dealt = rows.join(hot, same, "left_anti").repartition(*keys)
+    lists = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_tasks"), *[F.sort_array(F.collect_list(m)).alias(m) for m in metrics])
     points = F.array(*[F.lit(float(q)) for q in probes])
-    ordinary = rows.join(hot, same, "left_anti").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_tasks"), *[F.percentile(m, points).alias(m) for m in metrics]
-    )
+
+    def vector(m: str) -> Column:
+        def at(q: Column) -> Column:
+            place = q * (F.size(m) - 1)
+            return _between(F.get(m, F.floor(place).cast("int")), F.get(m, F.ceil(place).cast("int")), place)
+
+        return F.when(F.size(m) > 0, F.transform(points, at))
+
+    ordinary = lists.select(*keys, "num_tasks", *[vector(m).alias(m) for m in metrics])
     return ordinary.unionByName(selected_quantiles(rows.join(hot, same, "left_semi"), keys, metrics, probes))
 
 
+def _between(low: Column, high: Column, place: Column) -> Column:
+    """The value at ``place`` from those at the ranks around it, as ``percentile`` computes it."""
+    return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+
 def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
@@ -126,11 +139,7 @@ def selected_quantiles(rows: DataFrame, keys: Sequence[str], metrics: Sequence[s
         *[at(F.ceil(position(q))).alias(f"high{i}") for i, q in enumerate(probes)],
     )
 
-    def between(i: int, q: float) -> Column:
-        low, high, place = F.col(f"low{i}"), F.col(f"high{i}"), position(q)
-        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
-
-    vector = F.when(F.col("total") > 0, F.array(*[between(i, q) for i, q in enumerate(probes)]))
+    vector = F.when(F.col("total") > 0, F.array(*[_between(F.col(f"low{i}"), F.col(f"high{i}"), position(q)) for i, q in enumerate(probes)]))
     return found.withColumn("vector", vector).groupBy(*keys).agg(
         F.max(F.when(F.col("metric") == metrics[0], F.col("rows"))).alias("num_tasks"),
         *[F.max(F.when(F.col("metric") == m, F.col("vector"))).alias(m) for m in metrics],

@@ -300,3 +300,10 @@ def test_real_log(spark, real_log, tmp_path):
     # open-source plans carry no explainId: the corrected form finds their nodes
     corrected = EventLog(log.events, corrected=True)
     assert corrected.nodes.count() > 0
+
+
+def test_task_lines_are_parsed_once_into_flat_columns(spark):
+    lines = spark.createDataFrame([("a", 1, "{}", eventlog.EVENTS["task_end"])], "application_id STRING, event_order BIGINT, body STRING, event STRING")
+    plan = ev.task_metrics(lines)._jdf.queryExecution().executedPlan().toString()
+    # an inline of all columns was one method too large to be compiled
+    assert plan.count("from_json") == 1 and "inline" not in plan

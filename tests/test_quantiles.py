@@ -84,3 +84,18 @@ def test_second_pass_moves_few_rows(spark):
     want = df.agg(F.percentile("a", points).alias("a"), F.percentile("b", points).alias("b")).first()
     got = group_quantiles(df, ["k"], ["a", "b"]).first()
     assert (got.a, got.b) == (want.a, want.b) and got.num_tasks == 200_000
+
+
+def test_rows_of_ordinary_groups_move_before_they_are_aggregated(spark, tmp_path):
+    spark.range(100).selectExpr("id % 30 as k", "id as a", "id * 2 as b").write.parquet(str(tmp_path / "t"))
+    df = group_quantiles(spark.read.parquet(str(tmp_path / "t")), ["k"], ["a", "b"])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_whole_numbers_have_the_digits_of_percentile(spark):
+    df = spark.range(9_000).selectExpr("id % 90 as k", "id * 7919 % 10007 as a", "if(id % 3 = 0, null, id * 31 % 997) as b")
+    points = F.array(*[F.lit(q) for q in LOG_PROBES])
+    want = by_key(df.groupBy("k").agg(F.percentile("a", points).alias("a"), F.percentile("b", points).alias("b")))
+    got = by_key(group_quantiles(df, ["k"], ["a", "b"]))
+    assert {k: (r.a, r.b) for k, r in got.items()} == {k: (r.a, r.b) for k, r in want.items()}
