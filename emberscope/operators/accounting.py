@@ -16,21 +16,24 @@ from emberscope.sources.eventlog import order_chunk
 
 STAGE = ["application_id", "stage_id"]
 ATTEMPT = ["application_id", "stage_id", "attempt_id"]
+#: The same keys as they are best sorted: by numbers that tell rows apart, then by text that few rows differ in.
+STAGE_SORT, ATTEMPT_SORT, JOB_SORT = ["stage_id", "application_id"], ["stage_id", "attempt_id", "application_id"], ["job_id", "application_id"]
 
 
-def stages(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+def stages(events: DataFrame, rows: DataFrame | None = None, attempts: DataFrame | None = None) -> DataFrame:
     """Stage attempts with the tasks that had ended when the attempt completed.
 
-    ``rows``: the stored submissions and completions, if they are at hand (``events.stage_rows``).
+    ``rows``: the stored submissions and completions (``events.stage_rows``), ``attempts``: what they merge to, if at hand.
     """
-    attempts = stored(ev.merged_attempts(ev.stage_rows(events) if rows is None else rows))
+    if attempts is None:
+        attempts = stored(ev.merged_attempts(ev.stage_rows(events) if rows is None else rows))
     ends = attempts.where(F.col("completed_order").isNotNull())
     outcome = F.col("outcome")
     counts = counts_before(
-        ev.task_outcomes(events), ATTEMPT, "task_order", ends, "completed_order",
+        ev.task_outcomes(events), ATTEMPT_SORT, "task_order", ends, "completed_order",
         {"num_completed_tasks": outcome == "completed", "num_failed_tasks": outcome == "failed"},
     )
-    joined = attempts.join(counts, ATTEMPT, "left")
+    joined = attempts.join(counts, ATTEMPT_SORT, "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("num_completed_tasks", "num_failed_tasks")}
     )
@@ -52,10 +55,21 @@ def task_summaries(events: DataFrame, metrics: Sequence[str] = tuple(TASK_METRIC
 def stage_references(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Job to stage relation with start and end position of the job."""
     closing = ends.select("application_id", "job_id", "end_order")
-    known = starts.join(closing, ["application_id", "job_id"], "left")
+    known = starts.join(closing, JOB_SORT, "left")
     return ev.job_stages(known, "end_order")
 
 
+def job_states(starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Jobs with their end; open jobs have an empty status."""
+    joined = starts.join(ends, JOB_SORT, "left")
+    return joined.withColumn("status", F.coalesce("status", F.lit(""))).withColumn("completion_ms", F.coalesce("completion_ms", F.lit(0)))
+
+
+def summarised_attempts(events: DataFrame) -> DataFrame:
+    """Stage attempts that have task summaries: those with a successful task."""
+    return ev.task_outcomes(events).where("outcome = 'completed'").select(*ATTEMPT).distinct()
+
+
 #: What the first attempt of a stage adds to the timeline of the stage.
 _FIRST = ("first_tasks", "first_done", "first_failed", "first_completed_tasks", "first_failed_tasks")
 
@@ -68,7 +82,7 @@ def references_at_end(references: DataFrame, submissions: DataFrame, stage_table
     attempt once it exists.  All are running values over the stage's own timeline,
     so jobs that share a stage are never paired and nothing is joined to them.
     """
-    first = stage_table.groupBy(*STAGE).agg(
+    first = stage_table.groupBy(*STAGE_SORT).agg(
         F.min("created_order").alias("position"),
         F.min_by(
             F.struct("completed_order", "status", "num_tasks", "num_completed_tasks", "num_failed_tasks"), "created_order"
@@ -100,7 +114,7 @@ def references_at_end(references: DataFrame, submissions: DataFrame, stage_table
         .withColumn("chunk", order_chunk(F.col("position")))
     )
     running = running_totals(
-        timeline, STAGE, "chunk", "position",
+        timeline, STAGE_SORT, "chunk", "position",
         sums={"started": "opens", "closed": "closes"},
         maxes={"last_submit": "submit", **{f"known_{c}": c for c in _FIRST}},
     )
@@ -126,7 +140,7 @@ def job_accounting(at_end: DataFrame) -> DataFrame:
     def total(condition, value):
         return F.sum(F.when(condition, value).otherwise(0.0))
 
-    return at_end.groupBy("application_id", "job_id").agg(
+    return at_end.groupBy(*JOB_SORT).agg(
         total(completed, 1.0).alias("num_completed_stages"),
         total(failed, 1.0).alias("num_failed_stages"),
         total(skipped, 1.0).alias("num_skipped_stages"),
@@ -151,12 +165,9 @@ def jobs(events: DataFrame, stage_table: DataFrame | None = None, rows: DataFram
     stage_table = stored(stages(events, rows)) if stage_table is None else stage_table
     starts, ends = stored(ev.job_starts(events)), stored(ev.job_ends(events))
     at_end = references_at_end(stage_references(starts, ends), rows.where("not completed"), stage_table)
-    keys = ["application_id", "job_id"]
-    joined = starts.join(ends, keys, "left").join(job_accounting(at_end), keys, "left")
+    joined = job_states(starts, ends).join(job_accounting(at_end), JOB_SORT, "left")
     return (
-        joined.withColumn("status", F.coalesce("status", F.lit("")))
-        .withColumn("completion_ms", F.coalesce("completion_ms", F.lit(0)))
-        .withColumn("stage_ids", F.transform("stage_infos", lambda s: s.stage_id))
+        joined.withColumn("stage_ids", F.transform("stage_infos", lambda s: s.stage_id))
         .fillna(0.0, list(ACCOUNTED))
         .drop("stage_infos", "start_order", "end_order")
     )

@@ -191,7 +191,9 @@ def merged_attempts(rows: DataFrame) -> DataFrame:
     def last(column):
         return F.max_by(column, F.when(F.col("completed"), order))
 
-    merged = rows.groupBy(KEY, "stage_id", "attempt_id").agg(
+    # an attempt has two rows or so, far apart: they move first and are sorted once, by the number that tells most
+    keys = ["stage_id", "attempt_id", KEY]
+    merged = rows.repartition(*keys).groupBy(*keys).agg(
         _text(first("name", F.col("name") != "")).alias("name"),
         F.coalesce(first("submission_ms", F.col("submission_ms") > 0), F.lit(0)).alias("submission_ms"),
         F.coalesce(last("completion_ms"), F.lit(0)).alias("completion_ms"),

@@ -121,19 +121,24 @@ def counts_before(
 ) -> DataFrame:
     """Conditional counts of the rows that come before a cut-off of their group; one row per cut-off.
 
-    Rows are counted before anything is joined, combined on the map side, per group and range of ``2 ** bits``
-    positions.  Ranges that end before the cut-off count whole; only in a range the cut-off tears are rows looked
-    at again, so a group that ended before its cut-off, as nearly all do, moves a row or two.
+    Rows and cut-offs move once, by group and range of ``2 ** bits`` positions, so a group of any size lies in many places.
+    Ranges that end before the cut-off count whole, in the range the cut-off tears rows are held against it; then the
+    counts of the ranges, one row each, are added.
     """
     group, names = list(group), list(counts)
-    df = stored(df)
-    totals = [F.count_if(c).alias(n) for n, c in counts.items()]
-    place = F.shiftright(F.col(order), bits).alias("_range")
-    ranges = df.groupBy(*group, place).agg(*totals, F.max(order).alias("_last"))
-    cut = cutoffs.select(*group, F.col(cutoff).alias("_cut"))
-    known = stored(cut.join(ranges, group, "left"))
-    torn = known.where((F.col("_last") >= F.col("_cut")) & (F.col("_range") <= F.shiftright(F.col("_cut"), bits))).select(*group, "_range", "_cut")
-    early = balanced_join(df.withColumn("_range", place), torn, [*group, "_range"], "inner").where(F.col(order) < F.col("_cut"))
-    parts = known.where("_last < _cut").select(*group, *names).unionByName(early.groupBy(*group).agg(*totals))
-    every = cut.select(*group, *[F.lit(0).cast("long").alias(n) for n in names])
-    return parts.unionByName(every).groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
+    none = F.lit(None).cast("bigint")
+
+    def placed(frame: DataFrame, position: str, **known: Column) -> DataFrame:
+        conditions = [known.get(n, F.lit(False)).alias(n) for n in names]
+        return frame.select(
+            *group, F.shiftright(F.col(position), bits).alias("_range"), known.get("_order", none).alias("_order"), known.get("_cut", none).alias("_cut"), *conditions
+        )
+
+    rows = placed(df, order, _order=F.col(order).cast("bigint"), **counts)
+    cuts = placed(cutoffs, cutoff, _cut=F.col(cutoff).cast("bigint"))
+    torn = rows.unionByName(cuts).withColumn("_cut", F.max("_cut").over(Window.partitionBy(*group, "_range")))
+    early = F.col("_cut").isNull() | (F.col("_order") < F.col("_cut"))
+    ranges = torn.groupBy(*group, "_range").agg(F.max("_cut").alias("_cut"), *[F.count_if(F.col(n) & early).alias(n) for n in names])
+    known = ranges.withColumn("_cut", F.max("_cut").over(Window.partitionBy(*group))).where("_cut is not null")
+    before = F.col("_range") <= F.shiftright("_cut", bits)
+    return known.groupBy(*group).agg(*[F.sum(F.when(before, F.col(n)).otherwise(0)).alias(n) for n in names])

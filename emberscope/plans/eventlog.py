@@ -46,9 +46,13 @@ class EventLog:
     def stage_rows(self) -> DataFrame:
         return stored(ev.stage_rows(self.events))
 
+    @cached_property
+    def attempts(self) -> DataFrame:
+        return stored(ev.merged_attempts(self.stage_rows))
+
     @cached_property
     def stages(self) -> DataFrame:
-        return stored(accounting.stages(self.events, self.stage_rows))
+        return stored(accounting.stages(self.events, self.stage_rows, self.attempts))
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -155,12 +159,16 @@ class EventLog:
         return blocks.unionByName(clean, allowMissingColumns=True)
 
     def overview(self) -> tuple[DataFrame, DataFrame]:
-        """Status counts per kind, and byte totals, per application."""
-        frames = {"jobs": self.jobs, "stages": self.stages, "sql_executions": self.executions}
+        """Status counts per kind, and byte totals, per application.
+
+        States and counted summaries need neither the tasks of a job or stage nor the quantiles of a summary.
+        """
+        jobs = accounting.job_states(ev.job_starts(self.events), ev.job_ends(self.events))
+        frames = {"jobs": jobs, "stages": self.attempts, "sql_executions": self.executions}
         counts = overview.status_counts(frames, KEY)
-        summaries = self.task_summaries.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        summaries = accounting.summarised_attempts(self.events).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
         summaries = summaries.select(*KEY, F.lit("task_summaries").alias("kind"), F.lit("").alias("status"), "n")
-        return counts.unionByName(summaries), overview.io_summary(self.stages, KEY)
+        return counts.unionByName(summaries), overview.io_summary(self.attempts, KEY)
 
     def execution(self, execution_id: int) -> DataFrame:
         """Drill-down of one execution id (in every application that has it)."""

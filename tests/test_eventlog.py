@@ -307,3 +307,15 @@ def test_task_lines_are_parsed_once_into_flat_columns(spark):
     plan = ev.task_metrics(lines)._jdf.queryExecution().executedPlan().toString()
     # an inline of all columns was one method too large to be compiled
     assert plan.count("from_json") == 1 and "inline" not in plan
+
+
+def test_an_overview_makes_no_quantiles_and_no_accounting(spark, sf_dir, monkeypatch):
+    from emberscope.catalog import logs
+    from emberscope.catalog.registry import Data
+
+    events = logs.job_events(Data(spark, sf_dir))
+    want = {(r.application_id): r.n for r in accounting.task_summaries(events, ("duration",)).groupBy("application_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for name in ("task_summaries", "job_accounting", "counts_before"):
+        monkeypatch.setattr(accounting, name, None)
+    counts, _ = EventLog(events).overview()
+    assert {r.application_id: r.n for r in counts.where("kind = 'task_summaries'").collect()} == want

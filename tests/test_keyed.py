@@ -51,3 +51,13 @@ def test_stored_frames_go_with_the_session_folder(spark, tmp_path, monkeypatch):
     assert frame.count() == 5 and len(os.listdir(tmp_path)) == 1
     runtime.release(spark)
     assert os.listdir(tmp_path) == []
+
+
+def test_counts_before_a_cut_off_join_and_store_nothing(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "stored", None)
+    rows = [("a", p, p % 2) for p in range(0, 400, 3)] + [("b", 5, 1), ("c", 9, 1)]
+    df = spark.createDataFrame(rows, "g STRING, pos BIGINT, v INT")
+    cuts = spark.createDataFrame([("a", 200), ("b", 5), ("d", 1)], "g STRING, cut BIGINT")
+    counted = keyed.counts_before(df, ["g"], "pos", cuts, "cut", {"odd": F.col("v") == 1}, bits=4)
+    assert {r.g: r.odd for r in counted.collect()} == {"a": sum(v for g, p, v in rows if g == "a" and p < 200), "b": 0, "d": 0}
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
