@@ -10,6 +10,7 @@ from emberscope.catalog.rule_queries import ISSUE_QUANTILES, stage_issue_rows, s
 from emberscope.functions import sqlfunctions
 from emberscope.operators import drill, history, report, sketches
 from emberscope.operators.quantiles import LOG_PROBES
+from emberscope.runtime import stored
 from emberscope.sources import history as landed
 
 
@@ -306,7 +307,7 @@ def sketched_quantiles(data):
     metrics = ("duration", "input_bytes", "shuffle_read_bytes")
     tasks = successful_tasks(data)
     fine = sketches.metric_sketches(tasks, ["cluster_id", "application_id", "stage_id"], metrics)
-    answers = sketches.sketch_quantiles(sketches.merged(fine, ["cluster_id"]), LOG_PROBES)
+    answers = stored(sketches.sketch_quantiles(sketches.merged(fine, ["cluster_id"]), LOG_PROBES))  # read three times below
     errors = sketches.rank_errors(tasks, ["cluster_id"], answers, LOG_PROBES)
     return answers.join(errors, ["cluster_id", "metric"]).select(
         "cluster_id", "metric", "num_values", (F.col("worst") <= sketches.RANK_ERROR).alias("within_bound")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberscope.operators.keyed import balanced_join
 from emberscope.operators.quantiles import LOG_PROBES
 
 #: Accuracy parameter, and the share of all values that the rank of an answer may be off by with it.  The published
@@ -42,12 +43,16 @@ def sketch_quantiles(sketches: DataFrame, probes: Sequence[float] = LOG_PROBES)
 
 
 def rank_errors(rows: DataFrame, keys: Sequence[str], quantiles: DataFrame, probes: Sequence[float] = LOG_PROBES) -> DataFrame:
-    """``keys, metric, worst``: how far the true rank of an answer is from the one asked for, as a share of the values."""
+    """``keys, metric, worst``: how far the true rank of an answer is from the one asked for, as a share of the values.
+
+    ``quantiles`` is read twice, so it should be stored; a stored one of few keys is broadcast and no value moves, and of
+    many the values of a hot key are dealt out.
+    """
     keys = list(keys)
     metrics = [r.metric for r in quantiles.select("metric").distinct().collect()]
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     values = rows.select(*keys, F.inline(pairs)).where("value is not null")
-    joined = values.join(quantiles.select(*keys, "metric", "quantiles"), [*keys, "metric"])
+    joined = balanced_join(values, quantiles.select(*keys, "metric", "quantiles"), [*keys, "metric"], "inner")
 
     def off(i: int, q: float) -> Column:
         low = F.avg((F.col("value") < F.get("quantiles", i)).cast("double"))
