@@ -60,6 +60,19 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
+    rounds, step = [], common._large_star
+    monkeypatch.setattr(common, "_large_star", lambda edges: rounds.append(edges.count()) or step(edges))
+    name = np.random.default_rng(5).permutation(6000).tolist()
+    paths = [(name[i], name[i + 1]) for i in range(2999)]
+    pairs = [(name[i], name[i + 1]) for i in range(3000, 6000, 2)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(paths + pairs, "a long, b long")).collect()}
+    want = {x: min(name[:3000]) for x in name[:3000]} | {x: min(p) for p in pairs for x in p}
+    assert got == want
+    # the pairs are stars from the start: no step reads them
+    assert len(rounds) <= 2 and all(n < 3000 for n in rounds)
+
+
 @pytest.mark.parametrize("n", [2, 30, 300, 900])
 def test_deal_brings_each_pair_together_once(spark, n):
     rows = spark.createDataFrame([("k", i, n) for i in range(n)], "key string, id long, n long").select(F.xxhash64("key").alias("key"), "id", "n")
