@@ -73,6 +73,45 @@ def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 2 and all(n < 3000 for n in rounds)
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Shuffles into so many tasks that none has many rows."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def scattered(spark, n, partitions):
+    """Edges of a random tree of ``n`` nodes and of pairs beside it, dealt over many partitions; and what they connect."""
+    pick = random.Random(7)
+    name = pick.sample(range(10 * n), n)
+    edges = [(name[i], name[pick.randrange(max(0, i - 40), i)]) for i in range(1, n)]
+    pairs = [(10 * n + i, 10 * n + i + 1) for i in range(0, n, 2)]
+    want = {x: min(name) for x in name} | {x: p[0] for p in pairs for x in p}
+    return spark.createDataFrame(edges + pairs, "a long, b long").repartition(partitions), want
+
+
+def test_components_that_fit_one_fold_take_no_star_step(spark, many_tasks, monkeypatch):
+    rounds, step = [], common._large_star
+    monkeypatch.setattr(common, "_large_star", lambda edges: rounds.append(1) or step(edges))
+    edges, want = scattered(spark, 1000, 60)
+    assert {r.id: r.component for r in common.components(edges).collect()} == want
+    assert not rounds
+
+
+def test_components_past_one_fold_join_moving_edges_once(spark, many_tasks, monkeypatch):
+    plans, step = [], common._large_star
+    monkeypatch.setattr(common, "_large_star", lambda edges: plans.append(edges._jdf.queryExecution().optimizedPlan().toString()) or step(edges))
+    monkeypatch.setattr(common, "FOLD", 600)
+    edges, want = scattered(spark, 1000, 60)
+    assert {r.id: r.component for r in common.components(edges).collect()} == want
+    assert plans and not any("Join" in plan for plan in plans)  # the star steps read their edges four times
+
+
 @pytest.mark.parametrize("n", [2, 30, 300, 900])
 def test_deal_brings_each_pair_together_once(spark, n):
     rows = spark.createDataFrame([("k", i, n) for i in range(n)], "key string, id long, n long").select(F.xxhash64("key").alias("key"), "id", "n")
