@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberscope.operators.keyed import balanced_join
+from emberscope.runtime import stored
 
 #: Items of a section that a page holds, about; an application whose sections are all smaller has one page.
 PAGE_ITEMS = 5000
@@ -32,9 +33,10 @@ def application_documents(parts: Mapping[str, DataFrame], key: str = "applicatio
 
     Sections an application has nothing in are missing from its document.  Items are counted first: a section of more than
     ``page_items`` is dealt to pages of about that size, so no document grows with the application; the pages
-    of an application, put together section by section, are its report.
+    of an application, put together section by section, are its report.  Counting, looking for large sections and dealing
+    each read the items, so these are stored and the sections computed once.
     """
-    items = report_items(parts, key).where(F.col(key).isNotNull())
+    items = stored(report_items(parts, key).where(F.col(key).isNotNull()))
     counts = items.groupBy(key, "section").agg(F.ceil(F.count(F.lit(1)) / page_items).cast("long").alias("pages"))
     paged = balanced_join(items, counts, [key, "section"], "inner").withColumn("page", F.pmod(F.monotonically_increasing_id(), F.col("pages")))
     sections = paged.groupBy(key, "page", "section").agg(F.collect_list("item").alias("items"))  # about page_items each
