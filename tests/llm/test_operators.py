@@ -264,6 +264,68 @@ def test_minhash_agrees_as_often_as_sets_do():
     assert (signatures[0] == signatures[1]).mean() > 0.5
 
 
+def test_texts_of_proposed_lines_are_fetched_once(spark):
+    rows = [(i, " ".join(words(i // 2, 30)) + str(i % 2)) for i in range(40)]
+    fetched, seen = spark.sparkContext.accumulator(0), []
+
+    def texts(groups):
+        def fetch(batches):
+            for batch in batches:
+                fetched.add(batch.num_rows)
+                yield batch
+
+        table = spark.createDataFrame(rows, "id long, text string")
+        seen.append(groups.columns)
+        return groups.join(table.mapInArrow(fetch, "id long, text string"), "id")
+
+    hashes = lines.line_shingles(pa.array([r[1] for r in rows]), 5)
+    starts = np.cumsum([0, *map(len, hashes)])[:-1]
+    signatures = lines.minhash(np.concatenate(hashes), starts, np.array([*map(len, hashes)]))
+    one, two = near.sketch_words(signatures)
+    signed = spark.createDataFrame([(i, bytearray(signatures[i].tobytes()), int(one[i]), int(two[i])) for i in range(40)], "id long, signature binary, w0 long, w1 long")
+    found = near.near_classes(signed, texts, lambda t: lines.line_shingles(t, 5), 4, 5, 12, 6, 2).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i // 2 * 2) for i in range(40)]
+    assert fetched.value == 40 and "n" in seen[0]
+
+
+def test_words_of_repeated_lines_are_made_once_across_batches():
+    ids, raw = [1, 1, 2, 2, 2, 3], [bytes([i] * 72) for i in (1, 1, 2, 2, 2, 3)]
+    table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["id", "signature"])
+    out = pa.Table.from_batches(lines._with_words(iter([table.slice(0, 1), table.slice(1, 2), table.slice(2, 0), table.slice(3)])))
+    assert out.column("id").to_pylist() == [1, 2, 3] and out.column("signature").to_pylist() == [raw[0], raw[2], raw[5]]
+
+
+def test_likely_pairs_of_wide_groups_against_all_pairs():
+    pick = np.random.default_rng(11)
+    base = pick.integers(0, 1 << 16, (6, 36))
+    values = base[pick.integers(0, 6, 1100)]
+    values = np.where(pick.random(values.shape) < 0.3, pick.integers(0, 1 << 16, values.shape), values)
+    one, two = near.sketch_words(values)
+    planes = near._planes(pa.table({"w0": one, "w1": two}))
+    starts, mids, ends = np.array([0, 3, 70, 500, 800, 800]), np.array([3, 70, 500, 600, 800, 1100]), np.array([3, 70, 500, 800, 800, 1100])
+    low = values & 7
+    want = set()
+    for start, mid, end in zip(starts, mids, ends):
+        left, right = range(start, end if mid == end else mid), range(start if mid == end else mid, end)
+        want |= {(a, b) for a in left for b in right if a < b and (low[a] != low[b]).sum() <= 15}
+    got = [(int(a), int(b)) for x, y in near._alike(planes, starts, mids, ends, 15) for a, b in zip(x, y)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_windows_and_minhash_do_not_depend_on_their_blocks(monkeypatch):
+    points = np.random.default_rng(12).integers(0, 1 << 20, 500).astype(np.uint32)
+    starts, counts = np.array([0, 3, 120, 120 + 77, 480]), np.array([1, 100, 77, 200, 12])
+    hashes = lines.windows(points, 5)
+    want = lines.minhash(hashes, starts, counts)
+    monkeypatch.setattr(lines, "_BLOCK", 7)
+    monkeypatch.setattr(lines, "_CELLS", 50)
+    assert len(hashes) == 496 and np.array_equal(lines.windows(points, 5), hashes) and len(lines.windows(points[:4], 5)) == 0
+    assert np.array_equal(lines.minhash(hashes, starts, counts), want)
+    top = (hashes >> np.uint64(32)).astype(np.uint32)
+    plain = np.array([[(top[a : a + n] * f).min() for f in lines._FACTOR] for a, n in zip(starts, counts)], np.uint32)
+    assert np.array_equal(want, ((plain * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16))
+
+
 # -- op 3 -----------------------------------------------------------------------------------------------------
 
 
