@@ -288,6 +288,36 @@ def test_texts_of_proposed_lines_are_fetched_once(spark):
     assert fetched.value == 40 and "n" in seen[0]
 
 
+def test_a_crowd_of_unlike_lines_is_searched_again_before_its_texts_are_compared(spark, monkeypatch):
+    # the low three bits of all signatures agree, and one band; whole values agree within each pair only
+    monkeypatch.setattr(near, "CROWD", 8, raising=False)
+    pick = np.random.default_rng(13)
+    base, high = pick.integers(0, 1 << 16, 36), pick.integers(0, 1 << 13, (20, 36)) << 3
+    values = np.where(np.arange(36) < 3, base, (base & 7) | high).repeat(2, axis=0).astype(np.uint16)
+    rows = [(i, "".join(chr(97 + int(x)) for x in np.random.default_rng(i // 2).integers(0, 26, 300)) + "x" * (i % 2)) for i in range(40)]
+    sizes = []
+
+    def texts(groups):
+        sizes.extend(r["n"] for r in groups.collect())
+        return groups.join(spark.createDataFrame(rows, "id long, text string"), "id")
+
+    one, two = near.sketch_words(values)
+    signed = spark.createDataFrame([(i, bytearray(values[i].tobytes()), int(one[i]), int(two[i])) for i in range(40)], "id long, signature binary, w0 long, w1 long")
+    found = near.near_classes(signed, texts, lambda t: lines.line_shingles(t, 5), 4, 5, 12, 6, 2).collect()
+    assert sorted(tuple(r) for r in found) == [(i, i // 2 * 2) for i in range(40)]
+    assert len(sizes) == 40 and max(sizes) <= 8
+
+
+def test_wide_words_hold_seven_bits_of_every_value():
+    values = np.random.default_rng(14).integers(0, 1 << 16, (50, 36)).astype(np.uint16)
+    batch = pa.record_batch([pa.array(range(50), pa.int64()), pa.array([x.tobytes() for x in values], pa.binary())], names=["id", "signature"])
+    (out,) = near._wide_words(iter([batch.slice(0, 0), batch]), 2)
+    planes = near._planes(pa.Table.from_batches([out]), near.WIDE)
+    differ = np.bitwise_count(np.bitwise_or.reduce([x[:, None] ^ x[None, :] for x in planes]))
+    low = values & 127
+    assert np.array_equal(differ, (low[:, None, :] != low[None, :, :]).sum(axis=2))
+
+
 def test_words_of_repeated_lines_are_made_once_across_batches():
     ids, raw = [1, 1, 2, 2, 2, 3], [bytes([i] * 72) for i in (1, 1, 2, 2, 2, 3)]
     table = pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["id", "signature"])
